@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lines
+from . import factors, fingerprints, lines, mixing, suffixes, toxicity
 
 QUERIES = {
+    "op3_mixing": mixing.query,
     "op4_fingerprints": fingerprints.query,
     "op5_line_dedup": lines.query,
+    "op6_suffix_dedup": suffixes.query,
+    "op7_substring_dedup": factors.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {
+    "op3_mixing": mixing.ORACLE,
     "op5_line_dedup": lines.ORACLE,
 }
