@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import factors, fingerprints, lines, mixing, suffixes, toxicity
+from . import factors, fingerprints, lines, mixing, neardups, suffixes, toxicity
 
 QUERIES = {
+    "op1_near_dedup": neardups.query,
     "op3_mixing": mixing.query,
     "op4_fingerprints": fingerprints.query,
     "op5_line_dedup": lines.query,
