@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -208,8 +210,9 @@ def anchor_runs(h: np.ndarray, w: int, ok: np.ndarray) -> tuple[np.ndarray, np.n
     cut = np.zeros(n + 1, bool)
     cut[0] = True
     cut[1:n] |= (least[1:] != least[:-1]) | (ok[1:n] != ok[: n - 1])
-    after = chosen + 1
-    cut[after[after < n]] = True
+    # of equal least values the next one takes over once the window has left the first
+    left = chosen[chosen < n]
+    cut[left[least[left] == h[left]] + 1] = True
     lo = np.flatnonzero(cut[:n])
     hi = np.append(lo[1:], n) - 1
     good = ok[lo]
@@ -239,8 +242,8 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                out = fn(batch.slice(at, 2000).to_pydict())
+            for at in range(0, batch.num_rows, 500):
+                out = fn(batch.slice(at, 500).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, ddl)
@@ -249,9 +252,10 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of jobs that are over.
 
-    It does so only when the driver's JVM collects the handles, which may otherwise be long after.
+    It does so only when the driver's JVM collects the handles, which may otherwise be long after;
+    the deletion itself runs in the background, hence the pauses.
     """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -98,9 +98,12 @@ def parse(docs: DataFrame, work: Workspace, length: int = 20, gram: int = 6) ->
     work.drop("blocks")
     tidy(docs.sparkSession)
     index = work.put(alive.groupBy("b", "c").agg(F.count("*").alias("m"), F.min(place).alias("ref")), "index")
+    tidy(docs.sparkSession)
     refs = index.where("m > 1").select(F.col("b").alias("k"), F.col("c").alias("kc"), F.col("ref.d").alias("ref_id"), F.col("ref.lo").alias("ref_lo"))
     later = (doc > F.col("ref_id")) | ((doc == F.col("ref_id")) & (F.col("lo") > F.col("ref_lo")))
-    found = alive.join(refs, (F.col("b") == F.col("k")) & (F.col("c") == F.col("kc"))).where(later).select("doc_id", "dh", "lo", "n", "ref_id", "ref_lo")
+    found = work.put(alive.join(refs, (F.col("b") == F.col("k")) & (F.col("c") == F.col("kc"))).where(later).select("doc_id", "dh", "lo", "n", "ref_id", "ref_lo"), "found")
+    work.drop("alive")
+    tidy(docs.sparkSession)
     # blocks that share an anchor but differ: their windows are looked up singly
     apart = index.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select(F.col("b").alias("a"))
     edge = index.join(apart, F.col("b") == F.col("a"), "left_semi").select("ref.doc_id", "ref.dh", "ref.lo", "ref.n")
