@@ -160,6 +160,22 @@ def dedup(docs: DataFrame, batches: int = 4, min_chars: int = 10, work: Workspac
     return map_columns(attach(keyed(docs), drops), run, "doc_id long, dh long, kept string, n_lines long, n_dropped long")
 
 
+def rewrite(docs: DataFrame, batches: int = 4, min_chars: int = 10) -> DataFrame:
+    """``docs`` with repeated lines dropped, ``n_chars`` (if there) renewed, other columns as before.
+
+    Rows left with no character that is not white space go, unless they had none before.
+    """
+    left = dedup(docs, batches, min_chars).where("n_dropped > 0").select("doc_id", "dh", F.col("kept").alias("l_kept")).dropDuplicates(["doc_id", "dh"])
+    left = left.withColumnsRenamed({"doc_id": "l_id", "dh": "l_dh"})
+    rows = docs.withColumn("l_own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(left, rows["doc_id"].eqNullSafe(F.col("l_id")) & (F.col("l_own") == F.col("l_dh")), "left")
+    rows = rows.where(F.col("l_kept").isNull() | F.col("l_kept").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.coalesce("l_kept", "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("l_kept").isNull(), F.col("n_chars")).otherwise(F.length("l_kept").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from every document, with the digest of what stays."""
     rows = dedup(read_table(spark, sf_dir, "documents"))
