@@ -1,24 +1,26 @@
 """Suffix-array dedup (operator 6): bucket-pointer refinement over all texts.
 
 Two byte strings of ``length`` are found equal by refining buckets of suffixes. A suffix's bucket
-identifier at depth q names its first q bytes; identifiers are 128-bit content names, so each
-task knows a suffix's identifier without a global rank. Initial buckets of q = 8 bytes are
-refined to 16, 32, 64 and 128 by pairing a suffix's identifier with that of the suffix q later;
-each round reuses what the round before has made. Deeper names pair identifiers at offsets 128,
-256 and so on.
+identifier at depth q names its first q bytes; identifiers are content names, so each task knows a
+suffix's identifier without a global rank. Initial buckets of q = 8 bytes are refined to 16, 32, 64
+and 128 by pairing a suffix's identifier with that of the suffix q later; each round reuses what
+the round before has made. Longer strings are named, in 128 bits, by folding the identifiers at
+offsets 0, 128, 256 and so on.
 
-Only suffixes that can matter are compared between tasks. Of the suffixes whose q-gram lies within
+Only suffixes that can matter are compared between tasks. Of the suffixes whose 128 bytes lie within
 a ``length``-byte window, the least identifier is the window's anchor: equal windows have equal
 anchors at equal places. A run of consecutive windows with one anchor is one row:
 
-1. bucket by the anchor's identifier at depth 128; a bucket of one row is closed (nothing equal);
+1. bucket by the anchor's identifier; a bucket of one row is closed (nothing equal);
 2. refine by the identifiers of the later offsets up to the run's end: rows still together are
    equal over the whole run, so all its windows repeat;
-3. buckets that fall apart in step 2 are refined at each window start to the full depth.
+3. only for buckets that fall apart in step 2, both steps are repeated on pieces of ``STEPS`` windows
+   cut at fixed distances from the anchor (bucket: the bytes common to a piece's windows;
+   refined: all its bytes), at last on single windows, where bucket and string are the same.
 
 Hence a window is marked if and only if an equal one starts anywhere else, the same document
-included (identifiers of 128 bits stand for the bytes). Counts are pre-aggregated before each
-shuffle, joins are on content names with one unique side, and no group is gathered in a task.
+included. Counts are pre-aggregated before each shuffle, joins are on content names with one
+unique side, and no group is gathered in a task.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; rows repeated
 whole are two places of the same bytes, so both lose them; null ids are kept apart by text;
@@ -38,46 +40,46 @@ from ._common import Workspace, anchor_runs, attach, i64, keyed, map_slices, mix
 
 #: Depth of the anchors' buckets.
 DEPTH = 128
-_LANES = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93))
+#: Windows in a piece, round by round.
+STEPS = (16, 1)
+_FIRST, _LANES = np.uint64(0x8CB92BA72F3D8DD7), (np.uint64(0xA24BAED4963EE407), np.uint64(0xD6E8FEB86659FD93))
 
 
-def _refine(here: np.ndarray, later: np.ndarray, lane: np.uint64) -> np.ndarray:
+def _refine(here: np.ndarray, later: np.ndarray) -> np.ndarray:
     """The identifier of a suffix from its own and a later offset's, both at a lesser depth."""
-    x = here * lane
+    x = here * _FIRST
     x ^= x >> np.uint64(32)
     x += later
-    return mix64(x)
+    x *= _LANES[1]
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def buckets(data: np.ndarray) -> list[np.ndarray]:
-    """Identifiers at depth 128 of all suffixes (two lanes of 64 bits)."""
-    n = len(data) - DEPTH + 1
-    if n <= 0:
-        return [np.zeros(0, np.uint64)] * 2
-    first = np.empty(len(data) - 7, np.uint64)
+def buckets(data: np.ndarray) -> np.ndarray:
+    """Identifiers at depth 128 of all suffixes that have as many bytes."""
+    if len(data) < DEPTH:
+        return np.zeros(0, np.uint64)
+    names = np.empty(len(data) - 7, np.uint64)
     for k in range(8):
         words = (len(data) - k) // 8
-        first[k::8] = np.frombuffer(data[k : k + 8 * words].tobytes(), "<u8")
-    out = []
-    for lane in _LANES:
-        names, depth = first, 8
-        while depth < DEPTH:
-            names = _refine(names[:-depth], names[depth:], lane)
-            depth *= 2
-        out.append(names)
-    return out
+        names[k::8] = np.frombuffer(data[k : k + 8 * words].tobytes(), "<u8")
+    depth = 8
+    while depth < DEPTH:
+        names = _refine(names[:-depth], names[depth:])
+        depth *= 2
+    return names
 
 
-def _deepen(names: list[np.ndarray], start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Names of the strings at ``start`` with ``size`` (at least 128) bytes."""
+def _deepen(names: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """128-bit names of the strings at ``start`` with ``size`` (at least 128) bytes."""
     steps = -(-(size - DEPTH) // DEPTH)
     last = start + size - DEPTH
     out = []
-    for lane, own in zip(_LANES, names):
-        x = own[start] ^ size.astype(np.uint64)
+    for lane in _LANES:
+        x = mix64(names[start] * lane + size.astype(np.uint64))
         for k in range(1, int(steps.max(initial=0)) + 1):
             on = steps >= k
-            x[on] = _refine(x[on], own[np.minimum(start[on] + k * DEPTH, last[on])], lane)
+            x[on] = mix64(x[on] * lane + names[np.minimum(start[on] + k * DEPTH, last[on])])
         out.append(x)
     return out
 
@@ -88,26 +90,25 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 
     def fn(part, data, offsets):
         names = buckets(data)
-        starts = np.arange(max(0, len(names[0]) - width + 1))
+        starts = np.arange(max(0, len(names) - width + 1))
         if not len(starts):
             return None
         # a window must not cross the end of its text
-        of = np.searchsorted(offsets, starts, "right") - 1
-        ok = starts + length <= offsets[of + 1]
-        lo, hi, at = anchor_runs(names[0], width, ok)
+        of = np.repeat(np.arange(part.num_rows), np.diff(offsets))[: len(starts)]
+        lo, hi, at = anchor_runs(names, width, starts + length <= offsets[of + 1])
         if not len(lo):
             return None
         doc = of[lo]
-        c1, c2 = _deepen(names, lo, hi - lo + length)
+        s1, s2 = _deepen(names, lo, hi - lo + length)
         ids, dh = (part.column(k).take(pa.array(doc)) for k in ("doc_id", "dh"))
-        return pa.RecordBatch.from_arrays([i64(names[1][at]), i64(c1), i64(c2), ids, dh, i64(lo - offsets[doc]), i64(hi - lo + 1)], ["b", "c1", "c2", "doc_id", "dh", "lo", "n"])
+        return pa.RecordBatch.from_arrays([i64(names[at]), i64(s1), i64(s2), ids, dh, *(i64(x).cast(pa.int32()) for x in (lo - offsets[doc], hi - lo + 1, at - offsets[doc]))], ["k1", "s1", "s2", "doc_id", "dh", "lo", "n", "anchor"])
 
-    return map_slices(keyed(docs), fn, "b long, c1 long, c2 long, doc_id long, dh long, lo long, n long")
+    return map_slices(keyed(docs), fn, "k1 long, s1 long, s2 long, doc_id long, dh long, lo int, n int, anchor int")
 
 
-def _windows(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """A row for each window of the given runs, with its name at full depth."""
-    lists = runs.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("lo", "n", "lone")).alias("runs"))
+def _pieces(docs: DataFrame, runs: DataFrame, length: int, step: int) -> DataFrame:
+    """The given runs cut into pieces of ``step`` windows at fixed distances from the anchor."""
+    lists = runs.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("lo", "n", "anchor", "need")).alias("runs"))
     rows = attach(keyed(docs).dropDuplicates(["doc_id", "dh"]), lists, "inner")
 
     def fn(part, data, offsets):
@@ -115,37 +116,74 @@ def _windows(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
         runs = part.column("runs")
         flat, sizes = runs.flatten(), np.diff(runs.offsets.to_numpy())
         doc = np.repeat(np.arange(part.num_rows), sizes)
-        lo, n, lone = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        which = np.repeat(np.arange(len(lo)), n)
-        start = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        w1, w2 = _deepen(names, start + offsets[doc[which]], np.full(len(start), length))
+        lo, n, anchor, need = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+        # piece k has the windows at distances k * step .. k * step + step - 1 before the anchor
+        near, far = (anchor - lo - n + 1) // step, (anchor - lo) // step
+        count = far - near + 1
+        which = np.repeat(np.arange(len(lo)), count)
+        k = near[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        whole_lo = anchor[which] - k * step - step + 1
+        first = np.maximum(whole_lo, lo[which])
+        last = np.minimum(whole_lo + step - 1, lo[which] + n[which] - 1)
+        base, size = offsets[doc[which]], np.diff(offsets)[doc[which]]
+        k1, k2 = _deepen(names, base + whole_lo + step - 1, np.full(len(k), length - step + 1))
+        if step > 1:
+            fits = (whole_lo >= 0) & (whole_lo + step - 1 + length <= size)
+            # a piece at a text's edge is refined at its windows only
+            own = mix64(part.column("dh").to_numpy().view(np.uint64)[doc[which]] + first.astype(np.uint64))
+            s1, s2 = own, mix64(own + part.column("doc_id").fill_null(0).to_numpy().view(np.uint64)[doc[which]])
+            t1, t2 = _deepen(names, (base + whole_lo)[fits], np.full(int(fits.sum()), length + step - 1))
+            s1[fits], s2[fits] = t1, t2
+        else:
+            s1, s2 = k1, k2
         take = pa.array(doc[which])
-        return pa.RecordBatch.from_arrays([i64(w1), i64(w2), part.column("doc_id").take(take), part.column("dh").take(take), i64(start), pa.array(lone[which].astype(bool))], ["w1", "w2", "doc_id", "dh", "at", "lone"])
+        return pa.RecordBatch.from_arrays([*map(i64, (k1, k2, s1, s2)), part.column("doc_id").take(take), part.column("dh").take(take), *(i64(x).cast(pa.int32()) for x in (first, last - first + 1, anchor[which])), pa.array(need[which].astype(bool))], ["k1", "k2", "s1", "s2", "doc_id", "dh", "lo", "n", "anchor", "need"])
+
+    return map_slices(rows, fn, "k1 long, k2 long, s1 long, s2 long, doc_id long, dh long, lo int, n int, anchor int, need boolean")
 
-    return map_slices(rows, fn, "w1 long, w2 long, doc_id long, dh long, at long, lone boolean")
+
+def _same(a: str, b: str, names: list[str]):
+    out = F.lit(True)
+    for x in names:
+        out = out & (F.col(f"{a}{x}") == F.col(f"{b}{x}"))
+    return out
+
+
+def _split(rows: DataFrame, bucket: list[str], work: Workspace, label: str) -> tuple[DataFrame, DataFrame]:
+    """Buckets and refines rows: those that repeat whole, and those to be cut further.
+
+    Of the rows to be cut, ``need`` marks those not decided yet; the others (one of each class of
+    equal rows) are there to be met.
+    """
+    spark, names = work.spark, [*bucket, "s1", "s2"]
+    rows = work.put(rows, f"rows-{label}")
+    tidy(spark)
+    shared = rows.groupBy(*bucket).agg(F.count("*").alias("m"), F.max("need").alias("any")).where("m > 1 and any").select(*[F.col(x).alias(f"b_{x}") for x in bucket])
+    alive = work.put(rows.join(shared, _same("", "b_", bucket), "left_semi"), f"alive-{label}")
+    work.drop(f"rows-{label}")
+    tidy(spark)
+    place = F.struct("doc_id", "dh", "lo", "n", "anchor")
+    classes = work.put(alive.groupBy(*names).agg(F.count("*").alias("m"), F.max("need").alias("need"), F.min(place).alias("one")), f"classes-{label}")
+    tidy(spark)
+    whole = classes.where("m > 1 and need").select(*[F.col(x).alias(f"c_{x}") for x in names])
+    marked = work.put(alive.where("need").join(whole, _same("", "c_", names), "left_semi").select("doc_id", "dh", "lo", "n"), f"marked-{label}")
+    work.drop(f"alive-{label}")
+    tidy(spark)
+    open_ = (F.col("m") == 1) & F.col("need")
+    apart = classes.groupBy(*bucket).agg(F.count("*").alias("k"), F.max(open_).alias("open")).where("k > 1 and open").select(*[F.col(x).alias(f"b_{x}") for x in bucket])
+    edge = classes.join(apart, _same("", "b_", bucket), "left_semi").select("one.*", open_.alias("need"))
+    return marked, edge
 
 
 def repeats(docs: DataFrame, work: Workspace, length: int = 400) -> DataFrame:
     """``(doc_id, dh, starts)``: first windows and counts of the repeated windows' runs."""
     if length < 2 * DEPTH:
         raise ValueError(f"length must be at least {2 * DEPTH}")
-    runs = work.put(_runs(docs, length), "runs")
-    shared = runs.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select(F.col("b").alias("k"))
-    alive = work.put(runs.join(shared, F.col("b") == F.col("k"), "left_semi"), "alive")
-    work.drop("runs")
-    tidy(docs.sparkSession)
-    place = F.struct("doc_id", "dh", "lo", "n")
-    classes = work.put(alive.groupBy("b", "c1", "c2").agg(F.count("*").alias("m"), F.min(place).alias("one")), "classes")
-    whole = classes.where("m > 1").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("b").alias("k"))
-    marked = alive.join(whole, (F.col("b") == F.col("k")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left_semi").select("doc_id", "dh", "lo", "n")
-    # buckets that fall apart, and in which some member is alone
-    apart = classes.groupBy("b").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select(F.col("b").alias("a"))
-    edge = classes.join(apart, F.col("b") == F.col("a"), "left_semi").select("one.*", (F.col("m") == 1).alias("lone"))
-    windows = work.put(_windows(docs, edge, length), "windows")
-    tidy(docs.sparkSession)
-    same = windows.groupBy("w1", "w2").agg(F.count("*").alias("m"), F.max("lone").alias("any_lone")).where("m > 1 and any_lone").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"))
-    single = windows.where("lone").join(same, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), "left_semi").select("doc_id", "dh", F.col("at").alias("lo"), F.lit(1).cast("long").alias("n"))
-    return marked.unionByName(single).groupBy("doc_id", "dh").agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
+    marked, edge = _split(_runs(docs, length).withColumn("need", F.lit(True)), ["k1"], work, "runs")
+    for step in STEPS:
+        more, edge = _split(_pieces(docs, edge, length, step), ["k1", "k2"], work, f"step{step}")
+        marked = marked.unionByName(more)
+    return marked.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
 
 
 def spans(size: int, starts, length: int) -> np.ndarray:
