@@ -47,22 +47,31 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return map_columns(keyed(docs), run, "doc_id long, dh long, fingerprint string")
 
 
-def exact_groups(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, dh, fingerprint, group_id)``: equal canonical texts share a ``group_id``.
+def shared_buckets(prints: DataFrame) -> DataFrame:
+    """``(doc_id, dh, fingerprint)`` of the rows whose digest another row has too."""
+    buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1").select(F.col("fingerprint").alias("b_fingerprint"))
+    return prints.join(buckets, F.col("fingerprint") == F.col("b_fingerprint"), "left_semi").distinct()
 
-    ``group_id`` is the least doc_id of the group. Only buckets of at least two rows fetch their
-    texts; each text is compared with its bucket's first text, which travels once per row key, so
-    a bucket of any size is split over tasks. Rows that differ from the first text although the
-    digest is equal (a true collision) are grouped by a second, independent digest.
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """``(doc_id, dh, fingerprint, group_id)``: equal canonical texts share a ``group_id``."""
+    prints = fingerprint(docs)
+    texts = attach(keyed(docs), shared_buckets(prints), "inner")
+    out = attach(prints, compare_buckets(texts))
+    return out.select("doc_id", "dh", "fingerprint", F.coalesce("group_id", "doc_id").alias("group_id"))
+
+
+def compare_buckets(texts: DataFrame) -> DataFrame:
+    """``(doc_id, dh, group_id)`` of ``(doc_id, dh, fingerprint, text)`` rows in shared buckets.
+
+    ``group_id`` is the least doc_id of the group. Each text is compared with its bucket's first
+    text; that one travels once for each bucket, and a join that a bucket's size makes uneven is
+    split over tasks. Rows that differ from the first text although the digest is equal (a true
+    collision) are told apart by a second, independent digest.
     """
-    prints = fingerprint(docs) if prints is None else prints
-    buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("bucket_rows"), F.min(F.struct("doc_id", "dh")).alias("lead"))
-    shared = buckets.where("bucket_rows > 1").select(F.col("fingerprint").alias("b_fingerprint"), F.col("lead.doc_id").alias("lead_id"), F.col("lead.dh").alias("lead_dh"))
-    members = prints.join(shared, F.col("fingerprint") == F.col("b_fingerprint")).drop("b_fingerprint")
-    texts = attach(keyed(docs), members.dropDuplicates(["doc_id", "dh"]), "inner")
-    # one text of each bucket, for comparison by bytes
-    leads = texts.where(F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("dh") == F.col("lead_dh"))).select(F.col("fingerprint").alias("l_fingerprint"), F.col("text").alias("lead_text")).dropDuplicates(["l_fingerprint"])
-    pairs = texts.join(leads, F.col("fingerprint") == F.col("l_fingerprint"), "left")
+    lead = texts.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "dh")).alias("lead")).select(F.col("fingerprint").alias("l_fingerprint"), F.col("lead.doc_id").alias("doc_id"), F.col("lead.dh").alias("dh"))
+    leads = attach(texts, lead, "inner").where(F.col("fingerprint") == F.col("l_fingerprint")).select("l_fingerprint", F.col("text").alias("lead_text")).dropDuplicates(["l_fingerprint"])
+    pairs = texts.join(leads, F.col("fingerprint") == F.col("l_fingerprint"))
 
     def compare(x):
         own, lead = ([canonical(t) for t in x[k]] for k in ("text", "lead_text"))
@@ -70,20 +79,25 @@ def exact_groups(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
         return {"doc_id": x["doc_id"], "dh": x["dh"], "fingerprint": x["fingerprint"], "apart": apart}
 
     checked = map_columns(pairs.select("doc_id", "dh", "fingerprint", "text", "lead_text"), compare, "doc_id long, dh long, fingerprint string, apart string")
-    ids = checked.groupBy("fingerprint", "apart").agg(F.min("doc_id").alias("group_id"))
-    grouped = checked.join(ids, ["fingerprint", "apart"]).select("doc_id", "dh", "group_id")
-    out = attach(prints, grouped)
-    return out.select("doc_id", "dh", "fingerprint", F.coalesce("group_id", "doc_id").alias("group_id"))
+    ids = checked.groupBy("fingerprint", "apart").agg(F.min("doc_id").alias("group_id")).select(F.col("fingerprint").alias("g1"), F.col("apart").alias("g2"), "group_id")
+    return checked.join(ids, (F.col("fingerprint") == F.col("g1")) & (F.col("apart") == F.col("g2"))).select("doc_id", "dh", "group_id").distinct()
+
 
+def with_next(docs: DataFrame, then, ddl: str, marks: DataFrame | None = None) -> DataFrame:
+    """Applies ``then`` to rows ``(doc_id, dh, text, next_text, marked)``, given as lists by column.
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, next_text)``: each row with the next row's text by ascending doc_id.
+    ``next_text`` is the text of the next row by ascending doc_id.
 
-    The last row is followed by the first. Ranges of ids are sorted each in one task; a range's
+    The last row is followed by the first. ``marked`` tells the rows that ``marks`` names by
+    ``(doc_id, dh)``; its narrow rows take part in the one sort, so no join moves texts again. Ranges of ids are sorted each in one task; a range's
     first row is sent to the range before it too, so every text moves once. The driver holds one
     id for each range.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     spark = docs.sparkSession
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
     base = keyed(docs)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = F.struct("doc_id", "dh")
@@ -95,32 +109,40 @@ def with_next(docs: DataFrame) -> DataFrame:
         at = F.array(*[F.lit(int(c)) for c in cuts])
         part = F.size(F.filter(at, lambda c: c < F.col("doc_id")))
         part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    base = base.withColumn("part", part.cast("int"))
+    part = part.cast("int")
+    base = base.withColumn("part", part)
     firsts = base.groupBy("part").agg(F.min(order).alias("f")).orderBy("part").collect()
     if not firsts:
-        return base.select("doc_id", "dh", "text", F.col("text").alias("next_text"))
+        return spark.createDataFrame([], ddl)
     before = {}
     for i, row in enumerate(firsts):
         before[i] = (row["f"]["doc_id"], row["f"]["dh"], firsts[i - 1]["part"])
     heads = spark.createDataFrame(list(before.values()), "h_id long, h_dh long, h_part int")
-    tails = base.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("dh") == F.col("h_dh"))).select("doc_id", "dh", "text", F.col("h_part").alias("part"), F.lit(True).alias("tail"))
-    rows = base.select("doc_id", "dh", "text", "part", F.lit(False).alias("tail")).unionByName(tails)
-    sorted_rows = rows.repartition(parts, "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "dh")
+    tails = base.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("dh") == F.col("h_dh"))).select("doc_id", "dh", "text", F.col("h_part").alias("part"), F.lit(2).alias("kind"))
+    rows = base.select("doc_id", "dh", "text", "part", F.lit(1).alias("kind")).unionByName(tails)
+    if marks is not None:
+        rows = rows.unionByName(marks.select("doc_id", "dh", F.lit(None).cast("string").alias("text"), part.alias("part"), F.lit(0).alias("kind")))
+    sorted_rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("kind") == 2, F.col("doc_id").asc_nulls_first(), "dh", "kind")
 
     def run(batches):
-        held = None  # the row that waits for the next one
+        held = mark = None  # the row that waits for the next one; the last mark
         for batch in batches:
-            x, ids, nears, texts, nexts = batch.to_pydict(), [], [], [], []
-            for doc_id, dh, text, part, tail in zip(x["doc_id"], x["dh"], x["text"], x["part"], x["tail"]):
-                if held is not None and held[3] == part:
-                    for to, value in zip((ids, nears, texts, nexts), (*held[:3], text)):
-                        to.append(value)
-                    held = None
-                if not tail:
-                    held = (doc_id, dh, text, part)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nears, pa.int64()), pa.array(texts, pa.string()), pa.array(nexts, pa.string())], ["doc_id", "dh", "text", "next_text"])
-
-    return sorted_rows.select("doc_id", "dh", "text", "part", "tail").mapInArrow(run, "doc_id long, dh long, text string, next_text string")
+            for at in range(0, batch.num_rows, 500):
+                x, out = batch.slice(at, 500).to_pydict(), []
+                for doc_id, dh, text, part, kind in zip(x["doc_id"], x["dh"], x["text"], x["part"], x["kind"]):
+                    if kind == 0:
+                        mark = doc_id, dh
+                        continue
+                    if held is not None and held[0] == part:
+                        out.append((*held[1:4], text, held[4]))
+                        held = None
+                    if kind == 1:
+                        held = (part, doc_id, dh, text, mark == (doc_id, dh))
+                names = ("doc_id", "dh", "text", "next_text", "marked")
+                made = then(dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names})
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
+
+    return sorted_rows.select("doc_id", "dh", "text", "part", "kind").mapInArrow(run, ddl)
 
 
 def edited(text: str, following: str) -> str:
@@ -147,12 +169,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             out["edited_fingerprint"].append(digest(changed))
             out["near_edited"].append(float(own == changed))
             out["near_next"].append(float(own == other))
-        return {"doc_id": x["doc_id"], "dh": x["dh"], **out}
+        member = [t if m else None for t, m in zip(x["text"], x["marked"])]
+        return {"doc_id": x["doc_id"], "dh": x["dh"], **out, "member_text": member}
 
     docs = read_table(spark, sf_dir, "documents")
     work = Workspace(spark, "fingerprints")
     prints = work.put(fingerprint(docs), "prints")
-    groups = work.put(exact_groups(docs, prints).select("doc_id", "dh", "group_id").distinct(), "groups")
     tidy(spark)
-    rows = map_columns(with_next(docs), run, "doc_id long, dh long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return attach(rows, groups).drop("dh")
+    shape = "doc_id long, dh long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, member_text string"
+    rows = work.put(with_next(docs, run, shape, shared_buckets(prints)), "rows")
+    tidy(spark)
+    members = rows.where("member_text is not null").select("doc_id", "dh", "fingerprint", F.col("member_text").alias("text"))
+    out = attach(rows.drop("member_text"), compare_buckets(members))
+    return out.withColumn("group_id", F.coalesce("group_id", "doc_id")).drop("dh")
