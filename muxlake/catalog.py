@@ -2,5 +2,424 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from muxlake.functions import bits, clock, codes
+from muxlake.functions.clock import PCR_MOD
+from muxlake.operators import captures, elementary, frames, packets, tables
+from muxlake.plans import synthetic as S
+from muxlake.plans.synthetic import CAPTURE, FRAMES, PACKETS, TABLES
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# --- packets -------------------------------------------------------------------------------------
+
+
+@query(PACKETS + "SELECT pid, count(*) AS packets, count(*) * 188 AS bytes, min(pos) AS first_pos, max(pos) AS last_pos FROM packets GROUP BY pid")
+def pid_histogram(spark, d):
+    return packets.pid_histogram(S.packets(spark, d))
+
+
+@query(PACKETS + "SELECT n, pid, pos, kind FROM packets WHERE n < 5000 AND pid IN (260, 261, 300)")
+def pid_filter(spark, d):
+    return packets.filter_pids(S.packets(spark, d), [260, 261, 300], max_packets=5000).select("n", "pid", "pos", "kind")
+
+
+@query(PACKETS + "SELECT n, pid, pos, kind FROM packets WHERE pid NOT IN (260, 261, 300)")
+def pid_filter_invert(spark, d):
+    return packets.filter_pids(S.packets(spark, d), [260, 261, 300], invert=True).select("n", "pid", "pos", "kind")
+
+
+@query(PACKETS + "SELECT n, pos, kind, cc FROM packets WHERE pid = 264 ORDER BY pos LIMIT 20")
+def single_pid_dump(spark, d):
+    return packets.first_of_pid(S.packets(spark, d), 264, 20).select("n", "pos", "kind", "cc")
+
+
+@query(PACKETS + "SELECT n, pid FROM packets WHERE n % 10 < 7")
+def drop_keep_k(spark, d):
+    return packets.drop_periodically(S.packets(spark, d), 7, 3).select("n", "pid")
+
+
+@query(PACKETS + "SELECT n, CASE WHEN pid = 260 THEN 8191 ELSE pid END AS pid FROM packets WHERE pid <> 260 OR pcr IS NOT NULL")
+def hide_pid_keep_pcr(spark, d):
+    return packets.hide_pid(S.packets(spark, d), 260).select("n", F.col("pid").cast("long").alias("pid"))
+
+
+CC = (
+    PACKETS
+    + """, a AS (
+  SELECT pid, pos, cc, has_payload, disc, cents % 4 AS content, lag(cc) OVER w AS last, lag(cents % 4) OVER w AS last_content FROM packets WINDOW w AS (PARTITION BY pid ORDER BY pos)),
+b AS (
+  SELECT *, last IS NOT NULL AND NOT disc AND cc = last AND has_payload AS same, last IS NOT NULL AND NOT disc AND cc <> last AS moved FROM a),
+c AS (SELECT *, sum(CASE WHEN moved THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY pos) AS chain FROM b),
+g AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY pid, chain ORDER BY pos) AS nth FROM c)
+SELECT pid, count(*) AS packets, count(*) FILTER (WHERE disc) AS flagged, count(*) FILTER (WHERE same AND nth > 1) AS dup_errors,
+  count(*) FILTER (WHERE same AND content IS DISTINCT FROM last_content) AS content_errors, count(*) FILTER (WHERE same AND content IS NOT DISTINCT FROM last_content) AS good_dups,
+  count(*) FILTER (WHERE moved AND CASE WHEN has_payload THEN (last + 1) % 16 <> cc ELSE true END) AS cc_errors, min_by(cc, pos) AS first_cc
+FROM g GROUP BY pid"""
+)
+
+
+@query(CC)
+def cc_check(spark, d):
+    return packets.continuity(S.packets(spark, d), F.col("cents") % 4)
+
+
+@query(
+    PACKETS
+    + """, x AS (SELECT pos, cc, coalesce(sum(CASE WHEN cc = 15 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM packets WHERE pid = 264)
+SELECT CAST(line AS BIGINT) AS line, string_agg(CAST(cc AS VARCHAR), ' ' ORDER BY pos) AS text FROM x GROUP BY line"""
+)
+def cc_dump_lines(spark, d):
+    return packets.counter_lines(S.packets(spark, d), 264).select("line", "text")
+
+
+INTERPOLATED = (
+    PACKETS
+    + f""", i AS (
+  SELECT *, last_value(CASE WHEN pcr IS NOT NULL THEN n END IGNORE NULLS) OVER b AS pn, last_value(pcr IGNORE NULLS) OVER b AS pp,
+    first_value(CASE WHEN pcr IS NOT NULL THEN n END IGNORE NULLS) OVER a AS nn, first_value(pcr IGNORE NULLS) OVER a AS np
+  FROM packets WINDOW b AS (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+j AS (SELECT *, (np - pp + {PCR_MOD}) % {PCR_MOD} // (nn - pn) AS step FROM i WHERE pn IS NOT NULL),
+k AS (SELECT *, last_value(CASE WHEN pcr IS NOT NULL THEN step END IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_step FROM j),
+timed AS (SELECT n, pos, pid, pts, dts, pcr, (pp + coalesce(step, last_step, 0) * (n - pn)) % {PCR_MOD} AS acc_pcr FROM k)
+"""
+)
+
+
+@query(INTERPOLATED + "SELECT n, pid, acc_pcr FROM timed")
+def pcr_interpolate(spark, d):
+    return packets.interpolate_pcr(S.packets(spark, d)).select("n", "pid", "acc_pcr")
+
+
+@query(
+    PACKETS
+    + f""", r AS (
+  SELECT pos, pcr, lag(pos) OVER w AS pos1, lag(pcr) OVER w AS pcr1, lag(pos, 2) OVER w AS pos2, lag(pcr, 2) OVER w AS pcr2 FROM packets WHERE pcr IS NOT NULL WINDOW w AS (ORDER BY n)),
+s AS (
+  SELECT *, (pcr - pcr1 + {PCR_MOD}) % {PCR_MOD} AS gap,
+    CAST(trunc(CAST(pcr1 AS DOUBLE) + (27000000.0::DOUBLE * CAST(pos - pos1 AS DOUBLE)) / ((CAST(pos1 - pos2 AS DOUBLE) * 27.0::DOUBLE / CAST((pcr1 - pcr2 + {PCR_MOD}) % {PCR_MOD} AS DOUBLE)) * 1000000.0::DOUBLE)) AS BIGINT) AS guess FROM r),
+t2 AS (SELECT *, CASE WHEN guess IS NULL THEN NULL ELSE (((pcr - guess) % {PCR_MOD}) + {PCR_MOD}) % {PCR_MOD} END AS f FROM s)
+SELECT count(*) AS pcrs, count(*) FILTER (WHERE gap > 2700000) AS bad_gaps, max(gap) AS max_gap,
+  min(CASE WHEN f > {PCR_MOD // 2} THEN f - {PCR_MOD} ELSE f END) AS min_error, max(CASE WHEN f > {PCR_MOD // 2} THEN f - {PCR_MOD} ELSE f END) AS max_error,
+  CAST(floor((CAST(max(pos) - min(pos) AS DOUBLE) * 27000000.0::DOUBLE / CAST(sum(gap) AS DOUBLE)) * 8.0::DOUBLE) AS BIGINT) AS bits_per_second FROM t2"""
+)
+def pcr_gap_stats(spark, d):
+    return packets.pcr_report(S.packets(spark, d)).drop("source")
+
+
+def _span(k: str) -> str:
+    return f"min({k}) AS {k[0]}ts_min, max({k}) AS {k[0]}ts_max, min_by(pos, ({k}, pos)) FILTER (WHERE {k} IS NOT NULL) AS {k[0]}ts_min_pos, max_by(pos, ({k}, -pos)) FILTER (WHERE {k} IS NOT NULL) AS {k[0]}ts_max_pos, CAST(sum({k}) AS BIGINT) // count({k}) AS {k[0]}ts_mean"
+
+
+@query(
+    INTERPOLATED
+    + f""", v AS (SELECT *, coalesce(dts, pts) AS d2, acc_pcr // 300 AS t90 FROM timed),
+w AS (SELECT *, ((pts - t90 + 12884901888) % 8589934592) - 4294967296 AS pahead, ((d2 - t90 + 12884901888) % 8589934592) - 4294967296 AS dahead FROM v)
+SELECT pid, count(*) AS packets, count(*) * 188 AS bytes, count(pts) AS timed, min_by(pts, pos) FILTER (WHERE pts IS NOT NULL) AS first_pts, max_by(pts, pos) FILTER (WHERE pts IS NOT NULL) AS last_pts,
+  {_span('pahead')}, {_span('dahead')} FROM w GROUP BY pid"""
+)
+def buffering_report(spark, d):
+    return packets.buffering(S.packets(spark, d))
+
+
+@query(
+    PACKETS
+    + """, x AS (SELECT pid, pts, coalesce(dts, pts) AS d, pos FROM packets WHERE pts IS NOT NULL),
+y AS (SELECT pid, ((d - lag(d) OVER (PARTITION BY pid ORDER BY pos) + 12884901888) % 8589934592) - 4294967296 AS step, ((pts - d + 12884901888) % 8589934592) - 4294967296 AS ahead FROM x)
+SELECT pid, count(*) AS timed, count(*) FILTER (WHERE step <= 0) AS dts_not_later, count(*) FILTER (WHERE ahead < 0) AS pts_before_dts, min(step) AS min_step, max(step) AS max_step FROM y GROUP BY pid"""
+)
+def dts_monotonic(spark, d):
+    return packets.dts_order(S.packets(spark, d))
+
+
+@query(
+    PACKETS
+    + """, x AS (SELECT pid, us * 27 AS t, count(*) OVER (PARTITION BY pid ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * 188 AS b FROM packets),
+y AS (SELECT pid, t - min(t) OVER w AS dt, b - min(b) OVER w AS db FROM x WINDOW w AS (PARTITION BY pid ORDER BY t RANGE BETWEEN 583200000000 PRECEDING AND CURRENT ROW))
+SELECT pid, max(CASE WHEN dt > 0 THEN CAST(db * 216000000 // dt AS BIGINT) END) AS max_bits_per_second FROM y GROUP BY pid"""
+)
+def max_rate_window(spark, d):
+    x = S.packets(spark, d).withColumn("t", F.col("us") * 27)
+    return packets.max_rate(x, "t", window=6 * 3600 * clock.PCR_HZ).drop("source")
+
+
+@query(PACKETS + ", x AS (SELECT n, pts, lag(pts) OVER (ORDER BY n) AS before FROM packets WHERE pts IS NOT NULL AND pid = 264) SELECT n, ((pts - before + 12884901888) % 8589934592) - 4294967296 AS diff, abs(((pts - before + 12884901888) % 8589934592) - 4294967296) AS distance FROM x")
+def pts_wrap_diff(spark, d):
+    x = S.packets(spark, d).where("pts is not null and pid = 264").withColumn("before", F.lag("pts").over(Window.partitionBy("pid").orderBy("n")))
+    return x.select("n", clock.pts_signed_diff(F.col("pts"), F.col("before")).alias("diff"), clock.pts_diff_abs(F.col("pts"), F.col("before")).alias("distance"))
+
+
+@query(PACKETS + f", x AS (SELECT n, us * 27 % {PCR_MOD} AS a, us * 54 % {PCR_MOD} AS b FROM packets) SELECT n, (a - b + {PCR_MOD}) % {PCR_MOD} AS forward, CASE WHEN (a - b + {PCR_MOD}) % {PCR_MOD} > {PCR_MOD // 2} THEN (a - b + {PCR_MOD}) % {PCR_MOD} - {PCR_MOD} ELSE (a - b + {PCR_MOD}) % {PCR_MOD} END AS nearest FROM x")
+def pcr_wrap_diff(spark, d):
+    x = S.packets(spark, d)
+    a, b = clock.pcr_unsigned_wrap(F.col("us") * 27), clock.pcr_unsigned_wrap(F.col("us") * 54)
+    return x.select("n", clock.pcr_unsigned_diff(a, b).alias("forward"), clock.pcr_signed_diff(a, b).alias("nearest"))
+
+
+@query(PACKETS + ", x AS (SELECT n, pcr, pcr // 27 AS u FROM packets WHERE pcr IS NOT NULL) SELECT n, format('{}:{:02d}:{:02d}.{:04d}', u // 3600000000, u // 60000000 % 60, u // 1000000 % 60, u % 1000000 // 1000) AS hms, (pcr // 27000) || 'ms' AS ms, (pcr // 300) || 't' AS t90, format('{}:{:03d}t', pcr // 300, pcr % 300) AS t27 FROM x")
+def timestamp_formats(spark, d):
+    x, p = S.packets(spark, d).where("pcr is not null"), F.col("pcr")
+    return x.select("n", *[clock.format_time(p, k).alias(name) for k, name in (("hms", "hms"), ("ms", "ms"), ("90", "t90"), ("27", "t27"))])
+
+
+# --- program tables ------------------------------------------------------------------------------
+
+
+@query(TABLES + "SELECT DISTINCT program_number, pmt_pid, stream_type, elementary_pid FROM programs JOIN streams USING (pmt_pid) WHERE program_number <> 0")
+def pat_pmt_join(spark, d):
+    return tables.program_streams(S.programs(spark, d), S.streams(spark, d)).select("program_number", "pmt_pid", "stream_type", "elementary_pid")
+
+
+@query(TABLES + ", " + PACKETS.replace("WITH ", "", 1).strip() + " SELECT p.n, p.pid, s.stream_type FROM packets p LEFT JOIN (SELECT elementary_pid, min_by(stream_type, pos) AS stream_type FROM streams GROUP BY 1) s ON p.pid = s.elementary_pid")
+def pid_stream_type_left_join(spark, d):
+    return tables.with_stream_type(S.packets(spark, d), S.streams(spark, d)).select("n", "pid", "stream_type")
+
+
+@query(TABLES + "SELECT program_number, pmt_pid FROM programs WHERE program_number <> 0 ORDER BY pos, program_number LIMIT 1 OFFSET 1")
+def program_select_nth(spark, d):
+    return tables.select_program(S.programs(spark, d), index=2).select("program_number", "pmt_pid")
+
+
+@query(TABLES + ", " + PACKETS.replace("WITH ", "", 1).strip() + " SELECT pid, count(*) AS packets FROM packets WHERE pid NOT IN (SELECT elementary_pid FROM streams) GROUP BY pid")
+def unknown_pids(spark, d):
+    return tables.unknown_pids(S.packets(spark, d), S.streams(spark, d)).drop("source")
+
+
+@query(TABLES + "SELECT min_by(elementary_pid, pos) FILTER (WHERE stream_type IN (1, 2, 27, 36, 66, 16)) AS video_pid, min_by(elementary_pid, pos) FILTER (WHERE stream_type IN (3, 4, 15, 17, 6, 129)) AS audio_pid FROM streams")
+def choose_av_pids(spark, d):
+    return tables.choose_pids(S.streams(spark, d)).drop("source")
+
+
+@query(TABLES + "SELECT elementary_pid, stream_type IN (1, 2, 27, 36, 66, 16) AS video, stream_type IN (3, 4, 15, 17, 6, 129) AS audio FROM streams")
+def stream_kind_predicates(spark, d):
+    s = F.col("stream_type")
+    return S.streams(spark, d).select("elementary_pid", codes.is_video_type(s).alias("video"), codes.is_audio_type(s).alias("audio"))
+
+
+@query("WITH x AS (SELECT o_custkey + 32 AS pmt_pid, o_orderkey AS pos, o_orderpriority AS v, lag(o_orderpriority) OVER w AS b, row_number() OVER w AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT pmt_pid, pos, v AS version FROM x WHERE rn = 1 OR v IS DISTINCT FROM b")
+def pmt_change_detect(spark, d):
+    x = S.table(spark, d, "orders").select(F.lit("orders").alias("source"), (F.col("o_custkey") + 32).alias("pmt_pid"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("version"))
+    return tables.table_changes(x, F.col("version")).drop("source")
+
+
+@query("SELECT o_custkey + 32 AS pmt_pid, o_orderkey AS pos, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS until FROM orders")
+def pmt_validity(spark, d):
+    x = S.table(spark, d, "orders").select(F.lit("orders").alias("source"), (F.col("o_custkey") + 32).alias("pmt_pid"), F.col("o_orderkey").alias("pos"))
+    return tables.validity(x).drop("source")
+
+
+# --- PES and sections ----------------------------------------------------------------------------
+
+ISLANDS = "WITH x AS (SELECT *, lag(role) OVER w IS DISTINCT FROM role AS start FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), y AS (SELECT *, sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM x) "
+
+
+@query(ISLANDS + "SELECT conv_id, CAST(island AS BIGINT) AS island, count(*) AS packets, CAST(sum(strlen(text)) AS BIGINT) AS bytes, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM y GROUP BY conv_id, island")
+def pes_reassembly(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = S.table(spark, d, "conversations").withColumn("start", ~F.lag("role").over(w).eqNullSafe(F.col("role")))
+    x = packets.islands(x, ["conv_id"], "turn", F.col("start"))
+    joined = elementary.concat_ordered(F.col("turn"), F.col("text").cast("binary"))
+    return x.groupBy("conv_id", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("packets"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.sha2(joined, 256).alias("digest"))
+
+
+# --- frames --------------------------------------------------------------------------------------
+
+
+@query(FRAMES + "SELECT kind, count(*) AS frames, min(size) AS min_size, max(size) AS max_size, CAST(sum(size) // count(*) AS BIGINT) AS mean_size, CAST(sum(size) AS BIGINT) AS total_size FROM frames GROUP BY ROLLUP (kind)")
+def frame_size_by_type(spark, d):
+    return frames.sizes_by_kind(S.frames(spark, d))
+
+
+@query(FRAMES + "SELECT slice_class, count(*) FILTER (WHERE category = 'idr') AS idr, count(*) FILTER (WHERE category = 'reference') AS reference, count(*) FILTER (WHERE category = 'other') AS other FROM frames GROUP BY slice_class")
+def frame_category_slice_pivot(spark, d):
+    return frames.category_by_slices(S.frames(spark, d), ["idr", "reference", "other"])
+
+
+@query(FRAMES + "SELECT 'ref_idc' AS measure, ref_idc AS value, count(*) AS units FROM frames GROUP BY ref_idc UNION ALL SELECT 'unit_type', CASE WHEN unit_type BETWEEN 13 AND 23 THEN 13 WHEN unit_type >= 24 THEN 24 ELSE unit_type END AS v, count(*) FROM frames GROUP BY v UNION ALL SELECT 'slice_type', slice_type, count(*) FROM frames GROUP BY slice_type")
+def nal_histogram_grouping_sets(spark, d):
+    return frames.unit_histograms(S.frames(spark, d))
+
+
+@query(FRAMES + ", x AS (SELECT source, idx, coalesce(last_value(afd IGNORE NULLS) OVER (PARTITION BY source ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS afd FROM frames), y AS (SELECT *, coalesce(lag(afd) OVER (PARTITION BY source ORDER BY idx), 0) AS b FROM x) SELECT source, idx, afd FROM y WHERE afd <> b")
+def afd_changes(spark, d):
+    return frames.afd_changes(S.frames(spark, d).dropDuplicates(["source", "idx"]).select("source", "idx", "afd"))
+
+
+GOPS = FRAMES + ", x AS (SELECT source, sum(CASE WHEN kind = 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY idx) AS gop, size FROM frames), g AS (SELECT source, gop, count(*) AS frames, sum(size) AS bytes FROM x WHERE gop > 0 GROUP BY source, gop) "
+
+
+@query(GOPS + "SELECT source, count(*) AS gops, min(frames) AS min_frames, max(frames) AS max_frames, CASE WHEN count(*) > 1 THEN sum(frames) / count(*) END AS mean_frames FROM g GROUP BY source")
+def gop_stats(spark, d):
+    return frames.gop_report(S.frames(spark, d), F.col("kind") == "I")
+
+
+MARK = "CASE WHEN idr THEN 'D' ELSE (CASE WHEN ref THEN upper(l) ELSE lower(l) END) END"
+
+
+@query(FRAMES + f", x AS (SELECT source, idx, (row_number() OVER (PARTITION BY source ORDER BY idx) - 1) // 5 AS line, CASE slice_class WHEN 'mixed' THEN 'X' ELSE slice_class END AS l, idr, ref FROM frames) SELECT source, line, string_agg({MARK}, '' ORDER BY idx) AS dots FROM x GROUP BY source, line")
+def dots_string(spark, d):
+    return frames.dots(S.frames(spark, d), frames.avc_mark(F.col("ref"), F.col("idr"), F.col("slice_class"), F.lit(True)), 5)
+
+
+@query(FRAMES + "SELECT source, idx, size FROM frames WHERE idr OR (ref AND slice_class = 'I')")
+def strip_reference_frames(spark, d):
+    return frames.strip_to_reference(S.frames(spark, d)).select("source", "idx", "size")
+
+
+@query(FRAMES + ", h AS (SELECT source, idx, slice_type AS c, lag(slice_type) OVER w AS b, row_number() OVER w AS rn FROM frames WHERE kind = 'I' WINDOW w AS (PARTITION BY source ORDER BY idx)) SELECT source, idx, c AS content FROM h WHERE rn = 1 OR c <> b UNION ALL SELECT source, idx, slice_type FROM frames WHERE kind <> 'I'")
+def seq_header_dedupe(spark, d):
+    x = S.frames(spark, d).select("source", "idx", F.col("slice_type").alias("content"), (F.col("kind") == "I").alias("is_header"))
+    return frames.drop_repeated_headers(x).select("source", "idx", "content")
+
+
+@query(FRAMES + ", x AS (SELECT source, idx, row_number() OVER (PARTITION BY source ORDER BY idx DESC) - 1 AS r FROM frames) SELECT source, idx, r // 2 + 1 AS out_no FROM x WHERE r % 2 = 0")
+def reverse_every_n(spark, d):
+    return frames.reverse(S.frames(spark, d), 2).select("source", "idx", F.col("out_no").cast("long").alias("out_no"))
+
+
+@query(FRAMES + ", f AS (SELECT source, min(idx) AS t FROM frames WHERE ref GROUP BY source) SELECT frames.source, idx FROM frames JOIN f ON frames.source = f.source AND idx <= t")
+def up_to_reference(spark, d):
+    return frames.up_to_reference(S.frames(spark, d)).select("source", "idx")
+
+
+@query()
+def keep_every_n(spark, d):
+    return frames.keep_every(S.frames(spark, d).where("ref"), 3)
+
+
+@query(PACKETS + ", x AS (SELECT us AS time, 0 AS kind, size FROM packets WHERE kind = 'view' UNION ALL SELECT us, 1, size FROM packets WHERE kind = 'click') SELECT time, kind, size, row_number() OVER (ORDER BY time, kind, size) AS out_no FROM x")
+def av_merge_by_pts(spark, d):
+    x = S.packets(spark, d).select("source", F.col("us").alias("time"), "size", F.col("kind").alias("k"))
+    return frames.merge_by_time(x.where("k = 'view'"), x.where("k = 'click'")).select("time", "kind", "size", F.col("out_no").cast("long").alias("out_no"))
+
+
+# --- captures ------------------------------------------------------------------------------------
+
+KEY = "vlan, dst_ip, dst_port"
+
+
+@query(CAPTURE + f"SELECT {KEY}, min(pkt_no) AS first_pkt, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE size % 188 = 0) AS good, count(*) FILTER (WHERE size % 188 <> 0) AS dodgy, min_by(ssrc, pkt_no) AS first_ssrc, count(DISTINCT ssrc) > 1 AS several_ssrc, bit_or(CAST(1 << pcp AS INTEGER)) AS pcp_bits, row_number() OVER (ORDER BY min(pkt_no)) - 1 AS stream_no FROM capture GROUP BY {KEY}")
+def capture_stream_stats(spark, d):
+    x = captures.number_streams(captures.stream_report(S.capture(spark, d))).drop("source")
+    return x.withColumn("stream_no", F.col("stream_no").cast("long"))
+
+
+@query(CAPTURE + f", x AS (SELECT {KEY}, bit_or(CAST(1 << pcp AS INTEGER)) AS b FROM capture GROUP BY {KEY}) SELECT {KEY}, array_to_string(list_filter(range(16), lambda i: (b >> i) & 1 = 1), ',') AS pcps FROM x")
+def vlan_bitmap(spark, d):
+    x = captures.stream_report(S.capture(spark, d))
+    return x.select("vlan", "dst_ip", "dst_port", F.array_join(bits.set_bits(F.col("pcp_bits")).cast("array<string>"), ",").alias("pcps"))
+
+
+@query(CAPTURE + f", x AS (SELECT *, lag(seq) OVER (PARTITION BY {KEY} ORDER BY pkt_no) AS b FROM capture) SELECT pkt_no, (seq - b - 1 + 65536) % 65536 AS gap FROM x WHERE (seq - b - 1 + 65536) % 65536 > 0")
+def rtp_seq_gap(spark, d):
+    return captures.sequence_gaps(S.capture(spark, d)).select("pkt_no", "gap")
+
+
+SECTIONS = CAPTURE + f", x AS (SELECT *, lag(t90) OVER (PARTITION BY {KEY} ORDER BY pkt_no) AS b FROM capture), s AS (SELECT *, sum(CASE WHEN abs(t90 - b) > 1944000000 THEN 1 ELSE 0 END) OVER (PARTITION BY {KEY} ORDER BY pkt_no) AS section FROM x) "
+
+
+@query(SECTIONS + f"SELECT {KEY}, CAST(section AS BIGINT) AS section, count(*) AS packets FROM s GROUP BY {KEY}, section")
+def section_split(spark, d):
+    x = captures.sections(S.capture(spark, d), 1944000000)
+    return x.groupBy("vlan", "dst_ip", "dst_port", F.col("section").cast("long").alias("section")).agg(F.count("*").alias("packets"))
+
+
+@query(
+    SECTIONS
+    + f""", r AS (SELECT {KEY}, CAST(section AS BIGINT) AS section, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, max_by(t90, pkt_no) - min_by(t90, pkt_no) AS time_span, ((max_by(pcr90, pkt_no) - min_by(pcr90, pkt_no) + 12884901888) % 8589934592) - 4294967296 AS clock_span FROM s GROUP BY {KEY}, section)
+SELECT *, clock_span - time_span AS drift, CASE WHEN time_span > 0 THEN CAST((clock_span - time_span) * 5400000 // time_span AS BIGINT) END AS drift_per_minute, CASE WHEN time_span > 0 THEN bytes * 720000 // time_span END AS bits_per_second FROM r"""
+)
+def drift_per_section(spark, d):
+    x = captures.sections(S.capture(spark, d), 1944000000).withColumn("section", F.col("section").cast("long"))
+    return captures.section_report(x).drop("source")
+
+
+@query()
+def section_split_by_skew(spark, d):
+    return captures.sections_by_skew(S.capture(spark, d), 1944000000).select("pkt_no", "section", "skew")
+
+
+@query(CAPTURE + f", x AS (SELECT pkt_no, vlan, dst_ip, dst_port, t90, (pcr90 - t90) % 1000 AS s FROM capture) SELECT pkt_no, max(s) OVER w - min(s) OVER w AS jitter FROM x WINDOW w AS (PARTITION BY {KEY} ORDER BY t90 RANGE BETWEEN 900000000 PRECEDING AND CURRENT ROW)")
+def jitter_window(spark, d):
+    return captures.jitter(S.capture(spark, d), (F.col("pcr90") - F.col("t90")) % 1000, 900_000_000).select("pkt_no", "jitter")
+
+
+# --- conversion ----------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS pos, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS out_no FROM lineitem WHERE l_quantity = 1")
+def m2ts_reorder(spark, d):
+    x = S.table(spark, d, "lineitem").where("l_quantity = 1").select(F.lit("l").alias("source"), F.struct("l_orderkey", "l_linenumber").alias("pos"), F.col("l_shipdate").alias("stamp"))
+    return packets.reorder(x, "stamp").select(F.col("pos.l_orderkey").alias("pos"), F.col("out_no").cast("long").alias("out_no"))
+
+
+@query("WITH t AS (SELECT count(*) AS n FROM events) SELECT event_id AS n, 1 AS kind FROM events UNION ALL SELECT CAST(trunc(f * n) AS BIGINT), 0 FROM t, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) v(f)")
+def packet_insert_fraction(spark, d):
+    x = S.packets(spark, d)
+    return packets.insert_at(x, [0.25, 0.5, 0.9], x.count())
+
+
+@query(PACKETS + "SELECT n, n // 7 AS item, n // 7 * 7 * 188 * 1000000 // 250000 AS send_us FROM packets")
+def pacing_schedule(spark, d):
+    return packets.schedule(S.packets(spark, d)).select("n", "item", "send_us")
+
+
+@query()
+def pacing_by_pcr(spark, d):
+    return packets.schedule_by_pcr(S.packets(spark, d)).select("n", "epoch", "send_us")
+
+
+@query("SELECT page_id, CAST(len(string_split(html, '<p')) - 1 AS BIGINT) AS units, CAST(strlen(html) - strlen(string_split(html, '<p')[1]) AS BIGINT) AS bytes FROM pages WHERE contains(html, '<p')")
+def start_code_units(spark, d):
+    x = S.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("source"), F.lit(0).cast("long").alias("infile"), F.col("html").cast("binary").alias("data"))
+    u = elementary.split_units(x, b"<p")
+    return u.groupBy(F.col("source").cast("long").alias("page_id")).agg(F.count("*").alias("units"), F.sum(F.octet_length("data").cast("long")).alias("bytes"))
+
+
+@query("SELECT p_partkey, hex(encode(p_name)) AS data FROM part")
+def emulation_round_trip(spark, d):
+    x = S.table(spark, d, "part").select("p_partkey", F.col("p_name").cast("binary").alias("data"))
+    zeros = F.unhex(F.lit("000003"))
+    x = x.withColumn("data", bits.remove_emulation_prevention(F.concat("data", zeros)))
+    return x.select("p_partkey", F.hex(F.expr("substring(data, 1, length(data) - 2)")).alias("data"))
+
+
+@query(PACKETS + "SELECT n, pts FROM packets WHERE pts IS NOT NULL")
+def pts_round_trip(spark, d):
+    x = S.packets(spark, d).where("pts is not null")
+    return x.select("n", elementary.decode_pts(elementary.encode_pts(F.col("pts"), 2), 2)["value"].alias("pts"))
+
+
+@query(PACKETS + "SELECT n, pid, cc, disc, pcr FROM packets")
+def packet_round_trip(spark, d):
+    from muxlake.operators import transport
+
+    raw = transport.build(S.packets(spark, d).withColumn("payload", F.lit(b"abc")))
+    x = transport.parse(raw.select("source", "n", "pos", "raw"))
+    return x.select("n", F.col("pid").cast("long").alias("pid"), F.col("cc").cast("long").alias("cc"), "disc", "pcr")
+
+
+@query()
+def crc32_mpeg(spark, d):
+    return S.table(spark, d, "part").select("p_partkey", bits.crc32_mpeg(F.col("p_name").cast("binary")).alias("crc"))
+
+
+@query()
+def exp_golomb_decode(spark, d):
+    return S.table(spark, d, "part").select("p_partkey", bits.exp_golomb(F.col("p_name").cast("binary"), F.lit(4)).alias("values"))
