@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,39 +38,35 @@ def split_units(chunks: DataFrame, prefix: bytes = b"\x00\x00\x01") -> DataFrame
     """``(source, start, data)``: units from each ``prefix`` to the next, over chunk boundaries.
 
     ``chunks`` has (source, infile, data): consecutive pieces of a source at offsets ``infile``. Each
-    chunk is searched with the last bytes of the one before; a unit's data is put together from the
+    chunk is searched with the first bytes of those after it; a unit's data is put together from the
     chunks it covers. Bytes before the first prefix belong to no unit.
     """
     tail = len(prefix) - 1
     w = Window.partitionBy("source").orderBy("infile")
-    x = chunks.select("source", "infile", "data", F.lag(F.expr(f"substring(data, greatest(1, length(data) - {tail - 1}))")).over(w).alias("before"))
+    head = F.expr(f"substring(data, 1, {tail})")
+    after = F.concat(*[F.coalesce(F.lead(head, k).over(w), F.unhex(F.lit(""))) for k in range(1, tail + 1)])
+    x = chunks.where("length(data) > 0").select("source", "infile", "data", after.alias("after"))
     schema = pa.schema([("source", pa.string()), ("at", pa.int64()), ("starts", pa.bool_()), ("data", pa.binary())])
 
     def run(batches):
         for batch in batches:
             source, at, starts, data = [], [], [], []
             for r in batch.to_pylist():
-                before = r["before"] or b""
-                both = before + (r["data"] or b"")
-                base, places, i = r["infile"] - len(before), [], both.find(prefix)
+                own, places = r["data"], []
+                both = own + r["after"][:tail]
+                i = both.find(prefix)
                 while i >= 0:
                     places.append(i)
                     i = both.find(prefix, i + 1)
-                # a prefix that began in the chunk before takes its first bytes along
-                edge = places[0] if places and places[0] < len(before) else len(before)
-                cuts = sorted({edge, *places, len(both)})
+                cuts = sorted({0, *places, len(own)})
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     source.append(r["source"])
-                    at.append(base + a)
+                    at.append(r["infile"] + a)
                     starts.append(a in places)
-                    data.append(both[a:b])
+                    data.append(own[a:b])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((source, at, starts, data), schema)], schema=schema)
 
     parts = x.mapInArrow(run, "source string, at long, starts boolean, data binary")
-    # bytes that the next chunk's first unit takes along end the piece before them
-    nxt = F.lead("at").over(Window.partitionBy("source").orderBy("at"))
-    parts = parts.withColumn("_n", nxt)
-    parts = parts.withColumn("data", F.when(F.col("_n").isNull(), F.col("data")).otherwise(F.substring(F.col("data"), F.lit(1), (F.col("_n") - F.col("at")).cast("int"))))
     rows = islands(parts, ["source"], "at", F.col("starts"), "unit").where("unit > 0")
     return rows.groupBy("source", "unit").agg(F.min("at").alias("start"), concat_ordered(F.col("at"), F.col("data")).alias("data")).drop("unit")
 
@@ -86,15 +83,16 @@ def video_type(units: DataFrame, limit: int = 500) -> DataFrame:
     c = F.col("start_code")
     x = units.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= limit)
     ref, kind = bits(c, 5, 3), c.bitwiseAND(31)
-    bad_pair = ((ref == 0) & kind.isin(5, 7, 8)) | ((ref != 0) & kind.isin(6, 9, 10, 11, 12))
+    bad_pair = (kind > 12) | ((ref == 0) & kind.isin(5, 7, 8)) | ((ref != 0) & kind.isin(6, 9, 10, 11, 12))
     out = x.groupBy("source").agg(
         F.bool_or(c >= 0xB9).alias("pes"),
         (~F.bool_or((c >= 0x80) | bad_pair)).alias("h264"),
         (~F.bool_or(c.isin(0xB0, 0xB1, 0xB6))).alias("h262"),
         (~F.bool_or(c.isin(0xB4, 0xB8))).alias("avs"),
     )
-    sure = F.col("h264").cast("int") + F.col("h262").cast("int") + F.col("avs").cast("int")
-    return out.withColumn("video", F.when(F.col("pes"), "probably PES").when(sure != 1, "unknown").when(F.col("h264"), "H.264").when(F.col("h262"), "H.262").otherwise("AVS"))
+    one = F.col("h262") != F.col("avs")
+    # the other two kinds cannot go on for long without a code that rules H.264 out
+    return out.withColumn("video", F.when(F.col("pes"), "probably PES").when(F.col("h264"), "H.264").when(~one, "unknown").when(F.col("h262"), "H.262").otherwise("AVS"))
 
 
 # --- H.262 ---------------------------------------------------------------------------------------
@@ -156,8 +154,6 @@ def pair_fields(pictures: DataFrame, by: str = "temporal_reference") -> DataFram
             pair = field and b is not None and b.structure in (1, 2) and b.structure != a.structure and getattr(a, by) == getattr(b, by)
             out.append((a.source, a.idx, a.size + (b.size if pair else 0), a.kind, 2 if pair else 1, bool(field and not pair)))
             i += 2 if pair else 1
-        import pandas as pd
-
         return pd.DataFrame(out, columns=["source", "idx", "size", "kind", "fields", "unmatched"])
 
     rows = pictures.where("structure is not null").select("source", "idx", "size", "kind", "structure", by)
@@ -173,11 +169,15 @@ def picture_headers(pictures: DataFrame) -> DataFrame:
 
 # --- H.264 ---------------------------------------------------------------------------------------
 
-NAL = "source string, start long, len int, ref_idc int, unit_type int, err string, sps struct<id: int, profile: int, level: int, log2_frame_num: int, poc_type: int, log2_poc: int, delta_zero: boolean, frame_mbs_only: boolean>, pps struct<id: int, sps_id: int, entropy: boolean, pic_order: boolean, redundant: boolean>, sei struct<type: int, size: int, recovery: int>, rbsp binary"
+NAL = "source string, start long, len int, ref_idc int, unit_type int, err string, sps struct<id: int, profile: int, level: int, log2_frame_num: int, poc_type: int, log2_poc: int, delta_zero: boolean, frame_mbs_only: boolean>, pps struct<id: int, sps_id: int, entropy: boolean, pic_order: boolean, redundant: boolean>, sei struct<type: int, size: int, recovery: int>, pps_id int, rbsp binary"
 
 
 def nal_units(units: DataFrame) -> DataFrame:
     """Units as NALs with parameter sets decoded; slices keep their first bytes for later."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(NAL))
 
     def sps(r: BitReader) -> dict:
         profile, _, level = r.read(8), r.read(8), r.read(8)
@@ -227,22 +227,21 @@ def nal_units(units: DataFrame) -> DataFrame:
         return {"type": values[0], "size": values[1], "recovery": BitReader(data[at:]).ue() if values[0] == 6 else None}
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        schema = to_arrow_schema(StructType.fromDDL(NAL))
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 d = r["data"][3:].rstrip(b"\x00") or b"\x00"
                 kind = d[0] & 31
-                row = {"source": r["source"], "start": r["start"], "len": r["len"], "ref_idc": d[0] >> 5 & 3, "unit_type": kind, "err": "forbidden bit" if d[0] & 0x80 else None, "sps": None, "pps": None, "sei": None, "rbsp": None}
+                row = {"source": r["source"], "start": r["start"], "len": r["len"], "ref_idc": d[0] >> 5 & 3, "unit_type": kind, "err": "forbidden bit" if d[0] & 0x80 else None, "sps": None, "pps": None, "sei": None, "pps_id": None, "rbsp": None}
                 try:
                     if row["err"] is None and kind in (6, 7, 8):
                         body = unescape(d[1:])
                         row[{6: "sei", 7: "sps", 8: "pps"}[kind]] = sei(body) if kind == 6 else sps(BitReader(body)) if kind == 7 else pps(BitReader(body))
                     elif kind in (1, 5):
-                        row["rbsp"] = unescape(d[1:64])
+                        head = unescape(d[1:64])
+                        r2 = BitReader(head)
+                        r2.ue(), r2.ue()
+                        row["pps_id"], row["rbsp"] = r2.ue(), head
                 except (EOFError, IndexError):
                     row["err"] = "short"
                 rows.append(row)
@@ -253,25 +252,17 @@ def nal_units(units: DataFrame) -> DataFrame:
 
 def with_parameter_sets(nals: DataFrame) -> DataFrame:
     """Slices with the parameter sets in force: the last definition of each id before the slice."""
-    w = Window.partitionBy("source").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-
-    def remembered(column: str) -> Column:
-        # definitions so far, looked up from the last backwards
-        seen = F.collect_list(F.when(F.col(column).isNotNull(), F.col(column))).over(w)
-        return F.reverse(seen)
-
-    x = nals.withColumn("_pps", remembered("pps")).withColumn("_sps", remembered("sps"))
+    is_slice = F.col("rbsp").isNotNull()
+    # units of neither kind are spread, as they look nothing up
+    spread = -1 - F.col("start") % 4096
 
-    @F.udf("int")
-    def pps_of(rbsp):
-        r = BitReader(bytes(rbsp))
-        r.ue(), r.ue()
-        return r.ue()
+    def latest(df: DataFrame, column: str, wanted: Column) -> DataFrame:
+        key = F.when(is_slice, wanted).when(F.col(column).isNotNull(), F.col(f"{column}.id"))
+        w = Window.partitionBy("source", "_key").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+        own = F.when(~is_slice, F.col(column))
+        return df.withColumn("_key", F.coalesce(key, spread)).withColumn(column, F.when(is_slice, F.last(own, True).over(w)).otherwise(F.col(column))).drop("_key")
 
-    x = x.withColumn("pps_id", F.when(F.col("rbsp").isNotNull(), pps_of("rbsp")))
-    x = x.withColumn("pps", F.when(F.col("rbsp").isNotNull(), F.filter("_pps", lambda p: p["id"] == F.col("pps_id"))[0]).otherwise(F.col("pps")))
-    x = x.withColumn("sps", F.when(F.col("rbsp").isNotNull(), F.filter("_sps", lambda p: p["id"] == F.col("pps.sps_id"))[0]).otherwise(F.col("sps")))
-    return x.drop("_pps", "_sps", "pps_id")
+    return latest(latest(nals, "pps", F.col("pps_id")), "sps", F.col("pps.sps_id"))
 
 
 SLICE = "struct<first_mb: int, slice_type: int, pps_id: int, frame_num: int, field: boolean, bottom: boolean, idr_id: int, poc_lsb: int, delta_poc: int, delta0: int, delta1: int, redundant: int>"
@@ -279,7 +270,6 @@ SLICE = "struct<first_mb: int, slice_type: int, pps_id: int, frame_num: int, fie
 
 def slice_headers(nals: DataFrame) -> DataFrame:
     """Adds ``slice``: header fields of slices that have their parameter sets."""
-    import pandas as pd
 
     def one(rbsp, kind, sps, pps):
         if rbsp is None or sps is None or pps is None:
@@ -388,5 +378,5 @@ def avs_frames(units: DataFrame) -> DataFrame:
     c, d = F.col("start_code"), F.col("data")
     x = islands(units, ["source"], "start", c.isin(0xB3, 0xB6, 0xB0, 0xB1), "idx").where("idx > 0")
     coding = F.when(c == 0xB3, "I").when(c == 0xB6, F.element_at(F.array(F.lit("P"), F.lit("B")), bits(uint(d, 6), 6, 3).cast("int")))
-    x = x.select("*", coding.alias("coding"), F.when(c == 0xB0, bits(uint(d, 11, 2), 7, 15)).alias("rate_code"))
+    x = x.select("*", coding.alias("coding"), F.when(c == 0xB0, bits(uint(d, 10, 2), 6, 15)).alias("rate_code"))
     return x.groupBy("source", "idx").agg(F.min("start").alias("start"), F.sum("len").alias("size"), F.max("coding").alias("kind"), F.bool_or(F.col("start_code") == 0xB0).alias("is_seq_header"), F.max("rate_code").alias("rate_code"))

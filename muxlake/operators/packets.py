@@ -14,6 +14,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from muxlake.functions import clock
 
@@ -225,7 +226,7 @@ def reorder(packets: DataFrame, stamp: str, depth: int | None = None) -> DataFra
     if depth is None:
         w = Window.partitionBy("source").orderBy(stamp, "pos")
         return packets.withColumn("out_no", F.row_number().over(w))
-    shape = packets.schema.add("out_no", "int")
+    shape = T.StructType([*packets.schema.fields, T.StructField("out_no", T.IntegerType())])
 
     def run(pdf):
         import heapq
