@@ -158,7 +158,8 @@ def label(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, text, target)``: ``target`` marks documents labelled as of good quality."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
+    # one plan at every size: whether labels fit a broadcast would else decide if texts move
+    return rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
 
 
 def score(labelled: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
