@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from muxlake.functions import bits, clock, codes
 from muxlake.functions.clock import PCR_MOD
-from muxlake.operators import captures, elementary, frames, packets, tables
+from muxlake.operators import captures, convert, elementary, frames, packets, tables, transport, trickplay
 from muxlake.plans import synthetic as S
+from muxlake.sources import files
 from muxlake.plans.synthetic import CAPTURE, FRAMES, PACKETS, TABLES
 
 QUERIES: dict = {}
@@ -159,9 +160,9 @@ def max_rate_window(spark, d):
     return packets.max_rate(x, "t", window=6 * 3600 * clock.PCR_HZ).drop("source")
 
 
-@query(PACKETS + ", x AS (SELECT n, pts, lag(pts) OVER (ORDER BY n) AS before FROM packets WHERE pts IS NOT NULL AND pid = 264) SELECT n, ((pts - before + 12884901888) % 8589934592) - 4294967296 AS diff, abs(((pts - before + 12884901888) % 8589934592) - 4294967296) AS distance FROM x")
+@query(PACKETS + ", x AS (SELECT n, pts, lag(pts) OVER (PARTITION BY pid ORDER BY n) AS before FROM packets WHERE pts IS NOT NULL) SELECT n, ((pts - before + 12884901888) % 8589934592) - 4294967296 AS diff, abs(((pts - before + 12884901888) % 8589934592) - 4294967296) AS distance FROM x")
 def pts_wrap_diff(spark, d):
-    x = S.packets(spark, d).where("pts is not null and pid = 264").withColumn("before", F.lag("pts").over(Window.partitionBy("pid").orderBy("n")))
+    x = S.packets(spark, d).where("pts is not null").withColumn("before", F.lag("pts").over(Window.partitionBy("pid").orderBy("n")))
     return x.select("n", clock.pts_signed_diff(F.col("pts"), F.col("before")).alias("diff"), clock.pts_diff_abs(F.col("pts"), F.col("before")).alias("distance"))
 
 
@@ -363,9 +364,9 @@ def jitter_window(spark, d):
 # --- conversion ----------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey AS pos, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS out_no FROM lineitem WHERE l_quantity = 1")
+@query("SELECT l_orderkey AS pos, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS out_no FROM lineitem")
 def m2ts_reorder(spark, d):
-    x = S.table(spark, d, "lineitem").where("l_quantity = 1").select(F.lit("l").alias("source"), F.struct("l_orderkey", "l_linenumber").alias("pos"), F.col("l_shipdate").alias("stamp"))
+    x = S.table(spark, d, "lineitem").select(F.lit("l").alias("source"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("l_shipdate").alias("stamp"))
     return packets.reorder(x, "stamp").select(F.col("pos.l_orderkey").alias("pos"), F.col("out_no").cast("long").alias("out_no"))
 
 
@@ -408,8 +409,6 @@ def pts_round_trip(spark, d):
 
 @query(PACKETS + "SELECT n, pid, cc, disc, pcr FROM packets")
 def packet_round_trip(spark, d):
-    from muxlake.operators import transport
-
     raw = transport.build(S.packets(spark, d).withColumn("payload", F.lit(b"abc")))
     x = transport.parse(raw.select("source", "n", "pos", "raw"))
     return x.select("n", F.col("pid").cast("long").alias("pid"), F.col("cc").cast("long").alias("cc"), "disc", "pcr")
@@ -423,3 +422,45 @@ def crc32_mpeg(spark, d):
 @query()
 def exp_golomb_decode(spark, d):
     return S.table(spark, d, "part").select("p_partkey", bits.exp_golomb(F.col("p_name").cast("binary"), F.lit(4)).alias("values"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS source, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def es_transport_round_trip(spark, d):
+    x = S.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("start"), F.col("text").cast("binary").alias("data"))
+    parsed = transport.parse(transport.lay_out(convert.es_to_transport(x)))
+    es = convert.extract_first(parsed)
+    return es.groupBy("source").agg(F.sha2(elementary.concat_ordered(F.col("pos"), F.col("es_data")), 256).alias("digest"))
+
+
+@query("SELECT l_returnflag AS kind, l_linenumber AS number, count(*) AS packets, CAST(min(l_quantity) AS BIGINT) AS min_len, CAST(max(l_quantity) AS BIGINT) AS max_len, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) // count(*) AS mean_len FROM lineitem GROUP BY l_returnflag, l_linenumber")
+def ps_stream_sizes(spark, d):
+    x = S.table(spark, d, "lineitem").select(F.lit("f").alias("source"), F.lit(189).alias("stream_id"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("number"), F.col("l_quantity").cast("long").alias("len"))
+    return files.stream_sizes(x).drop("source")
+
+
+_TYPE_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.STREAM_TYPES.items())
+
+
+@query(f"SELECT p_partkey, p_size * 5 AS stream_type, CASE p_size * 5 {_TYPE_CASES} ELSE CASE WHEN p_size * 5 BETWEEN 29 AND 125 THEN 'H.220.0/13818-1 reserved' WHEN p_size * 5 BETWEEN 128 AND 255 THEN 'User private' ELSE 'Unrecognised' END END AS text FROM part")
+def stream_type_names(spark, d):
+    t = F.col("p_size") * 5
+    return S.table(spark, d, "part").select("p_partkey", t.alias("stream_type"), codes.stream_type_text(t).alias("text"))
+
+
+@query("WITH x AS (SELECT c_custkey, c_custkey * 65537 % 4294967296 AS v FROM customer) SELECT c_custkey, format('{}.{}.{}.{}', v // 16777216, v // 65536 % 256, v // 256 % 256, v % 256) AS ip, v AS value FROM x")
+def ipv4_round_trip(spark, d):
+    v = F.col("c_custkey") * 65537 % 4294967296
+    x = S.table(spark, d, "customer").select("c_custkey", bits.ipv4_text(v).alias("ip"))
+    return x.select("c_custkey", "ip", bits.ipv4_value(F.col("ip")).alias("value"))
+
+
+@query()
+def trick_play(spark, d):
+    x = S.packets(spark, d).select("source", F.col("n").alias("idx"), (F.col("kind") == "view").alias("ref"))
+    return trickplay.plan(x, [("n", 50), ("f", 40), ("r", 20), (">", 30), ("F", 20), ("R", 10), ("n", 25)])
+
+
+@query()
+def av_multiplex(spark, d):
+    x = S.packets(spark, d).select("source", F.col("n").alias("idx"), "kind", F.encode(F.col("kind"), "utf-8").alias("data"))
+    return transport.lay_out(convert.merge_av(x.where("kind = 'view'"), x.where("kind = 'click'"))).select("n", "pos", F.hex("raw").alias("raw"))

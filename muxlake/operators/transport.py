@@ -87,6 +87,12 @@ def build(packets: DataFrame) -> DataFrame:
     return x.withColumn("raw", F.concat(be(head, 4), F.when(adapted, field).otherwise(F.unhex(F.lit(""))), F.col("_p"))).drop("_p", "_c")
 
 
+def lay_out(built: DataFrame) -> DataFrame:
+    """``(source, n, pos, raw)`` of built packets in order: numbers and byte offsets of the new stream."""
+    n = F.row_number().over(Window.partitionBy("source").orderBy("pos")) - 1
+    return built.select("source", n.cast("long").alias("n"), (n.cast("long") * 188).alias("pos"), "raw")
+
+
 def number_counters(packets: DataFrame) -> DataFrame:
     """Continuity counters assigned in order for each PID, from 0."""
     w = Window.partitionBy("source", "pid").orderBy("pos")
