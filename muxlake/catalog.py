@@ -464,3 +464,51 @@ def trick_play(spark, d):
 def av_multiplex(spark, d):
     x = S.packets(spark, d).select("source", F.col("n").alias("idx"), "kind", F.encode(F.col("kind"), "utf-8").alias("data"))
     return transport.lay_out(convert.merge_av(x.where("kind = 'view'"), x.where("kind = 'click'"))).select("n", "pos", F.hex("raw").alias("raw"))
+
+
+ORDINAL = PACKETS + ", o AS (SELECT CAST(pid AS VARCHAR) AS source, n, kind, row_number() OVER (PARTITION BY pid ORDER BY n) AS rn FROM packets) "
+
+
+@query(ORDINAL + "SELECT source, rn AS idx, CASE kind WHEN 'view' THEN 'I' WHEN 'click' THEN 'P' ELSE 'B' END AS slice_class, kind IN ('view', 'click') AS ref, CAST(rn % 16 AS INTEGER) AS frame_num, 1::BIGINT AS slices FROM o")
+def h264_access_units(spark, d):
+    nals = elementary.nal_units(elementary.es_units(S.h264_chunks(spark, d)))
+    au = elementary.non_empty(elementary.access_units(elementary.slice_headers(nals)))
+    return au.select("source", F.col("idx").cast("long").alias("idx"), "slice_class", "ref", "frame_num", "slices")
+
+
+@query(ORDINAL + "SELECT source, count(*) AS units, 1::BIGINT AS sps, 1::BIGINT AS pps, count(*) FILTER (WHERE kind IN ('view', 'click')) AS reference_slices FROM o GROUP BY source")
+def h264_units(spark, d):
+    nals = elementary.nal_units(elementary.es_units(S.h264_chunks(spark, d)))
+    is_slice = F.col("unit_type") == 1
+    return nals.groupBy("source").agg(F.count_if(is_slice).alias("units"), F.count("sps").alias("sps"), F.count("pps").alias("pps"), F.count_if(is_slice & (F.col("ref_idc") > 0)).alias("reference_slices"))
+
+
+@query(ORDINAL + "SELECT source, n AS place, CASE kind WHEN 'view' THEN 'I' WHEN 'click' THEN 'P' ELSE 'B' END AS kind, rn % 1024 AS temporal_reference, 1::BIGINT AS slices FROM o")
+def h262_pictures(spark, d):
+    items = elementary.h262_items(elementary.es_units(S.h262_chunks(spark, d)))
+    pics = elementary.h262_pictures(items).where("is_picture")
+    rn = F.row_number().over(Window.partitionBy("source").orderBy("start"))
+    place = S.packets(spark, d).select(F.col("pid").cast("string").alias("p"), F.col("n").alias("place"), F.row_number().over(Window.partitionBy("pid").orderBy("n")).alias("k"))
+    x = pics.withColumn("rn", rn)
+    return x.join(place, (F.col("source") == F.col("p")) & (F.col("rn") == F.col("k"))).select("source", "place", "kind", "temporal_reference", "slices")
+
+
+@query("SELECT CAST(user_id + 256 AS VARCHAR) AS source, 'H.264' AS video, CASE WHEN count(*) FILTER (WHERE event_type = 'view') > 0 THEN 'unknown' ELSE 'H.264' END AS other FROM events GROUP BY user_id")
+def video_type_vote(spark, d):
+    own = elementary.video_type(elementary.es_units(S.h264_chunks(spark, d))).select("source", "video")
+    # a sequence header rules H.264 out, and leaves the two other kinds open
+    other = elementary.video_type(elementary.es_units(S.h262_chunks(spark, d))).select(F.col("source").alias("s"), F.col("video").alias("other"))
+    return own.join(other, F.col("source") == F.col("s")).select("source", "video", "other")
+
+
+@query(PACKETS + "SELECT n, pid, pts, coalesce(dts, pts) AS dts, dts IS NOT NULL AS explicit FROM packets WHERE pts IS NOT NULL")
+def pes_timing_round_trip(spark, d):
+    x = S.packets(spark, d).where("pts is not null").withColumn("body", F.col("kind").cast("binary"))
+    both = transport.pes_header(0xE0, F.length("body"), F.col("pts"), F.col("dts"))
+    lone = transport.pes_header(0xE0, F.length("body"), F.col("pts"))
+    pes = x.select("source", "pid", F.col("n").alias("pos"), F.concat(F.when(F.col("dts").isNull(), lone).otherwise(both), F.col("body")).alias("data"), F.lit(None).cast("long").alias("pcr"))
+    raw = transport.lay_out(transport.pes_to_packets(pes))
+    # one transport packet for each PES packet, in order
+    got = transport.pes_packets(transport.parse(raw))
+    n = x.select(F.col("n").alias("no"), (F.row_number().over(Window.partitionBy("source").orderBy("n")) - 1).alias("k"))
+    return got.withColumn("k", F.expr("pos div 188")).join(n, "k").select(F.col("no").alias("n"), F.col("pid").cast("long").alias("pid"), "pts", "dts", F.col("dts_explicit").alias("explicit"))

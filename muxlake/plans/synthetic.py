@@ -139,3 +139,56 @@ CAPTURE = (
     cc AS seq, CAST(cents % 8 AS INTEGER) AS pcp, (us * 9 // 100 + cents) % {PTS_MOD} AS pcr90 FROM packets)
 """
 )
+
+
+def _bytes_of(bit_text):
+    """Bytes of a column of bit text, closed by a stop bit and zeros."""
+    closed = F.concat(bit_text, F.lit("1"))
+    padded = F.rpad(closed, ((F.length(closed) + 7) / 8).cast("int") * 8, F.lit("0"))
+    return F.unhex(F.lpad(F.conv(padded, 2, 16), (F.length(padded) / 4).cast("int"), F.lit("0")))
+
+
+def laid_out(units: DataFrame) -> DataFrame:
+    """Units (source, idx, data) as consecutive chunks (source, infile, data)."""
+    before = F.sum(F.length("data").cast("long")).over(Window.partitionBy("source").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    return units.select("source", F.coalesce(before, F.lit(0)).cast("long").alias("infile"), "data")
+
+
+def h264_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An H.264 stream for each user: parameter sets, then a slice for each event (view: I, click: P, else B)."""
+    x = packets(spark, sf_dir).select(F.col("pid").cast("string").alias("source"), F.col("n").alias("idx"), "kind", F.row_number().over(Window.partitionBy("pid").orderBy("n")).alias("rn"))
+    kind = F.when(F.col("kind") == "view", "0001000").when(F.col("kind") == "click", "00110").otherwise("00111")
+    bit_text = F.concat(F.lit("1"), kind, F.lit("1"), F.lpad(F.bin((F.col("rn") % 16).cast("long")), 4, "0"))
+    head = F.when(F.col("kind") == "view", "41").when(F.col("kind") == "click", "41").otherwise("01")
+    slices = x.select("source", F.col("idx"), F.concat(F.unhex(F.concat(F.lit("000001"), head)), _bytes_of(bit_text)).alias("data"))
+    # fixed values: a baseline sequence set (4-bit frame numbers, order type 2) and its picture set
+    sets = F.unhex(F.lit("00000167" + SPS_HEX + "00000168" + PPS_HEX))
+    first = x.groupBy("source").agg((F.min("idx") - 1).alias("idx")).select("source", "idx", sets.alias("data"))
+    return laid_out(first.unionByName(slices))
+
+
+def _bits(*codes: str) -> str:
+    text = "".join(codes) + "1"
+    text += "0" * (-len(text) % 8)
+    return f"{int(text, 2):0{len(text) // 4}x}"
+
+
+def _ue(v: int) -> str:
+    t = f"{v + 1:b}"
+    return "0" * (len(t) - 1) + t
+
+
+#: Profile 66, level 30, set 0, 4-bit frame numbers, order type 2, frames only.
+SPS_HEX = _bits("01000010", "00000000", "00011110", _ue(0), _ue(0), _ue(2), _ue(1), "0", _ue(10), _ue(10), "1")
+#: Set 0 of sequence set 0, one slice group, no redundant counts.
+PPS_HEX = _bits(_ue(0), _ue(0), "0", "0", _ue(0), _ue(0), _ue(0), "0", "00", _ue(0), _ue(0), _ue(0), "0", "0", "0")
+
+
+def h262_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An H.262 stream for each user: a sequence header at views, then a picture with one slice."""
+    x = packets(spark, sf_dir).select(F.col("pid").cast("string").alias("source"), F.col("n").alias("idx"), "kind", F.row_number().over(Window.partitionBy("pid").orderBy("n")).alias("rn"))
+    coding = F.when(F.col("kind") == "view", 1).when(F.col("kind") == "click", 2).otherwise(3)
+    head = F.when(F.col("kind") == "view", F.unhex(F.lit("000001B3123456331A2B3C4D"))).otherwise(F.unhex(F.lit("")))
+    field = F.unhex(F.lpad(F.hex((F.shiftleft((F.col("rn") % 1024).cast("long"), 6) + coding * 8)), 4, "0"))
+    data = F.concat(head, F.unhex(F.lit("00000100")), field, F.unhex(F.lit("FFF8")), F.unhex(F.lit("00000101AABB")))
+    return laid_out(x.select("source", "idx", data.alias("data")))
