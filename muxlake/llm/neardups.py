@@ -15,9 +15,10 @@ J_P. Bands of ``rows`` registers are bucket keys: at 0.8, 32 bands of 6 meet wit
 
 Verification: equal texts are one node first. Each bucket's nodes are paired with the bucket's
 least node, and J_P of each pair is computed exactly from all shingles. Links make components. As
-long as links were found, nodes that share a bucket with a node of another component are paired
-with a member of it drawn anew for each bucket, and verified. So a bucket of g nodes gives at most
-g pairs a round, never all pairs, and none is capped or dropped.
+long as links are found, every node outside its bucket's main component is paired with ``DRAWS`` of
+that component's members and with one other outsider, drawn anew for each bucket and turn, and
+verified. So a bucket of g nodes gives at most 4 g pairs a turn, never all pairs, and no node is
+capped or dropped.
 
 Defined cases: null text is empty; texts without words are alike only if equal; a row with a null
 ``doc_id`` takes the class of an equal text that has an id, else null; rows that repeat an id are
@@ -35,6 +36,9 @@ from ._common import Words, Workspace, i64, map_slices, mix64, read_table, tidy
 from .graph import components
 
 BANDS, ROWS, WORDS, LEAST = 32, 6, 5, 0.8
+#: Members of a bucket's main component that each outsider is compared with in a turn.
+DRAWS = 3
+_PER_TASK = 256
 _STEP, _PICK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -140,9 +144,16 @@ def _weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose exact likeness is ``least`` or more."""
-    a, b = (sets.select(F.col("node").alias(f"node_{x}"), F.col("h").alias(f"h_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    both = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).select("a", "b", "h_a", "n_a", "h_b", "n_b")
+    """The pairs ``(a, b)`` whose exact likeness is ``least`` or more.
+
+    A node ``b`` of many pairs is copied once for each ``_PER_TASK`` of them, and its pairs are dealt
+    over the copies, so a large bucket's centre is compared in many tasks.
+    """
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / _PER_TASK).cast("int").alias("copies")).withColumnRenamed("b", "b_node")
+    dealt = pairs.join(copies, F.col("b") == F.col("b_node")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
+    a = sets.select(F.col("node").alias("a_node"), F.col("h").alias("h_a"), F.col("n").alias("n_a"))
+    b = sets.join(copies, F.col("node") == F.col("b_node")).select("b_node", F.col("h").alias("h_b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("b_copy"))
+    both = dealt.join(a, F.col("a") == F.col("a_node")).join(b, (F.col("b") == F.col("b_node")) & (F.col("copy") == F.col("b_copy"))).select("a", "b", "h_a", "n_a", "h_b", "n_b")
 
     def run(batches):
         for batch in batches:
@@ -153,6 +164,49 @@ def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _merge(labels: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """``labels(node, root)`` with the components that ``links`` join made one."""
+    root = lambda x: labels.select(F.col("node").alias(f"n_{x}"), F.col("root").alias(f"r_{x}"))
+    edges = links.join(root("a"), F.col("a") == F.col("n_a")).join(root("b"), F.col("b") == F.col("n_b")).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+    joined = components(edges, work, name)
+    if joined is None:
+        return labels
+    moved = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return work.put(labels.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), f"{name}-merged")
+
+
+def _sized(labels: DataFrame) -> DataFrame:
+    """``labels`` with ``less``, the negative size of the component."""
+    sizes = labels.groupBy("root").agg((-F.count("*")).alias("less")).withColumnRenamed("root", "s_root")
+    return labels.join(sizes, F.col("root") == F.col("s_root")).select("node", "root", "less")
+
+
+def _hook(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after each component of ``links`` has joined its largest larger neighbour.
+
+    One step only: it steers the next turn's pairs; components are worked out in full at the end.
+    """
+    root = lambda x: labels.select(F.col("node").alias(f"n_{x}"), F.struct("less", "root").alias(f"r_{x}"))
+    edges = links.join(root("a"), F.col("a") == F.col("n_a")).join(root("b"), F.col("b") == F.col("n_b")).where("r_a <> r_b")
+    hooks = edges.groupBy(F.greatest("r_a", "r_b")["root"].alias("old")).agg(F.min(F.least("r_a", "r_b"))["root"].alias("new"))
+    return labels.join(hooks, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+
+
+def _outsiders(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """``(key, node, root, centres)``: nodes outside their bucket's main component.
+
+    The main component is the one largest overall; ``centres`` are ``DRAWS`` of its members in the
+    bucket, drawn by a hash of the node and turn: members that share many buckets with a node, and
+    so are alike, are drawn in many of them.
+    """
+    known = labels.select(F.col("node").alias("l_node"), "root", "less")
+    named = members.join(known, F.col("node") == F.col("l_node")).select("key", "node", "root", "less")
+    draws = [F.min(F.struct("less", "root", F.xxhash64("node", F.lit(turn * DRAWS + i)).alias("luck"), F.col("node"))).alias(f"d{i}") for i in range(DRAWS)]
+    main = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *draws).where("low < high")
+    main = main.select(F.col("key").alias("k"), F.col("d0.root").alias("main"), F.array_distinct(F.array(*[F.col(f"d{i}.node") for i in range(DRAWS)])).alias("centres"))
+    return named.join(main, F.col("key") == F.col("k")).where("root <> main").select("key", "node", "root", "centres")
+
+
 def classes(docs: DataFrame, least: float = LEAST, work: Workspace | None = None) -> DataFrame:
     """``(doc_id, x1, x2, class_id)`` of every row; ``class_id`` is the class's least doc_id."""
     work = work or Workspace(docs.sparkSession, "neardups")
@@ -169,28 +223,28 @@ def classes(docs: DataFrame, least: float = LEAST, work: Workspace | None = None
     sets = work.put(_weighted_sets(docs, nodes.join(involved, F.col("node") == F.col("m"), "left_semi")), "sets")
     tidy(docs.sparkSession)
     links = work.put(_links(tested, sets, least), "links-0")
-    turn = 0
+    labels = _merge(work.put(involved.select(F.col("m").alias("node"), F.col("m").alias("root")), "labels"), links, work, "turn-0")
+    steer, more_links, turn = work.put(_sized(labels), "steer-0"), None, 0
     while True:
-        roots = components(links, work, f"components-{turn}")
-        if roots is None:
-            break
-        # buckets that hold several components: pair outsiders with a member drawn for the bucket
-        named = members.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("luck"), F.col("root"), F.col("node")))
-        mixed = named.groupBy("key").agg(drawn.alias("one"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("k"), F.col("one.node").alias("c"), F.col("one.root").alias("c_root"))
-        more = named.join(mixed, F.col("key") == F.col("k")).where("root <> c_root").select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
-        old = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
         turn += 1
+        outside = work.put(_outsiders(members, steer, turn), f"outside-{turn}")
+        to_main = outside.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("all")).select("node", F.explode("all").alias("c"))
+        other = outside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("luck"), F.col("root"), F.col("node"))).alias("o")).select(F.col("key").alias("k"), F.col("o.node").alias("c"), F.col("o.root").alias("c_root"))
+        to_other = outside.join(other, F.col("key") == F.col("k")).where("root <> c_root").select("node", "c")
+        more = to_main.unionByName(to_other).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
+        old = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
         fresh = work.put(more.join(old, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), f"pairs-{turn}")
         found = work.put(_links(fresh, sets, least), f"links-{turn}")
         if found.isEmpty():
             break
-        tested, links = tested.unionByName(fresh), links.unionByName(found)
+        tested = tested.unionByName(fresh)
+        more_links = found if more_links is None else more_links.unionByName(found)
+        steer = work.put(_sized(_hook(steer, found)), f"steer-{turn}")
+    if more_links is not None:
+        labels = _merge(labels, more_links, work, "last")
     named = equal.select(F.col("x1").alias("e1"), F.col("x2").alias("e2"), "node")
     rows = signed.select("doc_id", "x1", "x2").join(named, (F.col("x1") == F.col("e1")) & (F.col("x2") == F.col("e2"))).drop("e1", "e2")
-    if roots is None:
-        return rows.withColumnRenamed("node", "class_id")
-    return rows.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("doc_id", "x1", "x2", F.coalesce("root", "node").alias("class_id"))
+    return rows.join(labels.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("doc_id", "x1", "x2", F.coalesce("root", "node").alias("class_id"))
 
 
 def dedup(docs: DataFrame, least: float = LEAST, work: Workspace | None = None) -> DataFrame:
