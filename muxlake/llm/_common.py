@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -18,8 +20,16 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 19
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of a batch that crosses to Python: texts are long, and the default is 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, rows)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of a data folder, read by Spark alone (the folder may be in any store)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,18 +37,27 @@ class Workspace:
     """A folder of intermediate Parquet tables in the session's shared checkpoint folder.
 
     Tables written here cut lineage: a lost executor costs a re-read, not a recomputation. The
-    folder named in ``spark.checkpoint.dir`` is used; only where that is unset (tests on one
-    machine) a temporary folder stands in.
+    folder named in ``spark.checkpoint.dir`` is used; only where that is unset in a session of one
+    machine (tests) a temporary folder stands in. Tables stay while the session may read them and
+    are deleted when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not base:
             base = f"file://{tempfile.mkdtemp(prefix='muxlake-')}"
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self._close)
+
+    def _close(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self.drop("")
 
     def put(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         """Writes ``df`` as table ``name`` and returns the stored rows."""
@@ -51,7 +70,7 @@ class Workspace:
     def drop(self, name: str) -> None:
         """Deletes table ``name``; nothing may read it afterwards."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -7,7 +7,8 @@ decoder. Whole texts are normalised and, where the vocabulary proves that no pie
 before each run of marks; the distinct units of a batch are encoded by the library's threads.
 Parity: every distinct unit (or else every text) is encoded by the sentencepiece library too. Where
 the two differ, which BPE pieces with two overlapping splits can cause, sentencepiece's ids are
-taken and the text's ``parity`` is false. Decoding is checked on every whole text.
+taken and the text's ``parity`` is false. Every distinct unit's ids are decoded; a text with a unit
+that does not decode to itself is decoded whole.
 
 Defined cases: a null or empty text has no ids and decodes to ''; texts of any length are encoded
 whole; ``round_trip`` is false where the model's normaliser changes a text (as U+2581, which
@@ -21,15 +22,18 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import read_table, small_batches
 
 #: Where the public vocabulary files are installed; a parameter of every entry point.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -133,7 +137,7 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 
 def build(parsed: Parsed):
-    """The tokenizer of a parsed model."""
+    """The normaliser and the tokenizer (of normalised text) of a parsed model."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(parsed.pieces)}
@@ -153,10 +157,9 @@ def build(parsed: Parsed):
         steps.append(normalizers.Prepend(" "))
     if parsed.escape_spaces:
         steps.append(normalizers.Replace(" ", MARK))
-    out.normalizer = normalizers.Sequence(steps)
     tail = [decoders.Strip(" ", 1, 0)] if parsed.dummy_prefix else []
     out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
-    return out
+    return normalizers.Sequence(steps), out
 
 
 class Codec:
@@ -167,46 +170,63 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
-        from tokenizers import normalizers
 
         parsed = parse_model(data)
         self.threads, self.dummy_prefix = threads, parsed.dummy_prefix
-        self.own, self.other = build(parsed), sentencepiece.SentencePieceProcessor(model_proto=data)
-        # if no piece has the mark after another character, none crosses a unit's start
-        self.by_unit = parsed.escape_spaces and not any(MARK in p.lstrip(MARK) for p, _, k in parsed.pieces if k == NORMAL)
-        self.plain = build(parsed)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.units: dict[str, list[int]] = {}
+        self.simple, self._prefix = not parsed.charsmap and not parsed.fold_spaces, MARK if parsed.dummy_prefix else ""
+        self.normal, self.own = build(parsed)
+        self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
+        # if no piece has the mark after another character, none crosses a unit's start; where white
+        # space is folded, a mark in the text is not a space, and texts are encoded whole
+        self.by_unit = parsed.escape_spaces and not parsed.fold_spaces and not any(MARK in p.lstrip(MARK) for p, _, k in parsed.pieces if k == NORMAL)
+        self._lead = self.other.encode("a")
+        #: ids of known units (packed), and the units that differ or do not decode to themselves
+        self.units: dict[str, bytes] = {}
         self.differ: set[str] = set()
+        self.lossy: set[str] = set()
 
     def _learn(self, units: list[str]) -> None:
-        """Encodes new units with both libraries; where they differ, sentencepiece's ids count."""
-        if len(self.units) + len(units) > UNITS_KEPT:
-            self.units.clear()
-            self.differ.clear()
-        got = [e.ids for e in self.plain.encode_batch_fast(units, add_special_tokens=False)]
+        """Encodes new units with both libraries, decodes them, and notes where either goes wrong."""
+        got = [e.ids for e in self.own.encode_batch_fast(units, add_special_tokens=False)]
         # the library adds the dummy prefix, which is the unit's first mark, itself
         want = self.other.encode([(u[1:] if self.dummy_prefix else u).replace(MARK, " ") for u in units], num_threads=self.threads)
         if self.dummy_prefix and MARK in units:
             want[units.index(MARK)] = [self.other.piece_to_id(MARK)]  # no text is this unit alone
-        self.units.update(zip(units, want))
         self.differ.update(u for u, a, b in zip(units, got, want) if a != b)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each text, and whether both libraries agree on them."""
+        # decoded after another unit, since the decoder strips the first space of all
+        back = self.own.decode_batch([self._lead + b for b in want], skip_special_tokens=False)
+        self.lossy.update(u for u, t in zip(units, back) if t != "a" + u.replace(MARK, " "))
+        self.units.update((u, array("i", b).tobytes()) for u, b in zip(units, want))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[str]]:
+        """Ids of all texts, their numbers, whether both libraries agree, and the decoded texts."""
+        # without a character map and space folding, the normaliser is a prefix and a replacement
+        normal = [self._prefix + t.replace(" ", MARK) if t else "" for t in texts] if self.by_unit and self.simple else [self.normal.normalize_str(t) for t in texts]
         if not self.by_unit:
-            got = [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+            got = [e.ids for e in self.own.encode_batch_fast(normal, add_special_tokens=False)]
             want = self.other.encode(texts, num_threads=self.threads)
-            return want, [a == b for a, b in zip(got, want)]
-        normal = self.own.normalizer
-        units = [_UNIT.findall(normal.normalize_str(t)) for t in texts]
+            ids = np.fromiter(chain.from_iterable(want), np.int32)
+            return ids, np.array([len(x) for x in want], np.int64), [a == b for a, b in zip(got, want)], self.decode(want)
+        units = [_UNIT.findall(t) for t in normal]
         distinct = set().union(*units)
         fresh = distinct - self.units.keys()
         if len(self.units) + len(fresh) > UNITS_KEPT:
+            self.forget()
             fresh = distinct
-        self._learn(sorted(fresh))
+        if fresh:
+            self._learn(list(fresh))
         known = self.units.__getitem__
-        return [list(chain.from_iterable(map(known, u))) for u in units], [self.differ.isdisjoint(u) if self.differ else True for u in units]
+        packed = [b"".join(map(known, u)) for u in units]
+        same = [self.differ.isdisjoint(u) for u in units]
+        skip = 1 if self.dummy_prefix else 0
+        # where every unit decodes to itself the text is the units', else it is decoded whole
+        back = [t.replace(MARK, " ")[skip:] if self.lossy.isdisjoint(u) else self.decode([np.frombuffer(p, np.int32).tolist()])[0] for t, u, p in zip(normal, units, packed)]
+        return np.frombuffer(b"".join(packed), np.int32), np.array([len(p) // 4 for p in packed], np.int64), same, back
+
+    def forget(self) -> None:
+        """Drops the units learned so far."""
+        for x in (self.units, self.differ, self.lossy):
+            x.clear()
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Text of each list of ids."""
@@ -239,19 +259,21 @@ def encode(docs: DataFrame, model: bytes | None = None, threads: int = 2, batch_
     def run(batches):
         own = codec(shared.value, threads)
         for batch in batches:
-            at = 0
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            while at < len(texts):
+            at, ids = 0, batch.column(0)
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            while at < len(sizes):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= batch_chars):
-                    size += len(texts[to])
+                while to < len(sizes) and (to == at or size + sizes[to] <= batch_chars):
+                    size += sizes[to]
                     to += 1
-                part = texts[at:to]
-                got, same = own.encode(part)
-                back = own.decode(got)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array([len(x) for x in got], pa.int64()), pa.array(got, pa.list_(pa.int32())), pa.array(same), pa.array([a == b for a, b in zip(part, back)]), pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back])], names)
+                part = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
+                got, counts, same, back = own.encode(part)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(got))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array(counts), lists, pa.array(same), pa.array([a == b for a, b in zip(part, back)]), pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back])], names)
                 at = to
+        own.forget()  # the process may go on to other work
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean, decoded_sha256 string")
 
