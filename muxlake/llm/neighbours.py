@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from ._common import Workspace, read_table
 
 
+#: Shards whose results for a query are merged before all are.
+SHARDS_MERGED = 256
+
+
 def usable(column: Column) -> Column:
     """Whether a vector takes part: no null or non-finite component, and not zero."""
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -176,18 +180,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     def run(batches):
         for pdf in batches:
-            for ids, vecs, graph, start, asked in zip(pdf["ids"], pdf["vectors"], pdf["graph"], pdf["start"], pdf["asked"]):
+            for shard, ids, vecs, graph, start, asked in zip(pdf["shard"], pdf["ids"], pdf["vectors"], pdf["graph"], pdf["start"], pdf["asked"]):
                 x = np.frombuffer(vecs, np.float64).reshape(-1, size)
                 g = np.frombuffer(graph, np.int32).reshape(len(x), -1) if len(graph) else None
                 qid = np.array([a["vec_id"] for a in asked], np.int64)
                 q = np.stack([np.asarray(a["embedding"], np.float64) for a in asked])
-                yield _nearest(x, np.frombuffer(ids, np.int64), g, start, q, qid, k, beam)
+                yield _nearest(x, np.frombuffer(ids, np.int64), g, start, q, qid, k, beam).assign(part=shard // SHARDS_MERGED)
 
-    found = tasks.select("ids", "vectors", "graph", "start", "asked").mapInPandas(run, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    # at most k rows of each shard come here for a query
+    found = tasks.select("shard", "ids", "vectors", "graph", "start", "asked").mapInPandas(run, "query_id long, vec_id long, score double, part int")
     order = F.struct((-F.col("score")).alias("far"), F.col("vec_id"), F.col("score"))
-    top = best.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("top"))
+
+    def nearest(rows: DataFrame, *by: str) -> DataFrame:
+        best = rows.groupBy("query_id", *by, "vec_id").agg(F.max("score").alias("score"))
+        return best.groupBy("query_id", *by).agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("top"))
+
+    # at most k rows of each shard, so of SHARDS_MERGED shards at first, then of as many groups of shards
+    some = nearest(found, "part").select("query_id", F.explode("top").alias("hit")).select("query_id", "hit.vec_id", "hit.score")
+    top = nearest(some)
     return top.select("query_id", F.posexplode("top").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 
