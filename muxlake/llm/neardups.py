@@ -17,7 +17,7 @@ Verification: equal texts are one node first. Each bucket's nodes are paired wit
 least node, and J_P of each pair is computed exactly from all shingles. Links make components. As
 long as links are found, every node outside its bucket's main component is paired with ``DRAWS`` of
 that component's members and with one other outsider, drawn anew for each bucket and turn, and
-verified. So a bucket of g nodes gives at most 4 g pairs a turn, never all pairs, and no node is
+verified. So a bucket of g nodes gives at most 5 g pairs a turn, never all pairs, and no node is
 capped or dropped.
 
 Defined cases: null text is empty; texts without words are alike only if equal; a row with a null
@@ -37,7 +37,7 @@ from .graph import components
 
 BANDS, ROWS, WORDS, LEAST = 32, 6, 5, 0.8
 #: Members of a bucket's main component that each outsider is compared with in a turn.
-DRAWS = 3
+DRAWS = 4
 _PER_TASK = 256
 _STEP, _PICK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -192,10 +192,11 @@ def _hook(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(hooks, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
-def _outsiders(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """``(key, node, root, centres)``: nodes outside their bucket's main component.
+def _unsettled(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """``(key, node, root, centres, outside)`` of the buckets that hold several components.
 
-    The main component is the one largest overall; ``centres`` are ``DRAWS`` of its members in the
+    ``outside`` marks nodes outside their bucket's main component. Other buckets are settled, since
+    components only grow, and need not be looked at again. The main component is the one largest overall; ``centres`` are ``DRAWS`` of its members in the
     bucket, drawn by a hash of the node and turn: members that share many buckets with a node, and
     so are alike, are drawn in many of them.
     """
@@ -204,7 +205,7 @@ def _outsiders(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     draws = [F.min(F.struct("less", "root", F.xxhash64("node", F.lit(turn * DRAWS + i)).alias("luck"), F.col("node"))).alias(f"d{i}") for i in range(DRAWS)]
     main = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *draws).where("low < high")
     main = main.select(F.col("key").alias("k"), F.col("d0.root").alias("main"), F.array_distinct(F.array(*[F.col(f"d{i}.node") for i in range(DRAWS)])).alias("centres"))
-    return named.join(main, F.col("key") == F.col("k")).where("root <> main").select("key", "node", "root", "centres")
+    return named.join(main, F.col("key") == F.col("k")).select("key", "node", "root", "centres", (F.col("root") != F.col("main")).alias("outside"))
 
 
 def classes(docs: DataFrame, least: float = LEAST, work: Workspace | None = None) -> DataFrame:
@@ -227,7 +228,8 @@ def classes(docs: DataFrame, least: float = LEAST, work: Workspace | None = None
     steer, more_links, turn = work.put(_sized(labels), "steer-0"), None, 0
     while True:
         turn += 1
-        outside = work.put(_outsiders(members, steer, turn), f"outside-{turn}")
+        unsettled = work.put(_unsettled(members, steer, turn), f"unsettled-{turn}")
+        members, outside = unsettled.select("key", "node"), unsettled.where("outside")
         to_main = outside.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("all")).select("node", F.explode("all").alias("c"))
         other = outside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("luck"), F.col("root"), F.col("node"))).alias("o")).select(F.col("key").alias("k"), F.col("o.node").alias("c"), F.col("o.root").alias("c_root"))
         to_other = outside.join(other, F.col("key") == F.col("k")).where("root <> c_root").select("node", "c")
