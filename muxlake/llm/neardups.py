@@ -17,8 +17,9 @@ Verification: equal texts are one node first. Each bucket's nodes are paired wit
 least node, and J_P of each pair is computed exactly from all shingles. Links make components. As
 long as links are found, every node outside its bucket's main component is paired with ``DRAWS`` of
 that component's members and with one other outsider, drawn anew for each bucket and turn, and
-verified. So a bucket of g nodes gives at most 5 g pairs a turn, never all pairs, and no node is
-capped or dropped.
+verified. So a bucket of g nodes gives at most 5 g pairs a turn. The turns only find most links
+cheaply. Once one finds none, an exact step settles the rest: of all pairs of nodes of different
+components in buckets that hold several, each is excluded by a bound or verified (``_remaining``).
 
 Defined cases: null text is empty; texts without words are alike only if equal; a row with a null
 ``doc_id`` takes the class of an equal text that has an id, else null; rows that repeat an id are
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import Words, Workspace, i64, map_slices, mix64, read_table, tidy
@@ -208,6 +209,44 @@ def _unsettled(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return named.join(main, F.col("key") == F.col("k")).select("key", "node", "root", "centres", (F.col("root") != F.col("main")).alias("outside"))
 
 
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    old = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+    return pairs.join(old, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+
+
+def _remaining(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float, work: Workspace) -> DataFrame:
+    """The pairs ``(a, b)`` that may still link components within the buckets of ``members``.
+
+    J_P is at most the sum of min(v[d] / |v|, w[d] / |w|). So in any one order of all shingles, the
+    first shingles of both texts, of a share above 1 - ``least`` each, have one in common if the
+    texts are alike: all other pairs are excluded exactly. The order has the shingles of one
+    component first, which make no pairs, then the rare ones. In a shingle's group the nodes outside
+    its most frequent component are paired with all nodes of other components.
+    """
+    named = members.join(labels.select(F.col("node").alias("l_node"), "root"), F.col("node") == F.col("l_node")).select("key", "node", "root")
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("k"))
+    nodes = work.put(named.join(mixed, F.col("key") == F.col("k"), "left_semi").select(F.col("node").alias("m"), "root").distinct(), "left-nodes")
+
+    def unpack(batches):
+        for batch in batches:
+            for node, root, h, n in zip(*(batch.column(k).to_pylist() for k in ("node", "root", "h", "n"))):
+                h, n = np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)
+                yield pa.RecordBatch.from_arrays([i64(np.full(len(h), node)), i64(np.full(len(h), root)), i64(h), pa.array(n / n.sum())], ["node", "root", "h", "p"])
+
+    rows = sets.join(nodes, F.col("node") == F.col("m")).select("node", "root", "h", "n")
+    grams = work.put(rows.mapInArrow(unpack, "node long, root long, h long, p double"), "left-grams")
+    held = grams.groupBy("h").agg(F.count("*").alias("texts"), (F.min("root") < F.max("root")).alias("mixed")).withColumnRenamed("h", "g")
+    before = Window.partitionBy("node").orderBy("mixed", "texts", "h").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = grams.join(held, F.col("h") == F.col("g")).withColumn("before", F.coalesce(F.sum("p").over(before), F.lit(0.0)))
+    heads = work.put(ordered.where(F.col("mixed") & (F.col("before") <= 1 - least + 1e-9)).select("node", "root", "h"), "left-heads")
+    roots = heads.groupBy("h", "root").agg(F.count("*").alias("texts"))
+    main = roots.groupBy("h").agg(F.max_by("root", F.struct("texts", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(F.col("h").alias("g"), "main")
+    named = heads.join(main, F.col("h") == F.col("g")).select("h", "node", "root", "main")
+    outside = named.where("root <> main").select(F.col("h").alias("o_h"), F.col("node").alias("o"), F.col("root").alias("o_root"))
+    pairs = outside.join(named, (F.col("o_h") == F.col("h")) & (F.col("o_root") != F.col("root")))
+    return pairs.select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, least: float = LEAST, work: Workspace | None = None) -> DataFrame:
     """``(doc_id, x1, x2, class_id)`` of every row; ``class_id`` is the class's least doc_id."""
     work = work or Workspace(docs.sparkSession, "neardups")
@@ -234,16 +273,17 @@ def classes(docs: DataFrame, least: float = LEAST, work: Workspace | None = None
         other = outside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("luck"), F.col("root"), F.col("node"))).alias("o")).select(F.col("key").alias("k"), F.col("o.node").alias("c"), F.col("o.root").alias("c_root"))
         to_other = outside.join(other, F.col("key") == F.col("k")).where("root <> c_root").select("node", "c")
         more = to_main.unionByName(to_other).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
-        old = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-        fresh = work.put(more.join(old, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), f"pairs-{turn}")
+        fresh = work.put(_untested(more, tested), f"pairs-{turn}")
         found = work.put(_links(fresh, sets, least), f"links-{turn}")
+        tested = tested.unionByName(fresh)
         if found.isEmpty():
             break
-        tested = tested.unionByName(fresh)
         more_links = found if more_links is None else more_links.unionByName(found)
         steer = work.put(_sized(_hook(steer, found)), f"steer-{turn}")
     if more_links is not None:
         labels = _merge(labels, more_links, work, "last")
+    fresh = work.put(_untested(_remaining(members, labels, sets, least, work), tested), "left-pairs")
+    labels = _merge(labels, work.put(_links(fresh, sets, least), "left-links"), work, "left")
     named = equal.select(F.col("x1").alias("e1"), F.col("x2").alias("e2"), "node")
     rows = signed.select("doc_id", "x1", "x2").join(named, (F.col("x1") == F.col("e1")) & (F.col("x2") == F.col("e2"))).drop("e1", "e2")
     return rows.join(labels.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("doc_id", "x1", "x2", F.coalesce("root", "node").alias("class_id"))

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from muxlake.llm import neardups
 
 
@@ -64,3 +66,19 @@ def test_dedup_keeps_one_of_each_class(spark, docs):
 
 def test_empty_table(spark, docs, folder):
     assert neardups.query(spark, folder(documents=docs({}))).collect() == []
+
+
+def test_lone_link_in_a_large_bucket(spark, docs, folder, monkeypatch):
+    sign = neardups._sign
+    monkeypatch.setattr(neardups, "_sign", lambda d: sign(d).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(60)]
+    texts = {i: " ".join(shared + [f"u{rng.randrange(10**6)}" for _ in range(30)]) for i in range(60)}
+    texts[41] = texts[23] + " end"
+    # exactly alike: the bound holds at the threshold itself
+    texts[52] = " ".join(f"v{i}" for i in range(84))
+    texts[57] = " ".join(f"v{i}" for i in range(104))
+    rows = neardups.query(spark, folder(documents=docs(texts))).collect()
+    want = neardups.brute_force(texts)
+    assert want[41] == 23 and want[57] == 52 and len(set(want.values())) == 58
+    assert {r.doc_id: r.class_id for r in rows} == want
