@@ -1,16 +1,18 @@
 """LM scoring (operator 8): cross-entropy difference of two matched bigram models.
 
 The target model is trained on the documents that are labelled as of good quality, the background
-model on all documents. Both have one vocabulary (the ``VOCABULARY`` words most frequent in all
-documents; any other word is one unknown word), one order, and one smoothing:
-P(v | u) = a * c(u, v) / c(u) + (1 - a) * (c(v) + 1) / (n + words), a = c(u) / (c(u) + 5).
+model on all documents. Both have one vocabulary (all words of all documents), one order, and one
+smoothing:
+P(v | u) = a * c(u, v) / c(u) + (1 - a) * (c(v) + 1) / (n + words + 2), a = c(u) / (c(u) + 5).
 A document's score is its mean over tokens of the target's loss less the background's (nats): the
 lower, the more it is like the target. A document's own counts are taken out of both models when
 it is scored, so a labelled document is not favoured.
 
-Counts are gathered over every token of every document: each task counts its share, tasks' counts
-are summed in a shuffle. Bigrams are counted in ``SLOTS`` hashed slots (bigrams that share a slot
-share a count), so the models have a fixed size whatever the corpus, and are broadcast.
+Counts are exact, over every token of every document, and grow with the corpus: words, contexts and
+bigrams have names of 64 bits, two of them for the kind. Documents are dealt to blocks of about
+``BLOCK_BYTES``; a block sends each distinct name once with its counts to the name's shard, shards
+sum them up, and each block gets the sums of its own names back. Nothing is held for the whole
+corpus in one place but the numbers of tokens and of distinct words.
 
 Defined cases: a null text is empty; a text without words has 0 tokens and null losses; without
 any labelled document the target model is the smoothing alone; null labels or ids do not count as
@@ -20,118 +22,54 @@ result; further columns do not matter. Words are cut at ``[\\x20\\x09-\\x0D]``,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, i64, map_slices, mix64, read_table, slices, tidy
-
-VOCABULARY = 1 << 15
-SLOTS = 1 << 20
-#: Distinct words that a task counts before it hands its counts on.
-_HELD = 1 << 20
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all documents (ties: lesser hash)."""
+from ._common import Words, Workspace, i64, mix64, read_table, slices, tidy
 
-    def run(batches):
-        held, n = [], 0
-        schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+#: Text of a block of documents, and text whose names a shard sums up.
+BLOCK_BYTES, SHARD_BYTES = 1 << 23, 1 << 25
+_START = np.uint64(0x9E3779B97F4A7C15)
+_SEEDS = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
-        def merged():
-            h, c = (np.concatenate(x) for x in zip(*held))
-            values, at = np.unique(h, return_inverse=True)
-            return values, np.bincount(at, c).astype(np.int64)
 
-        for batch in batches:
-            for _, data, offsets in slices(batch):
-                words = Words(data, offsets, lower=True)
-                if len(words.start):
-                    h, c = np.unique(words.span_hash(words.start, words.end), return_counts=True)
-                    held.append((h, c))
-                    n += len(h)
-                if n > 4 * _HELD:
-                    held = [merged()]
-                    n = len(held[0][0])
-                    if n > _HELD:
-                        yield pa.RecordBatch.from_arrays([i64(held[0][0]), i64(held[0][1])], schema=schema)
-                        held, n = [], 0
-        if held:
-            h, c = merged()
-            yield pa.RecordBatch.from_arrays([i64(h), i64(c)], schema=schema)
-
-    words = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "h").limit(size).select("h").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
+def _names(x: np.ndarray, kind: int) -> np.ndarray:
+    """Names of words (kind 0), contexts (1) or bigrams (2)."""
+    return mix64(x ^ _SEEDS[kind]) & ~np.uint64(3) | np.uint64(kind)
 
 
 class Tokens:
-    """Word numbers, contexts and bigram slots of a run of texts."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray):
-        words = Words(data, offsets, lower=True)
-        self.doc, self.first = words.doc, words.first
-        n = len(known)
-        h = words.span_hash(words.start, words.end) if len(words.start) else np.zeros(0, np.uint64)
-        at = np.searchsorted(known, h)
-        at[at == n] = 0
-        self.word = np.where(known[at] == h, at, n) if n else np.zeros(len(h), np.int64)
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        lead = self.first[:-1]
-        self.context[lead[lead < self.first[1:]]] = n + 1
-        self.slot = (mix64(self.context.astype(np.uint64) * np.uint64(n + 2) + self.word.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
-
-
-@dataclass
-class Counts:
-    """Of one model: bigram slots, contexts, words."""
-
-    pairs: np.ndarray
-    contexts: np.ndarray
-    words: np.ndarray
-
-    @classmethod
-    def zero(cls, size: int) -> Counts:
-        return cls(np.zeros(SLOTS, np.int64), np.zeros(size + 2, np.int64), np.zeros(size + 2, np.int64))
-
-    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.pairs, self.contexts, self.words
-
-
-def gather(labelled: DataFrame, known: np.ndarray) -> tuple[Counts, Counts]:
-    """Target and background counts over all tokens of ``(text, target)`` rows."""
-    shared = labelled.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches):
-        known = shared.value
-        sums = Counts.zero(len(known)), Counts.zero(len(known))
-        for batch in batches:
+    """Of a block's texts: each token's row and, by kind, the place of its name in ``names``."""
+
+    def __init__(self, table: pa.Table):
+        docs, kinds, at = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(3)], 0
+        for batch in table.select(["text"]).to_batches():
             for part, data, offsets in slices(batch):
-                t = Tokens(data, offsets, known)
-                chosen = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[t.doc]
-                for which, own in ((0, chosen), (1, slice(None))):
-                    for total, values in zip(sums[which].parts(), (t.slot, t.context, t.word)):
-                        total += np.bincount(values[own], minlength=len(total))
-        for kind in range(3):
-            target, background = sums[0].parts()[kind], sums[1].parts()[kind]
-            at = np.flatnonzero(background)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), i64(at).cast(pa.int32()), i64(target[at]), i64(background[at])], ["kind", "at", "target", "background"])
-
-    rows = labelled.select("text", "target").mapInArrow(run, "kind int, at int, target long, background long")
-    # of a fixed size: a row for each slot, context and word at most
-    table = rows.groupBy("kind", "at").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    kind, at, target, background = (c.to_numpy() for c in table.columns)
-    out = Counts.zero(len(known)), Counts.zero(len(known))
-    for k in range(3):
-        own = kind == k
-        out[0].parts()[k][at[own]] = target[own]
-        out[1].parts()[k][at[own]] = background[own]
-    return out
+                words = Words(data, offsets, lower=True)
+                h = words.span_hash(words.start, words.end) if len(words.start) else np.zeros(0, np.uint64)
+                context = np.empty_like(h)
+                context[1:] = h[:-1]
+                lead = words.first[:-1]
+                context[lead[lead < words.first[1:]]] = _START
+                docs.append(words.doc + at)
+                for kind, x in enumerate((h, context, context * _START + mix64(h))):
+                    kinds[kind].append(_names(x, kind))
+                at += part.num_rows
+        self.doc = np.concatenate(docs)
+        self.names, place = np.unique(np.concatenate([x for kind in kinds for x in kind]), return_inverse=True)
+        self.word, self.context, self.pair = np.split(place.astype(np.int64), 3)
+        self.chosen = table.column("target").to_numpy().astype(bool)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each name occurs in the labelled and in all documents."""
+        own = self.chosen[self.doc]
+        both = [np.zeros(len(self.names), np.int64), np.zeros(len(self.names), np.int64)]
+        for place in (self.word, self.context, self.pair):
+            both[0] += np.bincount(place[own], minlength=len(self.names))
+            both[1] += np.bincount(place, minlength=len(self.names))
+        return both[0], both[1]
 
 
 def _own(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -141,17 +79,14 @@ def _own(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     return n[at]
 
 
-def losses(t: Tokens, model: Counts, within: np.ndarray, size: int) -> np.ndarray:
-    """Loss of each token; ``within`` tells the texts whose own counts are taken out."""
+def losses(t: Tokens, counts: np.ndarray, tokens: int, within: np.ndarray, words: int) -> np.ndarray:
+    """Loss of each token in a model of ``counts`` by name and ``tokens``; ``within`` tells the texts whose own counts are taken out."""
     inside = within[t.doc]
     each = np.bincount(t.doc, minlength=len(within))
-    pair = model.pairs[t.slot] - _own(t.doc, t.slot) * inside
-    context = model.contexts[t.context] - _own(t.doc, t.context) * inside
-    word = model.words[t.word] - _own(t.doc, t.word) * inside
-    total = model.words.sum() - (each * within)[t.doc]
-    pair, context = np.maximum(np.minimum(pair, context), 0), np.maximum(context, 0)
+    pair, context, word = (counts[x] - _own(t.doc, x) * inside for x in (t.pair, t.context, t.word))
+    total = tokens - (each * within)[t.doc]
     share = context / (context + 5.0)
-    return -np.log(share * pair / np.maximum(context, 1) + (1 - share) * (np.maximum(word, 0) + 1) / (total + size + 2))
+    return -np.log(share * pair / np.maximum(context, 1) + (1 - share) * (word + 1) / (total + words + 2))
 
 
 def label(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,27 +97,56 @@ def label(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
 
 
-def score(labelled: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
+def score(labelled: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``(doc_id, n_tokens, target_loss, background_loss, score)`` of ``(doc_id, text, target)``."""
     spark = labelled.sparkSession
-    known = vocabulary(labelled, vocabulary_size)
+    work = work or Workspace(spark, "losses")
+    stored = work.put(labelled, "labelled")
+    size = stored.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, shards = -(-size // BLOCK_BYTES) or 1, -(-size // SHARD_BYTES) or 1
+    rows = stored.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     tidy(spark)
-    shared = spark.sparkContext.broadcast((known, *gather(labelled, known)))
+
+    def ask(table: pa.Table) -> pa.Table:
+        t = Tokens(table)
+        target, background = t.counts()
+        shard = ((t.names >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        cut = np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64))
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        columns = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()) for x in (t.names, target.astype(np.int32), background.astype(np.int32))]
+        block = table.column("block")[0].as_py()
+        return pa.table([i64(np.full(len(some), block)), i64(some), *columns], ["block", "shard", "names", "target", "background"])
+
+    def add(table: pa.Table) -> pa.Table:
+        raw = table.column("names").to_pylist()
+        names, place = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in raw]), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([np.frombuffer(x, np.int32) for x in table.column(k).to_pylist()]), len(names)).astype(np.int64) for k in ("target", "background")]
+        cut = np.cumsum([0] + [len(x) // 8 for x in raw])
+        back = [pa.array([x[place[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for x in sums]
+        word = (names & np.uint64(3)) == 0
+        # the shard's own numbers go with its first row
+        whole = [i64(np.append(x, np.zeros(len(raw) - 1, np.int64))) for x in (word.sum(), sums[0][word].sum(), sums[1][word].sum())]
+        return pa.table([table.column("block"), table.column("shard"), *back, *whole], ["block", "shard", "target", "background", "words", "n_target", "n_background"])
+
+    asked = rows.groupBy("block").applyInArrow(ask, "block long, shard long, names binary, target binary, background binary")
+    answers = work.put(asked.groupBy("shard").applyInArrow(add, "block long, shard long, target binary, background binary, words long, n_target long, n_background long"), "answers")
     tidy(spark)
+    words, n_target, n_background = (x or 0 for x in answers.agg(F.sum("words"), F.sum("n_target"), F.sum("n_background")).first())
 
-    def fn(part, data, offsets):
-        known, target, background = shared.value
-        t = Tokens(data, offsets, known)
-        chosen = part.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        n = np.bincount(t.doc, minlength=part.num_rows)
+    def fn(table: pa.Table, answer: pa.Table) -> pa.Table:
+        t = Tokens(table)
+        answer = answer.sort_by("shard")
+        n = np.bincount(t.doc, minlength=table.num_rows)
         means = []
-        for model, within in ((target, chosen), (background, np.ones(part.num_rows, bool))):
-            sums = np.bincount(t.doc, losses(t, model, within, len(known)), minlength=part.num_rows)
+        for kind, tokens, within in (("target", n_target, t.chosen), ("background", n_background, np.ones(table.num_rows, bool))):
+            counts = np.frombuffer(b"".join(answer.column(kind).to_pylist()), np.int64)
+            sums = np.bincount(t.doc, losses(t, counts, tokens, within, words), minlength=table.num_rows)
             means.append(np.where(n > 0, sums / np.maximum(n, 1), np.nan))
         columns = [pa.array(x, pa.float64(), from_pandas=True) for x in (*means, means[0] - means[1])]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), i64(n), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        return pa.table([table.column("doc_id"), i64(n), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return map_slices(labelled, fn, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    answers = answers.select("block", "shard", "target", "background")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fn, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,18 @@ def test_losses_of_odd_tables(spark, docs, folder):
     assert len(rows) == 4 and all(math.isfinite(r.score) for r in rows)
 
 
+def test_losses_hold_more_words_than_any_fixed_table(spark, docs, folder, monkeypatch):
+    monkeypatch.setattr(losses, "BLOCK_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(losses, "SHARD_BYTES", 1 << 17, raising=False)
+    texts = {i: " ".join(f"w{(i // 2) * 1000 + j}" for j in range(1000)) for i in range(80)} | {100: "w1 w2 w1 w2"}
+    labels = spark.createDataFrame([(0, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    want = plain_losses(texts, {0, 7}, 40000)
+    rows = losses.query(spark, folder(documents=docs(texts), labels=labels)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id], rel=1e-9)
+
+
 def test_crc_is_zlibs(spark):
     from pyspark.sql import functions as F
 
