@@ -8,8 +8,10 @@ reverse edges are added and pruned likewise. A second pass uses the relaxed ``al
 a beam search over each shard in blocks of ``block_rows``, and a query's results are merged over the
 shards by partial aggregation. Scores are recomputed from the original vectors in double precision.
 
-Every row is indexed and every shard is searched; recall is measured in the tests. A shard with
-no more rows than ``exact_rows`` is scanned instead.
+Every row is indexed and every shard is searched; recall is measured in the tests. Rows of one
+direction are one node of a shard's graph, and a node found stands for the smallest ids of each of
+its vectors, so copies take no room in the beam. A shard with no more nodes than ``exact_rows`` is
+scanned instead.
 
 Defined cases: vectors that are null, zero, of another length than the most common, or hold null or
 non-finite components take no part; a null id takes no part; rows that repeat an id are one
@@ -42,6 +44,30 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _nodes(vectors: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by node, of each distinct vector those of the ``keep`` smallest ids, and each node's first place.
+
+    Vectors whose unit vectors are equal are one node; the last place is the number of rows.
+    """
+    def number(x):
+        x = np.ascontiguousarray(x + 0.0)  # -0.0 becomes 0.0
+        return np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+
+    node, vector = number(_unit(vectors)), number(vectors)
+    order = np.lexsort((ids, vector, node))
+    new = np.ones(len(order), bool)
+    new[1:] = vector[order[1:]] != vector[order[:-1]]
+    new[1:] |= ids[order[1:]] != ids[order[:-1]]
+    order = order[new]  # rows repeated whole are one
+    lead = np.ones(len(order), bool)
+    lead[1:] = vector[order[1:]] != vector[order[:-1]]
+    at = np.flatnonzero(lead)
+    nth = np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order))))
+    order = order[nth < keep]
+    first = np.flatnonzero(np.append(True, node[order[1:]] != node[order[:-1]]))
+    return order, np.append(first, len(order))
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and squared distances of a beam search for each query, nearest first (-1: none).
 
@@ -130,15 +156,17 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 48, alpha: float =
     return graph, start
 
 
-def _nearest(vectors: np.ndarray, ids: np.ndarray, graph: np.ndarray | None, start: int, queries: np.ndarray, query_ids: np.ndarray, k: int, beam: int):
+def _nearest(vectors: np.ndarray, ids: np.ndarray, first: np.ndarray, graph: np.ndarray | None, start: int, queries: np.ndarray, query_ids: np.ndarray, k: int, beam: int):
     """Up to k candidates of each query in one shard: query id, candidate id, score."""
-    x, q = _unit(vectors), _unit(queries)
+    x, q = _unit(vectors[first[:-1]]), _unit(queries)
     if graph is None:
         found = np.argsort(-(q @ x.T), 1, kind="stable")[:, : max(beam, 4 * k)]
     else:
         found, _ = beam_search(x, graph, start, q, beam)
     r, c = np.nonzero(found >= 0)
-    at = found[r, c]
+    node = found[r, c]
+    size = first[node + 1] - first[node]
+    r, at = np.repeat(r, size), np.arange(size.sum()) + np.repeat(first[node] - np.cumsum(size) + size, size)
     keep = ids[at] != query_ids[r]
     r, at = r[keep], at[keep]
     a, b = queries[r], vectors[at]
@@ -165,13 +193,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     shards, blocks = -(-count // shard_rows), max(1, -(-asked.count() // block_rows))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.stack(pdf["embedding"].to_numpy())
-        graph, start = (None, 0) if len(own) <= exact_rows else build_graph(_unit(own), degree)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [pdf["vec_id"].to_numpy().tobytes()], "vectors": [own.tobytes()], "graph": [b"" if graph is None else graph.astype(np.int32).tobytes()], "start": [start]})
+        own, ids = np.stack(pdf["embedding"].to_numpy()), pdf["vec_id"].to_numpy()
+        order, first = _nodes(own, ids, k + 1)  # one more: a query's own id takes no part
+        own, ids = own[order], ids[order]
+        graph, start = (None, 0) if len(first) - 1 <= exact_rows else build_graph(_unit(own[first[:-1]]), degree)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [ids.tobytes()], "vectors": [own.tobytes()], "first": [first.astype(np.int64).tobytes()], "graph": [b"" if graph is None else graph.astype(np.int32).tobytes()], "start": [start]})
 
     # the row's hash spreads rows that repeat an id, too
     shard = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")
-    built = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(index, "shard int, ids binary, vectors binary, graph binary, start int")
+    built = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(index, "shard int, ids binary, vectors binary, first binary, graph binary, start int")
     built = work.put(built, "index")
     packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("asked"))
     packed = work.put(packed, "asked")
@@ -180,14 +210,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     def run(batches):
         for pdf in batches:
-            for shard, ids, vecs, graph, start, asked in zip(pdf["shard"], pdf["ids"], pdf["vectors"], pdf["graph"], pdf["start"], pdf["asked"]):
+            for shard, ids, vecs, first, graph, start, asked in zip(pdf["shard"], pdf["ids"], pdf["vectors"], pdf["first"], pdf["graph"], pdf["start"], pdf["asked"]):
                 x = np.frombuffer(vecs, np.float64).reshape(-1, size)
-                g = np.frombuffer(graph, np.int32).reshape(len(x), -1) if len(graph) else None
+                first = np.frombuffer(first, np.int64)
+                g = np.frombuffer(graph, np.int32).reshape(len(first) - 1, -1) if len(graph) else None
                 qid = np.array([a["vec_id"] for a in asked], np.int64)
                 q = np.stack([np.asarray(a["embedding"], np.float64) for a in asked])
-                yield _nearest(x, np.frombuffer(ids, np.int64), g, start, q, qid, k, beam).assign(part=shard // SHARDS_MERGED)
+                for at in range(0, len(q), 128):  # a node may stand for many rows
+                    yield _nearest(x, np.frombuffer(ids, np.int64), first, g, start, q[at : at + 128], qid[at : at + 128], k, beam).assign(part=shard // SHARDS_MERGED)
 
-    found = tasks.select("shard", "ids", "vectors", "graph", "start", "asked").mapInPandas(run, "query_id long, vec_id long, score double, part int")
+    found = tasks.select("shard", "ids", "vectors", "first", "graph", "start", "asked").mapInPandas(run, "query_id long, vec_id long, score double, part int")
     order = F.struct((-F.col("score")).alias("far"), F.col("vec_id"), F.col("score"))
 
     def nearest(rows: DataFrame, *by: str) -> DataFrame:

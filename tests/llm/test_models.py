@@ -31,6 +31,23 @@ def test_recall_and_scores_over_shards(spark):
     assert np.mean([len({r.vec_id for r in got[q]} & set(exact[q])) / 5 for q in exact]) >= 0.95
 
 
+def test_recall_where_a_third_are_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 24)).astype(np.float32)
+    x[rng.permutation(1500)[:500]] = x[7]
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    rows = neighbours.search(df, df.where("vec_id % 10 = 0"), shard_rows=800, block_rows=64).collect()
+    exact = neighbours.brute_force(x.astype(np.float64), np.arange(1500), np.arange(0, 1500, 10))
+    same = np.flatnonzero((x == x[7]).all(1))
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in exact:
+        if q in same:
+            assert got[q] == set([int(i) for i in same if i != q][:5])
+    assert np.mean([len(got[q] & set(exact[q])) / 5 for q in exact if q not in same]) >= 0.9
+
+
 def test_pruned_edges_are_diverse():
     x = neighbours._unit(np.array([[1, 0.0], [1, 0.1], [1, 0.11], [1, 0.12], [1, -0.2]]))
     out = neighbours.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 4, 0, 1, -1]]), 4, 1.2)
