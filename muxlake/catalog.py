@@ -41,6 +41,11 @@ def pid_filter(spark, d):
     return packets.filter_pids(S.packets(spark, d), [260, 261, 300], max_packets=5000).select("n", "pid", "pos", "kind")
 
 
+@query(PACKETS + "SELECT n, pid, pos, kind FROM packets WHERE pid IN (260, 261, 300)")
+def pid_filter_whole(spark, d):
+    return packets.filter_pids(S.packets(spark, d), [260, 261, 300]).select("n", "pid", "pos", "kind")
+
+
 @query(PACKETS + "SELECT n, pid, pos, kind FROM packets WHERE pid NOT IN (260, 261, 300)")
 def pid_filter_invert(spark, d):
     return packets.filter_pids(S.packets(spark, d), [260, 261, 300], invert=True).select("n", "pid", "pos", "kind")

@@ -36,3 +36,13 @@ def test_query(spark, con, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+def test_keep_list_reaches_the_whole_stream(spark):
+    folder = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    for t in TABLES.split():
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = catalog.QUERIES["pid_filter_whole"](spark, folder).toPandas()
+    assert got["n"].max() >= 5000
+    assert rows(got) == rows(c.sql(catalog.ORACLES["pid_filter_whole"]).df())
