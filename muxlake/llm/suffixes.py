@@ -128,8 +128,9 @@ def _pieces(docs: DataFrame, runs: DataFrame, length: int, step: int) -> DataFra
         base, size = offsets[doc[which]], np.diff(offsets)[doc[which]]
         k1, k2 = _deepen(names, base + whole_lo + step - 1, np.full(len(k), length - step + 1))
         if step > 1:
-            fits = (whole_lo >= 0) & (whole_lo + step - 1 + length <= size)
-            # a piece at a text's edge is refined at its windows only
+            # a piece cut short by its run or its text has a name of its own: the piece across the border
+            # of two runs on one grid would else enter twice and meet itself
+            fits = (first == whole_lo) & (last == whole_lo + step - 1) & (whole_lo + step - 1 + length <= size)
             own = mix64(part.column("dh").to_numpy().view(np.uint64)[doc[which]] + first.astype(np.uint64))
             s1, s2 = own, mix64(own + part.column("doc_id").fill_null(0).to_numpy().view(np.uint64)[doc[which]])
             t1, t2 = _deepen(names, (base + whole_lo)[fits], np.full(int(fits.sum()), length + step - 1))
@@ -158,7 +159,8 @@ def _split(rows: DataFrame, bucket: list[str], work: Workspace, label: str) -> t
     spark, names = work.spark, [*bucket, "s1", "s2"]
     rows = work.put(rows, f"rows-{label}")
     tidy(spark)
-    shared = rows.groupBy(*bucket).agg(F.count("*").alias("m"), F.max("need").alias("any")).where("m > 1 and any").select(*[F.col(x).alias(f"b_{x}") for x in bucket])
+    # stored, so that both sides of the join are plain shuffles and a hot bucket's rows can be split
+    shared = work.put(rows.groupBy(*bucket).agg(F.count("*").alias("m"), F.max("need").alias("any")).where("m > 1 and any").select(*[F.col(x).alias(f"b_{x}") for x in bucket]), f"shared-{label}")
     alive = work.put(rows.join(shared, _same("", "b_", bucket), "left_semi"), f"alive-{label}")
     work.drop(f"rows-{label}")
     tidy(spark)
@@ -170,7 +172,7 @@ def _split(rows: DataFrame, bucket: list[str], work: Workspace, label: str) -> t
     work.drop(f"alive-{label}")
     tidy(spark)
     open_ = (F.col("m") == 1) & F.col("need")
-    apart = classes.groupBy(*bucket).agg(F.count("*").alias("k"), F.max(open_).alias("open")).where("k > 1 and open").select(*[F.col(x).alias(f"b_{x}") for x in bucket])
+    apart = work.put(classes.groupBy(*bucket).agg(F.count("*").alias("k"), F.max(open_).alias("open")).where("k > 1 and open").select(*[F.col(x).alias(f"b_{x}") for x in bucket]), f"apart-{label}")
     edge = classes.join(apart, _same("", "b_", bucket), "left_semi").select("one.*", open_.alias("need"))
     return marked, edge
 

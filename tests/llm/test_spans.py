@@ -1,12 +1,14 @@
 """Operators 6 and 7 against brute force."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from muxlake.llm import factors, suffixes
-from muxlake.llm._common import anchor_runs, sliding_min
+from muxlake.llm._common import anchor_runs, keyed, sliding_min
 
 
 def corpus(seed=1):
@@ -73,3 +75,28 @@ def test_empty_table_and_repeated_rows(spark, docs, folder, module):
     assert len(rows) == 4
     removed = [r.n_removed for r in rows if r.doc_id == 1]
     assert removed == ([len(long)] * 2 if module is suffixes else [0, 0])
+
+
+def test_neighbouring_runs_on_one_grid(spark, docs):
+    """Runs of one text whose anchors are a multiple of 16 apart do not share a piece at their border."""
+    rng = random.Random(11)
+    table = docs({1: "".join(rng.choice("abcdefghij") for _ in range(1500))})
+    runs = keyed(table).select("doc_id", "dh").crossJoin(spark.createDataFrame([(296, 15, 407, True), (311, 1, 583, True)], "lo int, n int, anchor int, need boolean"))
+    rows = suffixes._pieces(table, runs, 400, 16).collect()
+    assert len(rows) > 1 and len({(r.s1, r.s2) for r in rows}) == len(rows)
+    assert sorted(x for r in rows for x in range(r.lo, r.lo + r.n)) == list(range(296, 312))
+
+
+def test_bytes_of_the_given_documents(spark):
+    """Every document of the smallest table against a count of the hashes of all its windows."""
+    where = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
+    count = Counter(hash(b[i : i + 400]) for b in texts.values() for i in range(len(b) - 399))
+    for r in suffixes.query(spark, where).collect():
+        b = texts[r.doc_id]
+        keep = np.ones(len(b), bool)
+        for i in range(len(b) - 399):
+            if count[hash(b[i : i + 400])] > 1:
+                keep[i : i + 400] = False
+        left = np.frombuffer(b, np.uint8)[keep].tobytes()
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(b), len(b) - len(left), hashlib.sha256(left).hexdigest())
