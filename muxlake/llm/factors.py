@@ -93,7 +93,8 @@ def parse(docs: DataFrame, work: Workspace, length: int = 20, gram: int = 6) ->
     doc = F.coalesce("doc_id", F.lit(_NO_ID))
     place = F.struct(doc.alias("d"), F.col("lo"), F.col("dh"), F.col("n"), F.col("doc_id"))
     blocks = work.put(reference_blocks(docs, length, gram), "blocks")
-    shared = blocks.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select(F.col("b").alias("k"))
+    # stored, so that both sides of the join are plain shuffles and a hot anchor's rows can be split
+    shared = work.put(blocks.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select(F.col("b").alias("k")), "shared")
     alive = work.put(blocks.join(shared, F.col("b") == F.col("k"), "left_semi"), "alive")
     work.drop("blocks")
     tidy(docs.sparkSession)
@@ -105,7 +106,7 @@ def parse(docs: DataFrame, work: Workspace, length: int = 20, gram: int = 6) ->
     work.drop("alive")
     tidy(docs.sparkSession)
     # blocks that share an anchor but differ: their windows are looked up singly
-    apart = index.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select(F.col("b").alias("a"))
+    apart = work.put(index.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select(F.col("b").alias("a")), "apart")
     edge = index.join(apart, F.col("b") == F.col("a"), "left_semi").select("ref.doc_id", "ref.dh", "ref.lo", "ref.n")
     windows = work.put(_windows(docs, edge, length), "windows")
     tidy(docs.sparkSession)
