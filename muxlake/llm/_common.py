@@ -84,6 +84,14 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("dh"), text.alias("text"), *extra)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def attach(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Joins per-document results back by the row key of :func:`keyed` (null ids match)."""
     r = right.select(F.col("doc_id").alias("r_doc_id"), F.col("dh").alias("r_dh"), *[c for c in right.columns if c not in ("doc_id", "dh")])

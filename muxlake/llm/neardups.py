@@ -13,33 +13,35 @@ first arrivals can change nothing and ends early. Registers of two texts agree w
 J_P. Bands of ``rows`` registers are bucket keys: at 0.8, 32 bands of 6 meet with probability
 0.99994 (0.02 at 0.3).
 
-Verification: equal texts are one node first. Each bucket's nodes are paired with the bucket's
-least node, and J_P of each pair is computed exactly from all shingles. Links make components. As
-long as links are found, every node outside its bucket's main component is paired with ``DRAWS`` of
-that component's members and with one other outsider, drawn anew for each bucket and turn, and
-verified. So a bucket of g nodes gives at most 5 g pairs a turn. The turns only find most links
-cheaply. Once one finds none, an exact step settles the rest: of all pairs of nodes of different
-components in buckets that hold several, each is excluded by a bound or verified (``_remaining``).
+Verification: equal texts are one node first. A bucket's least node is its centre; the nodes that
+share a bucket with one centre form a star, so every bucket lies within a star, and a pair of texts
+that many bands bring together is met in few of them. A star is dealt to chunks of about ``CHUNK``
+nodes, each with the centre. In a chunk all pairs not yet linked are compared: an upper bound of
+J_P, from a product of the chunk's shingle matrix with itself, excludes a pair or its exact value
+decides. The links (a spanning forest of each chunk) make components. Stars of several chunks that
+hold several components are settled in a second pass: their nodes outside the star's main component
+meet all nodes of the star, tile by tile. So every pair in a bucket is linked, excluded exactly, or
+within one component, and no task holds more than two chunks. The second pass grows with the square
+of a star whose texts are nearly alike but not linked.
 
 Defined cases: null text is empty; texts without words are alike only if equal; a row with a null
 ``doc_id`` takes the class of an equal text that has an id, else null; rows that repeat an id are
-one document; an empty table gives an empty result; further columns do not matter.
+one document, alike to what any of its texts is alike to; an empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, Workspace, i64, map_slices, mix64, read_table, tidy
+from ._common import Words, Workspace, i64, map_slices, mix64, read_table, tidy, unused
 from .graph import components
 
 BANDS, ROWS, WORDS, LEAST = 32, 6, 5, 0.8
-#: Members of a bucket's main component that each outsider is compared with in a turn.
-DRAWS = 4
-_PER_TASK = 256
+#: Nodes that a task compares with each other at once, and columns of a slice of their matrix.
+CHUNK, _COLUMNS = 256, 4096
 _STEP, _PICK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -95,6 +97,8 @@ def likeness(h1: np.ndarray, v: np.ndarray, h2: np.ndarray, w: np.ndarray) -> fl
     common, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
+    if v.sum() == len(v) and w.sum() == len(w):
+        return len(common) / (len(v) + len(w) - len(common))
     both_v, both_w = v[i].astype(np.float64), w[j].astype(np.float64)
     only_v, only_w = v.sum() - both_v.sum(), w.sum() - both_w.sum()
     kinds, n = np.unique(np.stack((both_v, both_w), 1), axis=0, return_counts=True)
@@ -104,6 +108,70 @@ def likeness(h1: np.ndarray, v: np.ndarray, h2: np.ndarray, w: np.ndarray) -> fl
     return float(out)
 
 
+def bounds(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """An upper bound of J_P for each pair of a left and a right set; exact where all weights are 1.
+
+    Each of J_P's terms is at most max(v[d], w[d]) / sum over d' of max(v[d'], w[d']). With the sums
+    V and W of common shingles' weights, the number C of common shingles and the totals, the sum of
+    the terms is at most (V + W - C) / (total_v + total_w - C).
+    """
+    sizes = np.array([len(h) for h, _ in sets])
+    flat, weight = (np.concatenate([x[k] for x in sets]) for k in range(2))
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    shared = count[place] > 1
+    row, at, weight_at = np.repeat(np.arange(len(sets)), sizes)[shared], column[place[shared]], weight[shared]
+    order = np.argsort(at, kind="stable")
+    row, at, weight_at = row[order], at[order], weight_at[order]
+    columns, many = int((count > 1).sum()), bool((weight_at > 1).any())
+    common = np.zeros((len(left), len(right)))
+    both = np.zeros_like(common)
+    for start in range(0, columns, _COLUMNS):
+        a, b = np.searchsorted(at, (start, start + _COLUMNS))
+        has = np.zeros((len(sets), min(_COLUMNS, columns - start)), np.float32)
+        has[row[a:b], at[a:b] - start] = 1
+        common += has[left] @ has[right].T
+        if many:
+            held = np.zeros_like(has)
+            held[row[a:b], at[a:b] - start] = weight_at[a:b]
+            both += held[left] @ has[right].T + has[left] @ held[right].T
+    if not many:
+        both = 2 * common
+    total = np.array([n.sum() for _, n in sets], np.float64)
+    return (both - common) / np.maximum(total[left][:, None] + total[right] - common, 1)
+
+
+def forest(roots: list[int], sides: list[int], sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple[int, int]]:
+    """Links between the components ``roots`` of alike sets, as few as join them.
+
+    Where both sides 0 and 1 occur, only pairs across them are compared.
+    """
+    parent: dict[int, int] = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    k, across = len(roots), len(set(sides)) > 1
+    left = np.array([i for i in range(k) if not across or sides[i] == 0])
+    right = np.array([i for i in range(k) if not across or sides[i] == 1])
+    if len(left) * len(right) <= 72:
+        pairs = ((i, j) for i in left.tolist() for j in right.tolist() if across or i < j)
+    else:
+        i, j = np.nonzero(bounds(sets, left, right) >= least - 1e-9)
+        i, j = left[i], right[j]
+        keep = slice(None) if across else i < j
+        pairs = zip(i[keep].tolist(), j[keep].tolist())
+    out = []
+    for i, j in pairs:
+        a, b = find(roots[i]), find(roots[j])
+        if a != b and likeness(*sets[i], *sets[j]) >= least:
+            parent[max(a, b)] = min(a, b)
+            out.append((max(a, b), min(a, b)))
+    return out
+
+
 def _sign(docs: DataFrame) -> DataFrame:
     """``(doc_id, x1, x2, keys)`` of every row: text identity and bucket keys (none: empty)."""
     registers = BANDS * ROWS
@@ -130,163 +198,116 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, h, n)``: shingle hashes and counts (as bytes) of the nodes' texts."""
+    """``(node, h, n)``: shingle hashes and counts (as bytes; none: all are 1) of the nodes' texts."""
     wanted = nodes.select("node", F.col("x1").alias("k1"), F.col("x2").alias("k2"))
-    rows = _identified(docs).join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("x1") == F.col("k1")) & (F.col("x2") == F.col("k2"))).select("node", "text").dropDuplicates(["node"])
+    rows = _identified(docs).join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("x1") == F.col("k1")) & (F.col("x2") == F.col("k2")))
+    rows = rows.select("node", "x1", "x2", "text").dropDuplicates(["node", "x1", "x2"])
 
     def fn(part, data, offsets):
         doc, h, n = shingles(data, offsets)
         cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
         hs = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-        ns = [n[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+        ns = [n[a:b].astype(np.int32).tobytes() if (n[a:b] > 1).any() else b"" for a, b in zip(cut[:-1], cut[1:])]
         return pa.RecordBatch.from_arrays([part.column("node"), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], ["node", "h", "n"])
 
     return map_slices(rows, fn, "node long, h binary, n binary")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose exact likeness is ``least`` or more.
-
-    A node ``b`` of many pairs is copied once for each ``_PER_TASK`` of them, and its pairs are dealt
-    over the copies, so a large bucket's centre is compared in many tasks.
-    """
-    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / _PER_TASK).cast("int").alias("copies")).withColumnRenamed("b", "b_node")
-    dealt = pairs.join(copies, F.col("b") == F.col("b_node")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
-    a = sets.select(F.col("node").alias("a_node"), F.col("h").alias("h_a"), F.col("n").alias("n_a"))
-    b = sets.join(copies, F.col("node") == F.col("b_node")).select("b_node", F.col("h").alias("h_b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("b_copy"))
-    both = dealt.join(a, F.col("a") == F.col("a_node")).join(b, (F.col("b") == F.col("b_node")) & (F.col("copy") == F.col("b_copy"))).select("a", "b", "h_a", "n_a", "h_b", "n_b")
+def _compared(dealt: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` between roots, from ``(centre, tile, side, node, root)`` dealt to tiles."""
+    own = sets.select(F.col("node").alias("s_node"), "h", "n")
+    rows = dealt.join(own, F.col("node") == F.col("s_node")).select("centre", "tile", "side", "node", "root", "h", "n")
 
     def run(batches):
-        for batch in batches:
-            h1, n1, h2, n2 = (batch.column(k).to_pylist() for k in ("h_a", "n_a", "h_b", "n_b"))
-            keep = [likeness(np.frombuffer(p, np.uint64), np.frombuffer(q, np.int32), np.frombuffer(r, np.uint64), np.frombuffer(s, np.int32)) >= least for p, q, r, s in zip(h1, n1, h2, n2)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _merge(labels: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """``labels(node, root)`` with the components that ``links`` join made one."""
-    root = lambda x: labels.select(F.col("node").alias(f"n_{x}"), F.col("root").alias(f"r_{x}"))
-    edges = links.join(root("a"), F.col("a") == F.col("n_a")).join(root("b"), F.col("b") == F.col("n_b")).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
-    joined = components(edges, work, name)
-    if joined is None:
-        return labels
-    moved = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
-    return work.put(labels.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), f"{name}-merged")
-
-
-def _sized(labels: DataFrame) -> DataFrame:
-    """``labels`` with ``less``, the negative size of the component."""
-    sizes = labels.groupBy("root").agg((-F.count("*")).alias("less")).withColumnRenamed("root", "s_root")
-    return labels.join(sizes, F.col("root") == F.col("s_root")).select("node", "root", "less")
+        held: list[tuple] = []
+        at = None
+
+        def settle():
+            pairs = []
+            if len(held) > 1:
+                hs = [np.frombuffer(h, np.uint64) for _, _, h, _ in held]
+                sets = [(h, np.frombuffer(n, np.int32) if n else np.ones(len(h), np.int32)) for h, (_, _, _, n) in zip(hs, held)]
+                pairs = forest([x[1] for x in held], [x[0] for x in held], sets, least)
+            held.clear()
+            return pairs
 
-
-def _hook(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` after each component of ``links`` has joined its largest larger neighbour.
-
-    One step only: it steers the next turn's pairs; components are worked out in full at the end.
-    """
-    root = lambda x: labels.select(F.col("node").alias(f"n_{x}"), F.struct("less", "root").alias(f"r_{x}"))
-    edges = links.join(root("a"), F.col("a") == F.col("n_a")).join(root("b"), F.col("b") == F.col("n_b")).where("r_a <> r_b")
-    hooks = edges.groupBy(F.greatest("r_a", "r_b")["root"].alias("old")).agg(F.min(F.least("r_a", "r_b"))["root"].alias("new"))
-    return labels.join(hooks, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
-
-
-def _unsettled(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """``(key, node, root, centres, outside)`` of the buckets that hold several components.
-
-    ``outside`` marks nodes outside their bucket's main component. Other buckets are settled, since
-    components only grow, and need not be looked at again. The main component is the one largest overall; ``centres`` are ``DRAWS`` of its members in the
-    bucket, drawn by a hash of the node and turn: members that share many buckets with a node, and
-    so are alike, are drawn in many of them.
-    """
-    known = labels.select(F.col("node").alias("l_node"), "root", "less")
-    named = members.join(known, F.col("node") == F.col("l_node")).select("key", "node", "root", "less")
-    draws = [F.min(F.struct("less", "root", F.xxhash64("node", F.lit(turn * DRAWS + i)).alias("luck"), F.col("node"))).alias(f"d{i}") for i in range(DRAWS)]
-    main = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *draws).where("low < high")
-    main = main.select(F.col("key").alias("k"), F.col("d0.root").alias("main"), F.array_distinct(F.array(*[F.col(f"d{i}.node") for i in range(DRAWS)])).alias("centres"))
-    return named.join(main, F.col("key") == F.col("k")).select("key", "node", "root", "centres", (F.col("root") != F.col("main")).alias("outside"))
-
-
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    old = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    return pairs.join(old, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-
-
-def _remaining(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float, work: Workspace) -> DataFrame:
-    """The pairs ``(a, b)`` that may still link components within the buckets of ``members``.
-
-    J_P is at most the sum of min(v[d] / |v|, w[d] / |w|). So in any one order of all shingles, the
-    first shingles of both texts, of a share above 1 - ``least`` each, have one in common if the
-    texts are alike: all other pairs are excluded exactly. The order has the shingles of one
-    component first, which make no pairs, then the rare ones. In a shingle's group the nodes outside
-    its most frequent component are paired with all nodes of other components.
-    """
-    named = members.join(labels.select(F.col("node").alias("l_node"), "root"), F.col("node") == F.col("l_node")).select("key", "node", "root")
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("k"))
-    nodes = work.put(named.join(mixed, F.col("key") == F.col("k"), "left_semi").select(F.col("node").alias("m"), "root").distinct(), "left-nodes")
-
-    def unpack(batches):
         for batch in batches:
-            for node, root, h, n in zip(*(batch.column(k).to_pylist() for k in ("node", "root", "h", "n"))):
-                h, n = np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)
-                yield pa.RecordBatch.from_arrays([i64(np.full(len(h), node)), i64(np.full(len(h), root)), i64(h), pa.array(n / n.sum())], ["node", "root", "h", "p"])
-
-    rows = sets.join(nodes, F.col("node") == F.col("m")).select("node", "root", "h", "n")
-    grams = work.put(rows.mapInArrow(unpack, "node long, root long, h long, p double"), "left-grams")
-    held = grams.groupBy("h").agg(F.count("*").alias("texts"), (F.min("root") < F.max("root")).alias("mixed")).withColumnRenamed("h", "g")
-    before = Window.partitionBy("node").orderBy("mixed", "texts", "h").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = grams.join(held, F.col("h") == F.col("g")).withColumn("before", F.coalesce(F.sum("p").over(before), F.lit(0.0)))
-    heads = work.put(ordered.where(F.col("mixed") & (F.col("before") <= 1 - least + 1e-9)).select("node", "root", "h"), "left-heads")
-    roots = heads.groupBy("h", "root").agg(F.count("*").alias("texts"))
-    main = roots.groupBy("h").agg(F.max_by("root", F.struct("texts", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(F.col("h").alias("g"), "main")
-    named = heads.join(main, F.col("h") == F.col("g")).select("h", "node", "root", "main")
-    outside = named.where("root <> main").select(F.col("h").alias("o_h"), F.col("node").alias("o"), F.col("root").alias("o_root"))
-    pairs = outside.join(named, (F.col("o_h") == F.col("h")) & (F.col("o_root") != F.col("root")))
-    return pairs.select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct()
+            links = []
+            for centre, tile, *row in zip(*(batch.column(k).to_pylist() for k in ("centre", "tile", "side", "root", "h", "n"))):
+                if (centre, tile) != at:
+                    links += settle()
+                    at = centre, tile
+                held.append(tuple(row))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+        if links := settle():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    return rows.repartition("centre", "tile").sortWithinPartitions("centre", "tile", "node").mapInArrow(run, "a long, b long")
+
+
+def _second_pass(stars: DataFrame, large: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame | None:
+    """Tiles of the stars of several chunks that hold several components; null if there are none."""
+    own = stars.join(large, F.col("centre") == F.col("l_centre"), "left_semi").unionByName(large.select(F.col("l_centre").alias("centre"), F.col("l_centre").alias("node")))
+    known = labels.select(F.col("node").alias("k_node"), F.col("root").alias("k_root"))
+    named = work.put(own.join(known, F.col("node") == F.col("k_node"), "left").select("centre", "node", F.coalesce("k_root", "node").alias("root")), "named")
+    counts = named.groupBy("centre", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("centre").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("in"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    parts = lambda n: F.ceil(n / CHUNK).cast("int")
+    main = work.put(main.select(F.col("centre").alias("m_centre"), "main", parts(F.col("in")).alias("inner"), parts(F.col("all") - F.col("in")).alias("outer")), "main")
+    if main.isEmpty():
+        return None
+    outside = F.col("root") != F.col("main")
+    rows = named.join(main, F.col("centre") == F.col("m_centre")).withColumn("c", F.pmod(F.xxhash64("node"), F.when(outside, F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+
+    def tile(kind: int, i, j, side):
+        return F.struct((F.lit(kind) * F.lit(1 << 60) + i.cast("long") * F.lit(1 << 30) + j.cast("long")).alias("tile"), side.cast("int").alias("side"))
+
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.transform(count("outer"), lambda j: tile(0, F.least("c", j), F.greatest("c", j), F.col("c") > j))
+    to_main = F.transform(count("inner"), lambda i: tile(1, i, F.col("c"), F.lit(1)))
+    from_main = F.transform(count("outer"), lambda j: tile(1, F.col("c"), j, F.lit(0)))
+    rows = rows.withColumn("t", F.explode(F.when(outside, F.concat(among, to_main)).otherwise(from_main)))
+    return rows.select("centre", "t.tile", "t.side", "node", "root")
 
 
 def classes(docs: DataFrame, least: float = LEAST, work: Workspace | None = None) -> DataFrame:
     """``(doc_id, x1, x2, class_id)`` of every row; ``class_id`` is the class's least doc_id."""
-    work = work or Workspace(docs.sparkSession, "neardups")
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "neardups")
     signed = work.put(_sign(docs), "signed")
     # equal texts are one node, named by their least id
     equal = work.put(signed.groupBy("x1", "x2").agg(F.min("doc_id").alias("node"), F.max(F.when(F.col("doc_id").isNotNull(), F.col("keys"))).alias("keys")), "equal")
+    tidy(spark)
     nodes = equal.where("node is not null and size(keys) > 0")
-    members = nodes.select("node", F.explode("keys").alias("key")).distinct()
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1").select(F.col("key").alias("k"), "least")
-    members = work.put(members.join(buckets, F.col("key") == F.col("k")).select("key", "node", "least"), "members")
-    tidy(docs.sparkSession)
-    tested = work.put(members.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "pairs-0")
-    involved = members.select(F.col("node").alias("m")).distinct()
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = work.put(members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("most")).where("centre < most").select(F.col("key").alias("k"), "centre"), "buckets")
+    stars = work.put(members.join(buckets, F.col("key") == F.col("k")).where("node > centre").select("centre", "node").distinct(), "stars")
+    tidy(spark)
+    involved = stars.select("node").union(stars.select("centre")).distinct().withColumnRenamed("node", "m")
     sets = work.put(_weighted_sets(docs, nodes.join(involved, F.col("node") == F.col("m"), "left_semi")), "sets")
-    tidy(docs.sparkSession)
-    links = work.put(_links(tested, sets, least), "links-0")
-    labels = _merge(work.put(involved.select(F.col("m").alias("node"), F.col("m").alias("root")), "labels"), links, work, "turn-0")
-    steer, more_links, turn = work.put(_sized(labels), "steer-0"), None, 0
-    while True:
-        turn += 1
-        unsettled = work.put(_unsettled(members, steer, turn), f"unsettled-{turn}")
-        members, outside = unsettled.select("key", "node"), unsettled.where("outside")
-        to_main = outside.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("all")).select("node", F.explode("all").alias("c"))
-        other = outside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("luck"), F.col("root"), F.col("node"))).alias("o")).select(F.col("key").alias("k"), F.col("o.node").alias("c"), F.col("o.root").alias("c_root"))
-        to_other = outside.join(other, F.col("key") == F.col("k")).where("root <> c_root").select("node", "c")
-        more = to_main.unionByName(to_other).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
-        fresh = work.put(_untested(more, tested), f"pairs-{turn}")
-        found = work.put(_links(fresh, sets, least), f"links-{turn}")
-        tested = tested.unionByName(fresh)
-        if found.isEmpty():
-            break
-        more_links = found if more_links is None else more_links.unionByName(found)
-        steer = work.put(_sized(_hook(steer, found)), f"steer-{turn}")
-    if more_links is not None:
-        labels = _merge(labels, more_links, work, "last")
-    fresh = work.put(_untested(_remaining(members, labels, sets, least, work), tested), "left-pairs")
-    labels = _merge(labels, work.put(_links(fresh, sets, least), "left-links"), work, "left")
+    large = work.put(stars.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(F.col("centre").alias("l_centre"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "large")
+    tidy(spark)
+    chunks = F.coalesce("chunks", F.lit(1))
+    spread = lambda rows: rows.join(large, F.col("centre") == F.col("l_centre"), "left")
+    outer = spread(stars).select("centre", F.pmod(F.xxhash64("node"), chunks).cast("long").alias("tile"), "node")
+    inner = spread(stars.select("centre").distinct()).select("centre", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)).alias("tile"), F.col("centre").alias("node"))
+    dealt = outer.unionByName(inner).select("centre", "tile", F.lit(0).alias("side"), "node", F.col("node").alias("root"))
+    labels = components(work.put(_compared(dealt, sets, least), "links"), work, "first")
+    if labels is None:
+        labels = nodes.where("false").select("node", F.col("node").alias("root"))
+    tidy(spark)
+    tiles = None if large.isEmpty() else _second_pass(stars, large, labels, work)
+    joined = None if tiles is None else components(work.put(_compared(tiles, sets, least), "more-links"), work, "second")
+    if joined is not None:
+        moved = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
+        # a root of the first pass is a node of its own, perhaps without any link of that pass
+        every = labels.unionByName(joined.select("node", F.col("node").alias("root")).join(labels.select(F.col("node").alias("had")), F.col("node") == F.col("had"), "left_anti"))
+        labels = work.put(every.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
     named = equal.select(F.col("x1").alias("e1"), F.col("x2").alias("e2"), "node")
-    rows = signed.select("doc_id", "x1", "x2").join(named, (F.col("x1") == F.col("e1")) & (F.col("x2") == F.col("e2"))).drop("e1", "e2")
-    return rows.join(labels.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("doc_id", "x1", "x2", F.coalesce("root", "node").alias("class_id"))
+    named = named.join(labels.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("e1", "e2", F.coalesce("root", "node").alias("class_id"))
+    rows = signed.select("doc_id", "x1", "x2")
+    return rows.join(named, (F.col("x1") == F.col("e1")) & (F.col("x2") == F.col("e2"))).select("doc_id", "x1", "x2", "class_id")
 
 
 def dedup(docs: DataFrame, least: float = LEAST, work: Workspace | None = None) -> DataFrame:
@@ -296,15 +317,16 @@ def dedup(docs: DataFrame, least: float = LEAST, work: Workspace | None = None)
     first text by hash stays.
     """
     work = work or Workspace(docs.sparkSession, "neardups")
-    named = classes(docs, least, work)
-    leads = named.where("class_id is not null and doc_id = class_id").groupBy("class_id").agg(F.min(F.struct("x1", "x2")).alias("k"))
-    leads = work.put(leads.select(F.col("class_id").alias("keep_id"), F.col("k.x1").alias("keep_1"), F.col("k.x2").alias("keep_2")), "leads")
-    text = F.coalesce("text", F.lit(""))
-    same = (F.col("doc_id") == F.col("keep_id")) & (F.xxhash64(text) == F.col("keep_1")) & (F.xxhash64(F.lit(1), text) == F.col("keep_2"))
-    out = docs.where("doc_id is not null").join(leads, same, "left_semi")
-    # rows repeated whole pass the join together; one stays
-    out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    named = work.put(classes(docs, least, work), "classes")
+    known = named.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") != F.col("class_id")).alias("other"), F.min(F.when(F.col("doc_id") == F.col("class_id"), F.struct("x1", "x2"))).alias("lead"))
+    known = work.put(known.where("rows > 1 or other"), "known")
+    own, first, second = (unused(docs, x) for x in ("own_id", "text_1", "text_2"))
+    same = docs["doc_id"] == F.col(own)
+    alone = docs.where("doc_id is not null").join(known.select(F.col("doc_id").alias(own)), same, "left_anti")
+    leads = known.where("rows > 1 and lead is not null").select(F.col("doc_id").alias(own), F.col("lead.x1").alias(first), F.col("lead.x2").alias(second))
+    text = F.coalesce(docs["text"], F.lit(""))
+    repeated = docs.join(leads, same & (F.xxhash64(text) == F.col(first)) & (F.xxhash64(F.lit(1), text) == F.col(second)), "left_semi").dropDuplicates(["doc_id"])
+    return alone.unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

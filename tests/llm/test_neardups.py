@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -64,11 +65,52 @@ def test_dedup_keeps_one_of_each_class(spark, docs):
     assert ids.count(None) == 2
 
 
+def test_bounds_are_above_the_likeness():
+    rng = np.random.default_rng(2)
+    for most in (1, 4):
+        sets = []
+        for _ in range(30):
+            h = np.unique(rng.integers(0, 90, 60).astype(np.uint64))
+            sets.append((h, rng.integers(1, most + 1, len(h)).astype(np.int32)))
+        sets += [(h, 3 * n) for h, n in sets[:5]]
+        every = np.arange(len(sets))
+        got = neardups.bounds(sets, every, every)
+        exact = np.array([[neardups.likeness(*a, *b) for b in sets] for a in sets])
+        assert (got >= exact - 1e-12).all()
+        assert most > 1 or np.allclose(got[:30, :30], exact[:30, :30])
+
+
+def test_stars_of_many_chunks(spark, docs, folder, monkeypatch):
+    monkeypatch.setattr(neardups, "CHUNK", 2)
+    texts = corpus(6)
+    texts |= {1000 + i: texts[0] + f" tail{i}" for i in range(40)}
+    rows = neardups.query(spark, folder(documents=docs(texts))).collect()
+    assert {r.doc_id: r.class_id for r in rows} == neardups.brute_force(texts)
+
+
+def test_ids_with_several_texts_and_clashing_names(spark, docs):
+    say = lambda tag: " ".join(f"{tag}{i}" for i in range(100))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " x"), (3, say("b") + " y"), (4, say("c"))]
+    table = docs(rows).withColumn("own_id", F.lit("p")).withColumn("text_1", F.lit(2)).withColumn("class_id", F.lit(3))
+    assert {r.doc_id: r.class_id for r in neardups.classes(table).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    kept = neardups.dedup(table)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_a_very_long_text(spark, docs):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    rows = neardups.classes(docs({1: long, 2: long + " end", 3: long[: len(long) // 2]})).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty_table(spark, docs, folder):
     assert neardups.query(spark, folder(documents=docs({}))).collect() == []
 
 
-def test_lone_link_in_a_large_bucket(spark, docs, folder, monkeypatch):
+@pytest.mark.parametrize("chunk", [256, 7])
+def test_lone_link_in_a_large_bucket(spark, docs, folder, monkeypatch, chunk):
+    monkeypatch.setattr(neardups, "CHUNK", chunk)
     sign = neardups._sign
     monkeypatch.setattr(neardups, "_sign", lambda d: sign(d).withColumn("keys", F.array(F.lit(7).cast("long"))))
     rng = random.Random(5)
