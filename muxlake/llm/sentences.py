@@ -5,10 +5,12 @@ normaliser (compiled character map, white-space folding, dummy prefix, metaspace
 model (unigram scores, or BPE merges in order of the merged piece's score), byte fallback, and the
 decoder. Whole texts are normalised and, where the vocabulary proves that no piece crosses it, cut
 before each run of marks; the distinct units of a batch are encoded by the library's threads.
-Parity: every distinct unit (or else every text) is encoded by the sentencepiece library too. Where
-the two differ, which BPE pieces with two overlapping splits can cause, sentencepiece's ids are
-taken and the text's ``parity`` is false. Every distinct unit's ids are decoded; a text with a unit
-that does not decode to itself is decoded whole.
+Parity: every distinct unit (or else every text) is encoded by the sentencepiece library too, only to
+be compared: the ids stored are always the rebuilt tokenizer's, and a text with a unit that differs
+has a false ``parity``. The library ranks all merges, while two splits of one BPE piece are equal in
+the model; a unit in which that made a difference is merged again here by score and place alone.
+Every distinct unit's ids are decoded; a text with a unit that does not decode to itself is decoded
+whole. User-defined pieces are cut out first; a model with white space as suffix has its marks last.
 
 Defined cases: a null or empty text has no ids and decodes to ''; texts of any length are encoded
 whole; ``round_trip`` is false where the model's normaliser changes a text (as U+2581, which
@@ -19,6 +21,7 @@ further columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import re
 import struct
@@ -86,6 +89,7 @@ class Parsed:
     dummy_prefix: bool = True
     fold_spaces: bool = True
     escape_spaces: bool = True
+    suffix: bool = False
 
 
 def parse_model(data: bytes) -> Parsed:
@@ -108,8 +112,8 @@ def parse_model(data: bytes) -> Parsed:
                     out.kind = v
                 elif n == 35:
                     out.byte_fallback = bool(v)
-                elif n == 24 and v:
-                    raise ValueError("white space as suffix is not supported")
+                elif n == 24:
+                    out.suffix = bool(v)
         elif number == 3:
             for n, v in wire(value):
                 if n == 2:
@@ -122,8 +126,6 @@ def parse_model(data: bytes) -> Parsed:
                     out.escape_spaces = bool(v)
     if out.kind not in (UNIGRAM, BPE):
         raise ValueError(f"model type {out.kind} is not supported")
-    if any(k == USER for _, _, k in out.pieces):
-        raise ValueError("user-defined pieces are not supported")
     return out
 
 
@@ -136,9 +138,34 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for _, _, a, b in sorted(out)]
 
 
+def merged(text: str, scores: dict[str, float]) -> list[str]:
+    """Pieces of ``text`` after merging neighbours, the best scored first and of equals the leftmost."""
+    piece, after, before = list(text), [*range(1, len(text)), -1], list(range(-1, len(text) - 1))
+    agenda: list[tuple[float, int, str]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] >= 0 and (both := piece[i] + piece[after[i]]) in scores:
+            heapq.heappush(agenda, (-scores[both], i, both))
+
+    for i in range(len(piece)):
+        offer(i)
+    while agenda:
+        _, i, both = heapq.heappop(agenda)
+        j = after[i]
+        if not piece[i] or j < 0 or piece[i] + piece[j] != both:
+            continue  # one of the two has gone into another piece
+        piece[i], piece[j] = both, ""
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [p for p in piece if p]
+
+
 def build(parsed: Parsed):
-    """The normaliser and the tokenizer (of normalised text) of a parsed model."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    """The normaliser (without marks) and the tokenizer (of marked text) of a parsed model."""
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(parsed.pieces)}
     unknown = next((i for i, (_, _, k) in enumerate(parsed.pieces) if k == UNKNOWN), None)
@@ -148,16 +175,15 @@ def build(parsed: Parsed):
     else:
         model = models.Unigram([(p, s) for p, s, _ in parsed.pieces], unknown, parsed.byte_fallback)
     out = Tokenizer(model)
+    if user := [p for p, _, k in parsed.pieces if k == USER]:
+        out.add_tokens([AddedToken(p, normalized=True) for p in user])
     steps = []
     if parsed.charsmap:
         steps.append(normalizers.Precompiled(parsed.charsmap))
     if parsed.fold_spaces:
         steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Replace(Regex("^ +| +$"), "")]
-    if parsed.dummy_prefix:
-        steps.append(normalizers.Prepend(" "))
-    if parsed.escape_spaces:
-        steps.append(normalizers.Replace(" ", MARK))
-    tail = [decoders.Strip(" ", 1, 0)] if parsed.dummy_prefix else []
+    # a mark at the end is taken off by the codec
+    tail = [decoders.Strip(" ", 1, 0)] if parsed.dummy_prefix and not parsed.suffix else []
     out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
     return normalizers.Sequence(steps), out
 
@@ -172,41 +198,59 @@ class Codec:
         import sentencepiece
 
         parsed = parse_model(data)
-        self.threads, self.dummy_prefix = threads, parsed.dummy_prefix
-        self.simple, self._prefix = not parsed.charsmap and not parsed.fold_spaces, MARK if parsed.dummy_prefix else ""
+        self.threads, self.parsed = threads, parsed
+        self.simple = not parsed.charsmap and not parsed.fold_spaces
+        dummy = MARK if parsed.escape_spaces else " "
+        self._before, self._after = (dummy if parsed.dummy_prefix and parsed.suffix == at_end else "" for at_end in (False, True))
         self.normal, self.own = build(parsed)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
+        user = any(k == USER for _, _, k in parsed.pieces)
         # if no piece has the mark after another character, none crosses a unit's start; where white
         # space is folded, a mark in the text is not a space, and texts are encoded whole
-        self.by_unit = parsed.escape_spaces and not parsed.fold_spaces and not any(MARK in p.lstrip(MARK) for p, _, k in parsed.pieces if k == NORMAL)
-        self._lead = self.other.encode("a")
+        self.by_unit = parsed.escape_spaces and not parsed.fold_spaces and not parsed.suffix and not user and not any(MARK in p.lstrip(MARK) for p, _, k in parsed.pieces if k == NORMAL)
+        self._ids = {p: i for i, (p, _, k) in enumerate(parsed.pieces)}
+        self._scores = {p: s for p, s, k in parsed.pieces if k == NORMAL} if parsed.kind == BPE and not user and parsed.byte_fallback else {}
+        self._lead = [self._ids["a"]] if "a" in self._ids else self.own.encode("a", add_special_tokens=False).ids
         #: ids of known units (packed), and the units that differ or do not decode to themselves
         self.units: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self.lossy: set[str] = set()
 
+    def normalise(self, text: str) -> str:
+        """The text as the tokenizer takes it, with marks."""
+        text = text if self.simple else self.normal.normalize_str(text)
+        text = text.replace(" ", MARK) if self.parsed.escape_spaces else text
+        return self._before + text + self._after if text else ""
+
+    def _agreed(self, normal: list[str], got: list[list[int]], want: list[list[int]]) -> list[bool]:
+        """Whether the libraries agree; ids that differ are worked out again in place."""
+        for i, (a, b) in enumerate(zip(got, want)):
+            if a != b and self._scores:
+                got[i] = []
+                for p in merged(normal[i], self._scores):
+                    got[i] += [self._ids[p]] if p in self._ids else [self._ids[f"<0x{x:02X}>"] for x in p.encode()]
+        return [a == b for a, b in zip(got, want)]
+
     def _learn(self, units: list[str]) -> None:
-        """Encodes new units with both libraries, decodes them, and notes where either goes wrong."""
+        """Encodes new units, compares with the other library, decodes, and notes where either goes wrong."""
         got = [e.ids for e in self.own.encode_batch_fast(units, add_special_tokens=False)]
         # the library adds the dummy prefix, which is the unit's first mark, itself
-        want = self.other.encode([(u[1:] if self.dummy_prefix else u).replace(MARK, " ") for u in units], num_threads=self.threads)
-        if self.dummy_prefix and MARK in units:
+        want = self.other.encode([(u[1:] if self._before else u).replace(MARK, " ") for u in units], num_threads=self.threads)
+        if self._before and MARK in units:
             want[units.index(MARK)] = [self.other.piece_to_id(MARK)]  # no text is this unit alone
-        self.differ.update(u for u, a, b in zip(units, got, want) if a != b)
+        self.differ.update(u for u, same in zip(units, self._agreed(units, got, want)) if not same)
         # decoded after another unit, since the decoder strips the first space of all
-        back = self.own.decode_batch([self._lead + b for b in want], skip_special_tokens=False)
+        back = self.own.decode_batch([self._lead + a for a in got], skip_special_tokens=False)
         self.lossy.update(u for u, t in zip(units, back) if t != "a" + u.replace(MARK, " "))
-        self.units.update((u, array("i", b).tobytes()) for u, b in zip(units, want))
+        self.units.update((u, array("i", a).tobytes()) for u, a in zip(units, got))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[str]]:
         """Ids of all texts, their numbers, whether both libraries agree, and the decoded texts."""
-        # without a character map and space folding, the normaliser is a prefix and a replacement
-        normal = [self._prefix + t.replace(" ", MARK) if t else "" for t in texts] if self.by_unit and self.simple else [self.normal.normalize_str(t) for t in texts]
+        normal = [self.normalise(t) for t in texts]
         if not self.by_unit:
             got = [e.ids for e in self.own.encode_batch_fast(normal, add_special_tokens=False)]
-            want = self.other.encode(texts, num_threads=self.threads)
-            ids = np.fromiter(chain.from_iterable(want), np.int32)
-            return ids, np.array([len(x) for x in want], np.int64), [a == b for a, b in zip(got, want)], self.decode(want)
+            same = self._agreed(normal, got, self.other.encode(texts, num_threads=self.threads))
+            return np.fromiter(chain.from_iterable(got), np.int32), np.array([len(x) for x in got], np.int64), same, self.decode(got)
         units = [_UNIT.findall(t) for t in normal]
         distinct = set().union(*units)
         fresh = distinct - self.units.keys()
@@ -218,7 +262,7 @@ class Codec:
         known = self.units.__getitem__
         packed = [b"".join(map(known, u)) for u in units]
         same = [self.differ.isdisjoint(u) for u in units]
-        skip = 1 if self.dummy_prefix else 0
+        skip = len(self._before)
         # where every unit decodes to itself the text is the units', else it is decoded whole
         back = [t.replace(MARK, " ")[skip:] if self.lossy.isdisjoint(u) else self.decode([np.frombuffer(p, np.int32).tolist()])[0] for t, u, p in zip(normal, units, packed)]
         return np.frombuffer(b"".join(packed), np.int32), np.array([len(p) // 4 for p in packed], np.int64), same, back
@@ -230,7 +274,8 @@ class Codec:
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Text of each list of ids."""
-        return self.own.decode_batch(ids, skip_special_tokens=False)
+        out = self.own.decode_batch(ids, skip_special_tokens=False)
+        return [t.removesuffix(" ") for t in out] if self._after else out
 
 
 _codecs: dict[bytes, Codec] = {}
