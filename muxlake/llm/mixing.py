@@ -96,18 +96,19 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, sha
     work = work or Workspace(docs.sparkSession, "mixing")
     domain = default_domain() if domain is None else domain
     blank = F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", blank)).alias("dh"), domain.alias("domain"), F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source"), token_count().alias("n_tokens")).where("n_tokens > 0")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", blank)).alias("dh"), domain.alias("domain"), F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source"), token_count().alias("n_tokens"), F.when(F.col("doc_id").isNull(), F.md5("text")).alias("digest")).where("n_tokens > 0")
     rows = work.put(rows, "tokens")
     leaves = work.put(budgets(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), weights, share, max_epochs), "leaves")
     salted = leaves.select(*LEVELS, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod("dh", F.lit(SALTS)).cast("int")
-    text_id = F.coalesce(F.col("doc_id").cast("string"), blank)
+    # rows without an id are dealt by their texts
+    text_id = F.coalesce(F.col("doc_id").cast("string"), "digest")
     drawn = rows.withColumn("salt", salt).join(salted, [*LEVELS, "salt"]).drop("salt")
     drawn = drawn.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), text_id))).withColumn("part", F.substring("key", 1, PARTS_HEX))
     drawn = work.put(drawn, "drawn")
     ahead = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = drawn.groupBy(*LEVELS, "part").agg(F.sum("n_tokens").alias("held")).select(*LEVELS, "part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*LEVELS, "part").orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*LEVELS, "part").orderBy("key", "n_tokens", "dh").rowsBetween(Window.unboundedPreceding, -1)
     placed = drawn.join(parts, [*LEVELS, "part"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     out = placed.select("doc_id", "dh", *LEVELS, "n_tokens", "epochs", F.expr("greatest(0, least(n_tokens, rest - start))").cast("long").alias("prefix_tokens"))
     return out.where("epochs > 0 or prefix_tokens > 0")
@@ -151,14 +152,15 @@ WITH rows AS (
   SELECT * FROM (
     SELECT doc_id, 'd' || coalesce(CAST(CAST(nullif(regexp_extract(coalesce(source, ''), '(\d{1,9})$', 1), '') AS BIGINT) % 4 AS VARCHAR), '0') AS domain,
       coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+      CASE WHEN doc_id IS NULL THEN md5(text) END AS digest
     FROM documents) WHERE n_tokens > 0),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM rows GROUP BY ALL),
 root AS (SELECT least(sum(2 * tokens), sum(tokens) * 4 // 5)::BIGINT AS budget FROM leaves),"""
     + ",".join(_sql_level(i) for i in range(3))
     + r""",
 drawn AS (
-  SELECT rows.*, share2 // tokens AS epochs, share2 % tokens AS rest, md5('17:' || (share2 // tokens)::BIGINT || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  SELECT rows.*, share2 // tokens AS epochs, share2 % tokens AS rest, md5('17:' || (share2 // tokens)::BIGINT || ':' || coalesce(CAST(doc_id AS VARCHAR), digest)) AS key
   FROM rows JOIN leaves USING (domain, lang, source) JOIN f2 USING (domain, lang, source) WHERE share2 > 0),
 placed AS (
   SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM drawn),
