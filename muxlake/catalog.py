@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 @query(PACKETS + "SELECT pid, count(*) AS packets, count(*) * 188 AS bytes, min(pos) AS first_pos, max(pos) AS last_pos FROM packets GROUP BY pid")
 def pid_histogram(spark, d):
-    return packets.pid_histogram(S.packets(spark, d))
+    return packets.pid_histogram(S.packets(spark, d)).drop("source")
 
 
 @query(PACKETS + "SELECT n, pid, pos, kind FROM packets WHERE n < 5000 AND pid IN (260, 261, 300)")
@@ -83,7 +83,7 @@ FROM g GROUP BY pid"""
 
 @query(CC)
 def cc_check(spark, d):
-    return packets.continuity(S.packets(spark, d), F.col("cents") % 4)
+    return packets.continuity(S.packets(spark, d), F.col("cents") % 4).drop("source")
 
 
 @query(
@@ -141,7 +141,7 @@ SELECT pid, count(*) AS packets, count(*) * 188 AS bytes, count(pts) AS timed, m
   {_span('pahead')}, {_span('dahead')} FROM w GROUP BY pid"""
 )
 def buffering_report(spark, d):
-    return packets.buffering(S.packets(spark, d))
+    return packets.buffering(S.packets(spark, d)).drop("source")
 
 
 @query(
@@ -151,7 +151,7 @@ y AS (SELECT pid, ((d - lag(d) OVER (PARTITION BY pid ORDER BY pos) + 1288490188
 SELECT pid, count(*) AS timed, count(*) FILTER (WHERE step <= 0) AS dts_not_later, count(*) FILTER (WHERE ahead < 0) AS pts_before_dts, min(step) AS min_step, max(step) AS max_step FROM y GROUP BY pid"""
 )
 def dts_monotonic(spark, d):
-    return packets.dts_order(S.packets(spark, d))
+    return packets.dts_order(S.packets(spark, d)).drop("source")
 
 
 @query(
@@ -386,7 +386,13 @@ def pacing_schedule(spark, d):
     return packets.schedule(S.packets(spark, d)).select("n", "item", "send_us")
 
 
-@query()
+@query(
+    INTERPOLATED
+    + f""", u AS (SELECT n, coalesce((acc_pcr - lag(acc_pcr) OVER (ORDER BY n) + {PCR_MOD}) % {PCR_MOD}, 0) AS f FROM timed),
+v AS (SELECT n, CASE WHEN f > {PCR_MOD // 2} THEN f - {PCR_MOD} ELSE f END AS step FROM u),
+w AS (SELECT n, sum(step) OVER (ORDER BY n) AS clock, sum(CASE WHEN step > 54000000 OR step < 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS epoch FROM v)
+SELECT n, CAST(epoch AS BIGINT) AS epoch, CAST((clock - first_value(clock) OVER (PARTITION BY epoch ORDER BY n)) // 27 AS BIGINT) AS send_us FROM w"""
+)
 def pacing_by_pcr(spark, d):
     return packets.schedule_by_pcr(S.packets(spark, d)).select("n", "epoch", "send_us")
 

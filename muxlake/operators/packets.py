@@ -5,7 +5,8 @@ A packet table has ``source``, ``n`` (packet number in the source) and ``pos`` (
 
 Windows over a whole source are split into chunks of packets: within a chunk by a window keyed
 ``(source, chunk)``, between chunks by a window over one summary row for each chunk. So a single large
-source is worked on by many tasks.
+source is worked on by many tasks. An operator makes one such pass: all that its rows need of earlier or
+later chunks is carried together.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ CHUNK = 1 << 20
 
 
 def pid_histogram(packets: DataFrame) -> DataFrame:
-    """Packets and bytes of each PID."""
-    return packets.groupBy("pid").agg(F.count("*").alias("packets"), (F.count("*") * 188).alias("bytes"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    """Packets and bytes of each source's PIDs."""
+    return packets.groupBy("source", "pid").agg(F.count("*").alias("packets"), (F.count("*") * 188).alias("bytes"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
 def filter_pids(packets: DataFrame, pids: Iterable[int], invert: bool = False, max_packets: int | None = None, compat: bool = False) -> DataFrame:
@@ -57,7 +58,7 @@ def hide_pid(packets: DataFrame, pid: int) -> DataFrame:
 
 
 def continuity(packets: DataFrame, content: Column | None = None, compat: bool = False) -> DataFrame:
-    """Per PID: packets, flagged discontinuities, good and bad duplicates, and counter errors.
+    """Per source and PID: packets, flagged discontinuities, good and bad duplicates, and counter errors.
 
     The counter goes up by one with a payload and stays without; nothing is compared at a flagged
     discontinuity. One repetition of a packet is allowed; a second is a duplicate error, and
@@ -75,7 +76,7 @@ def continuity(packets: DataFrame, content: Column | None = None, compat: bool =
     x = x.withColumn("nth", F.sum(F.col("same").cast("int")).over(in_chain))
     wrong = F.col("moved") & F.when(F.col("has_payload"), (F.col("last") + 1) % 16 != F.col("cc")).otherwise(True)
     equal = F.col("content").eqNullSafe(F.col("last_content"))
-    return x.groupBy("pid").agg(
+    return x.groupBy("source", "pid").agg(
         F.count("*").alias("packets"),
         F.count_if("disc").alias("flagged"),
         F.count_if(F.col("same") & (F.col("nth") > 1)).alias("dup_errors"),
@@ -94,22 +95,27 @@ def counter_lines(packets: DataFrame, pid: int) -> DataFrame:
     return lists.select("source", "line", F.array_join(F.transform("l", lambda s: s["cc"].cast("string")), " ").alias("text"))
 
 
-def carry(df: DataFrame, value: Column, name: str, forward: bool = True, include: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """Adds ``name``: the nearest non-null ``value`` at or before each row (after, if not ``forward``).
+def _in_chunks(df: DataFrame, chunk: int) -> DataFrame:
+    return df.withColumn("_chunk", F.floor(F.col("n") / chunk))
 
-    ``include`` lets a row see its own value.
-    """
-    order = F.col("n") if forward else F.col("n").desc()
-    own = df.withColumn("_chunk", F.floor(F.col("n") / chunk)).withColumn("_value", value)
-    w = Window.partitionBy("source", "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
-    sums = own.groupBy("source", "_chunk").agg(F.expr(f"{'max_by' if forward else 'min_by'}(_value, n) filter (where _value is not null)").alias("_last"))
-    between = Window.partitionBy("source").orderBy("_chunk" if forward else F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select("source", "_chunk", F.last("_last", True).over(between).alias("_carried"))
-    return own.withColumn("_near", F.last("_value", True).over(w)).join(carried, ["source", "_chunk"]).withColumn(name, F.coalesce("_near", "_carried")).drop("_chunk", "_value", "_near", "_carried")
 
+def _pcr_summary(packets: DataFrame, chunk: int) -> DataFrame:
+    """For each chunk with a PCR: its first and last PCR, the one before the last, and the PCRs around.
 
-def _pcr_point() -> Column:
-    return F.when(F.col("pcr").isNotNull(), F.struct("n", "pos", "pcr"))
+    Columns are ``first``, ``last`` (``n``, ``pos``, ``pcr``), ``second`` (the PCR before ``last``),
+    ``before``, ``before2`` (the last two of earlier chunks) and ``after`` (the first of later chunks).
+    """
+    point = F.struct("n", "pos", "pcr")
+    rows = _in_chunks(packets.where("pcr is not null").select("source", "n", "pos", "pcr"), chunk)
+    w = Window.partitionBy("source", "_chunk").orderBy("n")
+    rows = rows.select("source", "_chunk", point.alias("p"), F.lag(point).over(w).alias("q"), F.lead("n").over(w).alias("_next"), F.lag("n").over(w).alias("_last"))
+    # only a chunk's first and last row are left, so the aggregate is small
+    rows = rows.where("_next is null or _last is null")
+    own = rows.groupBy("source", "_chunk").agg(F.min_by("p", "p.n").alias("first"), F.max_by("p", "p.n").alias("last"), F.max_by("q", "p.n").alias("second"))
+    chunks = Window.partitionBy("source").orderBy("_chunk")
+    own = own.select("*", F.lag("last").over(chunks).alias("before"), F.lead("first").over(chunks).alias("after"), F.lead("_chunk").over(chunks).alias("_until"))
+    own = own.withColumn("second", F.coalesce("second", "before"))
+    return own.select("*", F.lag("second").over(chunks).alias("before2"))
 
 
 def interpolate_pcr(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -118,20 +124,39 @@ def interpolate_pcr(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Between two PCRs the step of one packet is their distance divided by the packets between,
     whole; after the last PCR the last step goes on. Packets before the first PCR are dropped.
     """
-    x = carry(packets, _pcr_point(), "prev", chunk=chunk)
-    x = carry(x, _pcr_point(), "next", forward=False, include=False, chunk=chunk)
-    step = F.expr(f"pmod(next.pcr - prev.pcr, {clock.PCR_MOD}) div (next.n - prev.n)")
-    x = x.where("prev is not null").withColumn("step", step)
-    x = carry(x, F.when(F.col("pcr").isNotNull(), F.col("step")), "last_step", chunk=chunk)
-    moved = F.col("prev.pcr") + F.coalesce("step", "last_step", F.lit(0)) * (F.col("n") - F.col("prev.n"))
-    return x.withColumn("acc_pcr", clock.pcr_unsigned_wrap(moved)).drop("prev", "next", "step", "last_step")
+    ends = packets.groupBy("source").agg(F.floor(F.max("n") / chunk).alias("_end"))
+    around = _pcr_summary(packets, chunk).join(ends, "source")
+    # chunks without a PCR of their own look back to the last chunk that has one
+    reach = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_until") - 1, "_end") - F.col("_chunk"))).alias("_on")
+    around = around.select("source", F.col("_chunk"), "last", "second", "before", "before2", "after", reach)
+    own = F.col("_on") == 0
+    around = around.select("source", (F.col("_chunk") + F.col("_on")).alias("_chunk"), F.when(own, F.col("before")).otherwise(F.col("last")).alias("_prev_in"), F.when(own, F.col("before2")).otherwise(F.col("second")).alias("_prev2_in"), F.col("after").alias("_next_in"))
+    point = F.when(F.col("pcr").isNotNull(), F.struct("n", "pcr"))
+    w = Window.partitionBy("source", "_chunk").orderBy("n")
+    so_far, later = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    x = _in_chunks(packets, chunk).join(around, ["source", "_chunk"])
+    x = x.withColumn("_q", F.when(F.col("pcr").isNotNull(), F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    pair = F.last(F.when(F.col("pcr").isNotNull(), F.struct(point.alias("p"), F.col("_q").alias("q"))), True).over(so_far)
+    x = x.select("*", pair.alias("_pair"), F.first(point, True).over(later).alias("_next"))
+    short = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["n"].alias("n"), F.col(c)["pcr"].alias("pcr")))
+    inside = F.col("_pair").isNotNull()
+    x = x.withColumn("_prev", F.when(inside, F.col("_pair.p")).otherwise(short("_prev_in")))
+    x = x.withColumn("_prev2", F.when(inside, F.coalesce("_pair.q", short("_prev_in"))).otherwise(short("_prev2_in")))
+    x = x.withColumn("_next", F.coalesce("_next", short("_next_in"))).where("_prev is not null")
+    step = F.expr(f"pmod(_next.pcr - _prev.pcr, {clock.PCR_MOD}) div (_next.n - _prev.n)")
+    last_step = F.expr(f"pmod(_prev.pcr - _prev2.pcr, {clock.PCR_MOD}) div (_prev.n - _prev2.n)")
+    moved = F.col("_prev.pcr") + F.coalesce(step, last_step, F.lit(0)) * (F.col("n") - F.col("_prev.n"))
+    return x.withColumn("acc_pcr", clock.pcr_unsigned_wrap(moved)).select(*packets.columns, "acc_pcr")
 
 
 def pcr_steps(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """PCR rows with the one and the two before: gaps, rates and linear prediction errors."""
-    rows = packets.where("pcr is not null").select("source", "n", "pos", "pcr")
-    x = carry(rows, F.struct("pos", "pcr"), "p1", include=False, chunk=chunk)
-    x = carry(x, F.col("p1"), "p2", include=False, chunk=chunk)
+    rows = _in_chunks(packets.where("pcr is not null").select("source", "n", "pos", "pcr"), chunk)
+    w = Window.partitionBy("source", "_chunk").orderBy("n")
+    point = F.struct("n", "pos", "pcr")
+    x = rows.select("*", F.lag(point).over(w).alias("l1"), F.lag(point, 2).over(w).alias("l2"))
+    x = x.join(_pcr_summary(packets, chunk).select("source", "_chunk", "before", "before2"), ["source", "_chunk"])
+    x = x.withColumn("p1", F.coalesce("l1", "before")).withColumn("p2", F.coalesce(F.col("l2"), F.when(F.col("l1").isNull(), F.col("before2")).otherwise(F.col("before"))))
     x = x.withColumn("gap", F.when(F.col("p1").isNotNull(), clock.pcr_unsigned_diff(F.col("pcr"), F.col("p1.pcr"))))
     before = clock.pcr_unsigned_diff(F.col("p1.pcr"), F.col("p2.pcr"))
     rate = ((F.col("p1.pos") - F.col("p2.pos")).cast("double") * 27.0 / before.cast("double")) * 1000000.0
@@ -153,14 +178,32 @@ def pcr_report(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
-def unwrap(df: DataFrame, clock_column: str, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Adds ``name``: a 27 MHz clock counted on from its first value, without turns."""
-    x = carry(df, F.col(clock_column), "_before", include=False, chunk=chunk)
-    x = x.withColumn("_step", F.coalesce(clock.pcr_signed_diff(F.col(clock_column), F.col("_before")), F.lit(0))).withColumn("_chunk", F.floor(F.col("n") / chunk))
-    own = Window.partitionBy("source", "_chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    between = Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = x.groupBy("source", "_chunk").agg(F.sum("_step").alias("_all")).select("source", "_chunk", F.coalesce(F.sum("_all").over(between), F.lit(0)).alias("_base"))
-    return x.join(base, ["source", "_chunk"]).withColumn(name, F.col("_base") + F.sum("_step").over(own)).drop("_before", "_step", "_chunk", "_base")
+def unwrap(df: DataFrame, clock_column: str, name: str, chunk: int = CHUNK, max_step: int | None = None) -> DataFrame:
+    """Adds ``name``: a 27 MHz clock counted on from its first value, without turns.
+
+    With ``max_step`` a greater step, or one backwards, starts an epoch: ``epoch`` counts them and ``epoch_start`` is
+    the counted clock at the epoch's first row.
+    """
+    own = Window.partitionBy("source", "_chunk").orderBy("n")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    jumps = lambda c: F.lit(False) if max_step is None else (c > max_step) | (c < 0)
+    x = _in_chunks(df, chunk)
+    x = x.withColumn("_step", F.coalesce(clock.pcr_signed_diff(F.col(clock_column), F.lag(clock_column).over(own)), F.lit(0)))
+    x = x.select("*", F.sum("_step").over(so_far).alias("_sum"), F.sum(jumps(F.col("_step")).cast("int")).over(so_far).alias("_epochs"))
+    x = x.withColumn("_at", F.last(F.when(jumps(F.col("_step")), F.col("_sum")), True).over(so_far))
+    ends = x.groupBy("source", "_chunk").agg(F.min_by(clock_column, "n").alias("_first"), F.max_by(clock_column, "n").alias("_last"), F.sum("_step").alias("_all"), F.max("_epochs").alias("_jumps"), F.max_by("_at", "n").alias("_jumped"))
+    chunks = Window.partitionBy("source").orderBy("_chunk")
+    upto, ahead = chunks.rowsBetween(Window.unboundedPreceding, 0), chunks.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_border", F.coalesce(clock.pcr_signed_diff(F.col("_first"), F.lag("_last").over(chunks)), F.lit(0)))
+    zero = F.lit(0)
+    ends = ends.select("*", (F.sum("_border").over(upto) + F.coalesce(F.sum("_all").over(ahead), zero)).alias("_base"), (F.sum(jumps(F.col("_border")).cast("int")).over(upto) + F.coalesce(F.sum("_jumps").over(ahead), zero)).alias("_epoch"))
+    at_border = F.when(jumps(F.col("_border")), F.col("_base"))
+    ends = ends.withColumn("_start", F.coalesce(at_border, F.last(F.coalesce(F.col("_base") + F.col("_jumped"), at_border), True).over(ahead), zero))
+    x = x.join(ends.select("source", "_chunk", "_base", "_epoch", "_start"), ["source", "_chunk"])
+    added = [(F.col("_base") + F.col("_sum")).alias(name)]
+    if max_step is not None:
+        added += [(F.col("_epoch") + F.col("_epochs")).alias("epoch"), F.coalesce(F.col("_base") + F.col("_at"), F.col("_start")).alias("epoch_start")]
+    return x.select(*df.columns, *added)
 
 
 def max_rate(packets: DataFrame, time: str, window: int = clock.PCR_HZ // 2) -> DataFrame:
@@ -175,30 +218,30 @@ def max_rate(packets: DataFrame, time: str, window: int = clock.PCR_HZ // 2) ->
 
 
 def dts_order(pes: DataFrame) -> DataFrame:
-    """Per PID: timed packets, DTS before or equal to the last, PTS before DTS, DTS steps.
+    """Per source and PID: timed packets, DTS before or equal to the last, PTS before DTS, DTS steps.
 
     A missing DTS is the PTS.
     """
     w = Window.partitionBy("source", "pid").orderBy("pos")
     x = pes.where("pts is not null").withColumn("dts", F.coalesce("dts", "pts"))
     step = clock.pts_signed_diff(F.col("dts"), F.lag("dts").over(w))
-    x = x.select("pid", step.alias("step"), clock.pts_signed_diff(F.col("pts"), F.col("dts")).alias("ahead"))
-    return x.groupBy("pid").agg(F.count("*").alias("timed"), F.count_if(F.col("step") <= 0).alias("dts_not_later"), F.count_if(F.col("ahead") < 0).alias("pts_before_dts"), F.min("step").alias("min_step"), F.max("step").alias("max_step"))
+    x = x.select("source", "pid", step.alias("step"), clock.pts_signed_diff(F.col("pts"), F.col("dts")).alias("ahead"))
+    return x.groupBy("source", "pid").agg(F.count("*").alias("timed"), F.count_if(F.col("step") <= 0).alias("dts_not_later"), F.count_if(F.col("ahead") < 0).alias("pts_before_dts"), F.min("step").alias("min_step"), F.max("step").alias("max_step"))
 
 
 def buffering(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Per PID: how far PTS and DTS lie ahead of the interpolated PCR, with places, and bytes.
+    """Per source and PID: how far PTS and DTS lie ahead of the interpolated PCR, with places, and bytes.
 
     Least and greatest difference come with their first position; means are floored ticks.
     """
-    x = interpolate_pcr(packets, chunk).withColumn("t90", F.expr("acc_pcr div 300"))
+    x = interpolate_pcr(packets.select("source", "n", "pos", "pid", "pcr", "pts", "dts"), chunk).withColumn("t90", F.expr("acc_pcr div 300"))
     dts = F.coalesce("dts", "pts")
-    x = x.select("pid", "pos", "pts", dts.alias("dts"), clock.pts_signed_diff(F.col("pts"), F.col("t90")).alias("pts_ahead"), clock.pts_signed_diff(dts, F.col("t90")).alias("dts_ahead"))
+    x = x.select("source", "pid", "pos", "pts", dts.alias("dts"), clock.pts_signed_diff(F.col("pts"), F.col("t90")).alias("pts_ahead"), clock.pts_signed_diff(dts, F.col("t90")).alias("dts_ahead"))
     out = [F.count("*").alias("packets"), (F.count("*") * 188).alias("bytes"), F.count("pts").alias("timed"), F.expr("min_by(pts, pos) filter (where pts is not null)").alias("first_pts"), F.expr("max_by(pts, pos) filter (where pts is not null)").alias("last_pts")]
     for k in ("pts", "dts"):
         d = F.col(f"{k}_ahead")
         out += [F.min(d).alias(f"{k}_min"), F.max(d).alias(f"{k}_max"), F.min(F.when(d.isNotNull(), F.struct(d, "pos")))["pos"].alias(f"{k}_min_pos"), (-F.max(F.when(d.isNotNull(), F.struct(d.alias("d"), (-F.col("pos")).alias("p"))))["p"]).alias(f"{k}_max_pos"), F.expr(f"sum({k}_ahead) div count({k}_ahead)").alias(f"{k}_mean")]
-    return x.groupBy("pid").agg(*out)
+    return x.groupBy("source", "pid").agg(*out)
 
 
 def islands(df: DataFrame, keys: list[str], order: str, starts: Column, name: str = "island") -> DataFrame:
@@ -259,9 +302,6 @@ def schedule(packets: DataFrame, bytes_per_second: int = 250_000, per_item: int
 
 
 def schedule_by_pcr(packets: DataFrame, max_gap: int = 2 * clock.PCR_HZ, percent: int = 100, chunk: int = CHUNK) -> DataFrame:
-    """Send times by interpolation between PCRs; a gap over ``max_gap`` starts a new epoch at 0."""
-    x = unwrap(interpolate_pcr(packets, chunk), "acc_pcr", "clock", chunk)
-    before = F.lag("clock").over(Window.partitionBy("source").orderBy("n"))
-    x = islands(x.withColumn("_jump", F.col("clock") - before > max_gap), ["source"], "n", F.col("_jump"), "epoch")
-    start = F.min("clock").over(Window.partitionBy("source", "epoch"))
-    return x.select("source", "n", "pos", "epoch", F.expr("0L").alias("zero"), (F.col("clock") - start).alias("t")).select("source", "n", "pos", "epoch", F.expr(f"t * {percent} div 100 div 27").alias("send_us"))
+    """Send times by interpolation between PCRs; a gap over ``max_gap``, or a step back, starts a new epoch at 0."""
+    x = unwrap(interpolate_pcr(packets.select("source", "n", "pos", "pcr"), chunk), "acc_pcr", "clock", chunk, max_gap)
+    return x.select("source", "n", "pos", "epoch", F.expr(f"(clock - epoch_start) * {percent} div 100 div 27").alias("send_us"))

@@ -300,3 +300,21 @@ def test_interpolation_does_not_depend_on_chunks(spark):
     assert ways[0] == ways[1] == ways[2]
     report = [tuple(packets.pcr_report(df, c).first()) for c in (1 << 20, 11)]
     assert report[0] == report[1]
+
+
+def test_send_times_do_not_depend_on_chunks(spark):
+    rng, at, rows = random.Random(6), 2**33 * 300 - 40_000_000, []
+    for i in range(300):
+        at += rng.choice([300_000, 300_000, 300_000, 90_000_000, -500_000])
+        rows.append(("f", i, 188 * i, at % (2**33 * 300) if i % 3 == 0 else None))
+    df = spark.createDataFrame(rows, "source string, n long, pos long, pcr long")
+    ways = [[tuple(r) for r in packets.schedule_by_pcr(df.repartition(p), chunk=c).select("n", "epoch", "send_us").orderBy("n").collect()] for p, c in ((1, 1 << 20), (5, 7), (3, 64))]
+    assert ways[0] == ways[1] == ways[2] and len({e for _, e, _ in ways[0]}) > 5
+    assert all(us >= 0 for _, _, us in ways[0])
+
+
+def test_sources_are_kept_apart(spark):
+    rows = [(s, i, 188 * i, 7, (i + k) % 16, True, False, "x") for k, s in enumerate("ab") for i in range(20)]
+    df = spark.createDataFrame(rows, "source string, n long, pos long, pid long, cc long, has_payload boolean, disc boolean, raw string")
+    assert {(r.source, r.packets, r.cc_errors) for r in packets.continuity(df).collect()} == {("a", 20, 0), ("b", 20, 0)}
+    assert packets.pid_histogram(df).count() == 2
