@@ -1,7 +1,7 @@
 """Line dedup (operator 5): levelled sorted runs of line hashes.
 
 The store keeps the 128-bit hashes of all lines seen, with the first document that holds each,
-as sorted runs on levels. A new batch of documents is merge-joined against the runs: hashes
+as sorted runs on levels. A new batch of documents is merge-anti-joined with every run: the hashes
 that no run has form a new run on level 0; when a level has ``fanout`` runs they are merged into
 one sorted run of the next level. Batches come in ascending doc_id, so the document recorded for
 a hash is the least that holds it.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Workspace, attach, keyed, map_columns, read_table
+from ._common import Workspace, attach, keyed, map_columns, read_table, unused
 
 _STRIP = " \t\n\x0b\x0c\r"
 _NO_ID = -(1 << 63)
@@ -60,46 +60,45 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 class LineRuns:
-    """Sorted runs of line hashes on levels; runs are tables ``(h1, h2, first)``."""
+    """Sorted runs of line hashes on levels; runs are tables ``(h1, h2, first)``.
+
+    All runs are cut by one hash into equally many buckets, each a sorted file, so a bucket of a
+    batch meets the same bucket of every run in one task, and neither merging a batch with the
+    runs nor merging runs moves the runs' rows.
+    """
 
     def __init__(self, work: Workspace, fanout: int = 2):
         self.work, self.fanout, self.made = work, fanout, 0
+        self.parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = [[]]
 
-    def _write(self, rows: DataFrame, level: int) -> None:
+    def _write(self, rows: DataFrame, level: int) -> DataFrame:
         name = f"run-{level}-{self.made}"
         self.made += 1
-        parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = rows.repartitionByRange(parts, "h1", "h2").sortWithinPartitions("h1", "h2")
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((name, self.work.put(ordered, name)))
+        run = self.work.put_sorted(rows, name, self.parts, "h1", "h2")
+        self.levels[level].append((name, run))
+        return run
 
-    def seen(self) -> DataFrame | None:
-        """All hashes of all runs; each is in one run."""
-        out = None
+    def unseen(self, pairs: DataFrame) -> DataFrame:
+        """``(h1, h2, first)`` of the hashes that no run has; ``first`` is the least ``doc``."""
+        out = pairs.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
         for _, run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
+            old = run.select(F.col("h1").alias("o1"), F.col("h2").alias("o2")).hint("merge")
+            out = out.join(old, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left_anti")
         return out
 
     def add(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Takes a batch of ``line_hashes``; returns ``(h1, h2, first)`` of its lines to drop.
-
-        ``first`` is the only document that keeps the line. Only hashes of two or more documents
-        are returned.
-        """
-        own = pairs.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-        runs = self.seen()
-        if runs is None:
-            merged = own.withColumn("first", F.lit(None).cast("long"))
-        else:
-            old = runs.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "first")
-            merged = own.join(old, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left").drop("o1", "o2")
-        merged = self.work.put(merged, f"merged-{name}")
-        self._write(merged.where("first is null").select("h1", "h2", F.col("least").alias("first")), 0)
+        """Takes a batch of ``line_hashes``; returns those of its rows that an earlier document holds."""
+        with self.work.sorted_scans():
+            fresh = self._write(self.unseen(pairs), 0)
+        # a row stays if its document is the first of a new hash; the document in the key parts hot lines
+        kept = fresh.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "first")
+        same = (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")) & (F.col("doc") == F.col("first"))
+        lost = self.work.put(pairs.join(kept, same, "left_anti").select("doc_id", "dh", "h1", "h2"), f"lost-{name}")
         self.compact()
-        kept = F.coalesce("first", "least")
-        return merged.where(F.col("first").isNotNull() | (F.col("most") > F.col("least"))).select("h1", "h2", kept.alias("first"))
+        return lost
 
     def compact(self) -> None:
         """Merges a full level's runs into one run of the next level."""
@@ -109,8 +108,12 @@ class LineRuns:
                 runs, self.levels[level] = self.levels[level], []
                 both = runs[0][1]
                 for _, run in runs[1:]:
-                    both = both.unionByName(run)
-                self._write(both, level + 1)
+                    # no hash is in two runs: the full join is the sorted files' merge
+                    old = run.select(*[F.col(c).alias(f"o_{c}") for c in ("h1", "h2", "first")]).hint("merge")
+                    both = both.join(old, (F.col("h1") == F.col("o_h1")) & (F.col("h2") == F.col("o_h2")), "full")
+                    both = both.select(*[F.coalesce(c, f"o_{c}").alias(c) for c in ("h1", "h2", "first")])
+                with self.work.sorted_scans():
+                    self._write(both, level + 1)
                 for name, _ in runs:
                     self.work.drop(name)
             level += 1
@@ -128,9 +131,7 @@ def repeated_lines(docs: DataFrame, work: Workspace, batches: int = 4, min_chars
     pairs = work.put(pairs.withColumn("batch", at.cast("int")), "pairs", "batch")
     runs, out = LineRuns(work), None
     for i in range(len(cuts) + 1):
-        batch = pairs.where(F.col("batch") == i)
-        shared = runs.add(batch, str(i)).select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "first")
-        lost = batch.join(shared, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2"))).where(F.col("doc") > F.col("first")).select("doc_id", "dh", "h1", "h2")
+        lost = runs.add(pairs.where(F.col("batch") == i), str(i))
         out = lost if out is None else out.unionByName(lost)
     return out.groupBy("doc_id", "dh").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
@@ -165,14 +166,15 @@ def rewrite(docs: DataFrame, batches: int = 4, min_chars: int = 10) -> DataFrame
 
     Rows left with no character that is not white space go, unless they had none before.
     """
-    left = dedup(docs, batches, min_chars).where("n_dropped > 0").select("doc_id", "dh", F.col("kept").alias("l_kept")).dropDuplicates(["doc_id", "dh"])
-    left = left.withColumnsRenamed({"doc_id": "l_id", "dh": "l_dh"})
-    rows = docs.withColumn("l_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(left, rows["doc_id"].eqNullSafe(F.col("l_id")) & (F.col("l_own") == F.col("l_dh")), "left")
-    rows = rows.where(F.col("l_kept").isNull() | F.col("l_kept").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": F.coalesce("l_kept", "text")}
+    names = [unused(docs, x) for x in ("l_id", "l_dh", "l_own", "l_kept")]
+    found, key, own, kept = names
+    left = dedup(docs, batches, min_chars).where("n_dropped > 0").select(F.col("doc_id").alias(found), F.col("dh").alias(key), F.col("kept").alias(kept)).dropDuplicates([found, key])
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(left, rows["doc_id"].eqNullSafe(F.col(found)) & (F.col(own) == F.col(key)), "left")
+    rows = rows.where(F.col(kept).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("l_kept").isNull(), F.col("n_chars")).otherwise(F.length("l_kept").cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 

@@ -47,3 +47,21 @@ def test_stages_on_an_empty_table(spark, tmp_path):
         stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.schema(stage(spark, docs, FOLDER).schema).parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, a long text and columns with clashing names."""
+    long = "\n".join(f"line {i} of a long text with words {i * 7}" for i in range(4000))
+    rows = [(1, "some words here\nthat are clean", "en", "s1"), (1, "some words here\nthat are clean", "en", "s1"), (None, "no id but words", None, None), (None, None, "en", "s2"), (2, None, None, "s2"), (3, "", "de", None), (4, long, "en", "s1"), (5, long, "en", "s3")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 7, "x", 1.0, "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, mix_id int, l_kept string, own_id double, dh string")
+    columns = docs.columns
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        ids = sorted(r.doc_id or -1 for r in docs.collect())
+        if name != pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+        if name == "line_dedup":  # the copy has no line left; empty texts stay
+            assert ids == [-1, -1, 1, 1, 2, 3, 4]
+        if name == "near_dedup":  # the two empty texts are equal
+            assert ids == [-1, -1, 1, 2, 4]

@@ -93,7 +93,20 @@ def test_runs_are_compacted(spark, docs):
     for b in range(5):
         runs.add(lines.line_hashes(docs({b: f"a line of batch {b}\na line of all batches"})), str(b))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert runs.seen().count() == 6
+    rows = [tuple(r) for level in runs.levels for _, run in level for r in run.collect()]
+    assert sorted(first for _, _, first in rows) == [0, 0, 1, 2, 3, 4] and len(set(rows)) == 6
+
+
+def test_runs_are_neither_moved_nor_sorted(spark, docs, capsys):
+    work = Workspace(spark, "runs")
+    runs = lines.LineRuns(work, fanout=3)
+    for b in range(2):
+        runs.add(lines.line_hashes(docs({b: f"a line of batch {b}\na line of all batches"})), str(b))
+    with work.sorted_scans():
+        runs.unseen(lines.line_hashes(docs({2: "a line of all batches"}))).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("LeftAnti") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert plan.index("HashAggregate") > plan.index("LeftAnti")
 
 
 def test_rewrite_keeps_columns(spark, docs):
@@ -101,6 +114,8 @@ def test_rewrite_keeps_columns(spark, docs):
     got = {r.doc_id: (r.text, r.n_chars, r.dh) for r in lines.rewrite(table).collect()}
     assert got == {1: ("keep this line\nand this line", 28, "x"), 2: ("other line here", 15, "x"), 4: (None, 0, "x")}
     assert lines.rewrite(table).columns == table.columns
+    wide = table.selectExpr("*", "'p' AS l_id", "1 AS L_KEPT", "2 AS l_own")
+    assert {(r.doc_id, r.text, r.l_id, r.L_KEPT) for r in lines.rewrite(wide).collect()} == {(1, "keep this line\nand this line", "p", 1), (2, "other line here", "p", 1), (4, None, "p", 1)}
 
 
 def test_lines_of_odd_tables(spark, docs, folder):
