@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muxlake.llm import lines, mixing, neardups, sentences, toxicity
-from muxlake.llm._common import Workspace, read_table
+from muxlake.llm._common import Workspace, read_table, unused
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     in is kept whole.
     """
     drawn = mixing.mix(docs, share=(9, 10), max_epochs=1).select("doc_id", "dh").distinct()
-    rows = docs.withColumn("mix_dh", F.xxhash64(F.coalesce("text", F.lit(""))))
-    drawn = drawn.select(F.col("doc_id").alias("mix_id"), F.col("dh").alias("mix_key"))
-    return rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_dh") == F.col("mix_key")), "left_semi").drop("mix_dh")
+    found, key = unused(docs, "mix_id"), unused(docs, "mix_key")
+    drawn = drawn.select(F.col("doc_id").alias(found), F.col("dh").alias(key))
+    same = docs["doc_id"].eqNullSafe(F.col(found)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(key))
+    return docs.join(drawn, same, "left_semi")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
