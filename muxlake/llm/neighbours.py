@@ -10,8 +10,10 @@ shards by partial aggregation. Scores are recomputed from the original vectors i
 
 Every row is indexed and every shard is searched; recall is measured in the tests. Rows of one
 direction are one node of a shard's graph, and a node found stands for the smallest ids of each of
-its vectors, so copies take no room in the beam. A shard with no more nodes than ``exact_rows`` is
-scanned instead.
+its vectors, so copies take no room in the beam. Searches start at the shard's medoid and at one
+node of each part of the graph that it does not reach, so every node can be found, and a shard of no
+more nodes than the beam holds is searched exactly. A shard's index stays in one task; the blocks
+of queries stream past it.
 
 Defined cases: vectors that are null, zero, of another length than the most common, or hold null or
 non-finite components take no part; a null id takes no part; rows that repeat an id are one
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace, read_table
 
-
 #: Shards whose results for a query are merged before all are.
 SHARDS_MERGED = 256
 
@@ -68,7 +69,7 @@ def _nodes(vectors: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray,
     return order, np.append(first, len(order))
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and squared distances of a beam search for each query, nearest first (-1: none).
 
     All queries advance together: in each step each expands its nearest node not yet expanded.
@@ -77,10 +78,12 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarra
     ids = np.full((n, beam), -1, np.int64)
     dist = np.full((n, beam), np.inf, np.float32)
     done = np.zeros((n, beam), bool)
-    ids[:, 0] = start
-    dist[:, 0] = 2 - 2 * (queries @ x[start])
+    d = 2 - 2 * (queries @ x[starts].T)
+    nearest = np.argsort(d, 1, kind="stable")[:, :beam]
+    ids[:, : nearest.shape[1]] = starts[nearest]
+    dist[:, : nearest.shape[1]] = np.take_along_axis(d, nearest, 1)
     seen = np.zeros((n, len(x)), bool)
-    seen[:, start] = True
+    seen[:, starts] = True
     active = rows
     while len(active):
         pending = np.where(done[active] | (ids[active] < 0), np.inf, dist[active])
@@ -130,11 +133,26 @@ def robust_prune(x: np.ndarray, node: np.ndarray, candidates: np.ndarray, degree
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = 32, beam: int = 48, alpha: float = 1.2, batch: int = 256, seed: int = 1) -> tuple[np.ndarray, int]:
-    """Neighbour lists of unit vectors ``x`` and the node where searches start."""
+def entries(graph: np.ndarray, start: int) -> np.ndarray:
+    """``start`` and a node of each part of the graph that the nodes before do not reach."""
+    seen = np.zeros(len(graph), bool)
+    starts, fresh = [], np.array([start])
+    while len(fresh):
+        starts.append(int(fresh[0]))
+        while len(fresh):
+            seen[fresh] = True
+            near = graph[fresh].ravel()
+            near = np.unique(near[near >= 0])
+            fresh = near[~seen[near]]
+        fresh = np.flatnonzero(~seen)[:1]
+    return np.array(starts)
+
+
+def build_graph(x: np.ndarray, degree: int = 32, beam: int = 48, alpha: float = 1.2, batch: int = 256, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbour lists of unit vectors ``x`` and the nodes where searches start."""
     n = len(x)
     rng = np.random.default_rng(seed)
-    start = int((x @ x.mean(0)).argmax())
+    start = np.array([int((x @ x.mean(0)).argmax())])
     graph = rng.integers(0, n, (n, min(degree, 8)))
     graph = np.concatenate((graph, np.full((n, degree - graph.shape[1]), -1)), 1)
     graph[graph == np.arange(n)[:, None]] = -1
@@ -153,16 +171,13 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 48, alpha: float =
             add = np.full((len(into), int(count.max(initial=1))), -1, np.int64)
             add[np.repeat(np.arange(len(into)), count), np.arange(len(target)) - np.repeat(first, count)] = source
             graph[into] = robust_prune(x, into, np.concatenate((graph[into], add), 1), degree, relax)
-    return graph, start
+    return graph, entries(graph, int(start[0]))
 
 
-def _nearest(vectors: np.ndarray, ids: np.ndarray, first: np.ndarray, graph: np.ndarray | None, start: int, queries: np.ndarray, query_ids: np.ndarray, k: int, beam: int):
+def _nearest(vectors: np.ndarray, ids: np.ndarray, first: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, beam: int):
     """Up to k candidates of each query in one shard: query id, candidate id, score."""
     x, q = _unit(vectors[first[:-1]]), _unit(queries)
-    if graph is None:
-        found = np.argsort(-(q @ x.T), 1, kind="stable")[:, : max(beam, 4 * k)]
-    else:
-        found, _ = beam_search(x, graph, start, q, beam)
+    found, _ = beam_search(x, graph, starts, q, beam)
     r, c = np.nonzero(found >= 0)
     node = found[r, c]
     size = first[node + 1] - first[node]
@@ -176,7 +191,7 @@ def _nearest(vectors: np.ndarray, ids: np.ndarray, first: np.ndarray, graph: np.
     return out.groupby("query_id").head(k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 1024, beam: int = 64, degree: int = 32, exact_rows: int = 64, work: Workspace | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, block_rows: int = 1024, beam: int = 64, degree: int = 32, work: Workspace | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of each row of ``queries``.
 
     Both tables have ``(vec_id, embedding)``.
@@ -196,30 +211,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         own, ids = np.stack(pdf["embedding"].to_numpy()), pdf["vec_id"].to_numpy()
         order, first = _nodes(own, ids, k + 1)  # one more: a query's own id takes no part
         own, ids = own[order], ids[order]
-        graph, start = (None, 0) if len(first) - 1 <= exact_rows else build_graph(_unit(own[first[:-1]]), degree)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [ids.tobytes()], "vectors": [own.tobytes()], "first": [first.astype(np.int64).tobytes()], "graph": [b"" if graph is None else graph.astype(np.int32).tobytes()], "start": [start]})
+        graph, starts = build_graph(_unit(own[first[:-1]]), degree)
+        parts = [[x.tobytes()] for x in (ids, own, first.astype(np.int64), graph.astype(np.int32), starts.astype(np.int64))]
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], **dict(zip(names, parts))})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy().tobytes()], "vectors": [np.stack(pdf["embedding"].to_numpy()).tobytes()]})
 
+    names = ["ids", "vectors", "first", "graph", "starts"]
+    tasks = min(shards, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the row's hash spreads rows that repeat an id, too
     shard = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")
-    built = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(index, "shard int, ids binary, vectors binary, first binary, graph binary, start int")
+    built = rows.withColumn("shard", shard).repartition(tasks, "shard").groupBy("shard").applyInPandas(index, "shard int, " + ", ".join(f"{x} binary" for x in names))
     built = work.put(built, "index")
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("asked"))
+    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, vectors binary")
     packed = work.put(packed, "asked")
-    # a stated query set against all rows, block by shard
-    tasks = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(F.col("shard"), F.col("block")).join(packed.withColumnRenamed("block", "b"), F.col("block") == F.col("b"))
+    # a stated query set against all rows: every block comes to every shard's index, which comes first
+    none = F.lit(None).cast("binary")
+    blocks_of = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "ids", "vectors", *[none.alias(x) for x in names[2:]])
+    met = built.select("shard", F.lit(-1).alias("block"), *names).unionByName(blocks_of).repartition(tasks, "shard").sortWithinPartitions("shard", "block")
 
     def run(batches):
         for pdf in batches:
-            for shard, ids, vecs, first, graph, start, asked in zip(pdf["shard"], pdf["ids"], pdf["vectors"], pdf["first"], pdf["graph"], pdf["start"], pdf["asked"]):
-                x = np.frombuffer(vecs, np.float64).reshape(-1, size)
-                first = np.frombuffer(first, np.int64)
-                g = np.frombuffer(graph, np.int32).reshape(len(first) - 1, -1) if len(graph) else None
-                qid = np.array([a["vec_id"] for a in asked], np.int64)
-                q = np.stack([np.asarray(a["embedding"], np.float64) for a in asked])
-                for at in range(0, len(q), 128):  # a node may stand for many rows
-                    yield _nearest(x, np.frombuffer(ids, np.int64), first, g, start, q[at : at + 128], qid[at : at + 128], k, beam).assign(part=shard // SHARDS_MERGED)
-
-    found = tasks.select("shard", "ids", "vectors", "first", "graph", "start", "asked").mapInPandas(run, "query_id long, vec_id long, score double, part int")
+            for shard, block, ids, vectors, *rest in pdf.itertuples(index=False):
+                ids, vectors = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, size)
+                if block < 0:
+                    first, graph, starts = (np.frombuffer(x, t) for x, t in zip(rest, (np.int64, np.int32, np.int64)))
+                    own = vectors, ids, first, graph.reshape(len(first) - 1, -1), starts
+                    continue
+                for at in range(0, len(ids), 128):  # a node may stand for many rows
+                    yield _nearest(*own, vectors[at : at + 128], ids[at : at + 128], k, beam).assign(part=shard // SHARDS_MERGED)
+
+    found = met.mapInPandas(run, "query_id long, vec_id long, score double, part int")
     order = F.struct((-F.col("score")).alias("far"), F.col("vec_id"), F.col("score"))
 
     def nearest(rows: DataFrame, *by: str) -> DataFrame:

@@ -31,6 +31,36 @@ def test_recall_and_scores_over_shards(spark):
     assert np.mean([len({r.vec_id for r in got[q]} & set(exact[q])) / 5 for q in exact]) >= 0.95
 
 
+def test_recall_on_the_given_vectors_over_shards(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect()}
+    ids = np.array(sorted(rows))
+    asked = ids[ids % 50 == 0]
+    exact = neighbours.brute_force(np.stack([rows[i] for i in ids]), ids, asked)
+    got = {}
+    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), shard_rows=150, block_rows=8).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == set(asked.tolist())
+    assert np.mean([len(got[q] & set(exact[q])) / 5 for q in exact]) >= 0.95
+
+
+def test_small_shards_are_searched_whole(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(180, 6)).astype(np.float32)
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    exact = neighbours.brute_force(x.astype(np.float64), np.arange(180), np.arange(180))
+    got = {}
+    for r in neighbours.search(df, df, shard_rows=45).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == exact
+
+
+def test_every_node_can_be_reached():
+    graph = np.array([[1, -1], [0, -1], [3, -1], [-1, -1], [2, 3]])
+    starts = neighbours.entries(graph, 0)
+    assert starts.tolist() == [0, 2, 4]
+
+
 def test_recall_where_a_third_are_copies(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 24)).astype(np.float32)
