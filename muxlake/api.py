@@ -90,10 +90,7 @@ class ElementaryFile:
     """An elementary stream: start-code units of a plain file."""
 
     def __init__(self, spark: SparkSession, path: str):
-        from pyspark.sql import functions as F
-
-        chunks = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.lit(0).cast("long").alias("infile"), F.col("content").alias("data"))
-        self.units = elementary.es_units(chunks)
+        self.units = elementary.es_units(records.read_chunks(spark, path))
 
     def __iter__(self) -> Iterator[Row]:
         return self.units.orderBy("start").toLocalIterator()

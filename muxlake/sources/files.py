@@ -1,7 +1,8 @@
 """Variable-length formats: program streams, captures, audio frames and RTP dumps.
 
-Whole files come through Spark's binary reader (any store) and are walked record by record in
-Python, one file a task: records are found only by following the one before.
+Files of any size and store come in pieces (``records.read_chunks``). A record is found only by
+following the one before, so each file's pieces stream in order through one task, which holds a
+few pieces at a time.
 """
 
 from __future__ import annotations
@@ -14,26 +15,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import records
 
-def walk(spark: SparkSession, path: str, reader: Callable[[bytes], Iterator[dict]], ddl: str) -> DataFrame:
-    """Rows that ``reader`` finds in each file under ``path``, with the file as ``source``."""
+
+class Resumed:
+    """Feeds a reader of whole files piece by piece: its rows have ``pos`` and ``len``.
+
+    A row is settled once ``margin`` bytes (more than any record has) follow it; the reader then
+    starts again behind it. Rows with ``rest`` run to the file's end; one with ``last`` ends the stream.
+    """
+
+    def __init__(self, reader: Callable[[bytes], Iterator[dict]], margin: int = 1 << 17):
+        self.reader, self.margin = reader, margin
+        self.buffer, self.base, self.over, self.rest = b"", 0, False, None
+
+    def feed(self, data: bytes, final: bool) -> Iterator[dict]:
+        """Rows settled by more ``data``; with ``final`` all that are left."""
+        if self.rest is not None:
+            self.rest["len"] += len(data)
+        elif not self.over:
+            self.buffer += data
+            if not final and len(self.buffer) < 4 * self.margin:
+                return
+            at = 0
+            for row in self.reader(self.buffer):
+                rest, last = row.pop("rest", False), row.pop("last", False)
+                end = row["pos"] + row["len"]
+                if not final and not rest and end + self.margin > len(self.buffer):
+                    break
+                if rest and not final and row["pos"] + self.margin > len(self.buffer):
+                    break
+                row["pos"] += self.base
+                at = end
+                if rest:
+                    self.rest = row
+                    break
+                yield row
+                if last:
+                    self.over = True
+                    break
+            self.buffer, self.base = self.buffer[at:], self.base + at
+        if final and self.rest is not None:
+            yield self.rest
+
+
+def walk_chunks(chunks: DataFrame, begin: Callable[[], object], ddl: str) -> DataFrame:
+    """Rows that a reader made by ``begin`` finds in each source of ``(source, infile, data)``.
+
+    The reader's ``feed(data, final)`` takes the pieces in order.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shape = T.StructType.fromDDL(f"source string, {ddl}")
     schema = to_arrow_schema(shape)
 
     def run(batches):
+        current, reader, rows = None, None, []
+
+        def take(found, source):
+            for row in found:
+                rows.append({"source": source, **row})
+                if len(rows) == 1024:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows.clear()
+
         for batch in batches:
-            for source, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                for row in reader(content.as_py()):
-                    rows.append({"source": source, **row})
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for source, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if source != current:
+                    if reader is not None:
+                        yield from take(reader.feed(b"", True), current)
+                    current, reader = source, begin()
+                yield from take(reader.feed(data.as_py() or b"", False), current)
+        if reader is not None:
+            yield from take(reader.feed(b"", True), current)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, shape)
+    return chunks.select("source", "infile", "data").repartition("source").sortWithinPartitions("source", "infile").mapInArrow(run, shape)
 
 
 # --- program streams -----------------------------------------------------------------------------
@@ -72,7 +130,7 @@ def program_stream(d: bytes) -> Iterator[dict]:
             continue
         kind = d[at + 3]
         if kind == 0xB9:
-            yield row | {"pos": at, "stream_id": kind, "len": 4, "data": d[at : at + 4]}
+            yield row | {"pos": at, "stream_id": kind, "len": 4, "data": d[at : at + 4], "last": True}
             return
         if kind == 0xBA:
             if at + 14 > len(d):
@@ -87,9 +145,14 @@ def program_stream(d: bytes) -> Iterator[dict]:
         at += 6 + size
 
 
+def program_packets(chunks: DataFrame) -> DataFrame:
+    """Packets and pack headers of program streams in pieces."""
+    return walk_chunks(chunks, lambda: Resumed(program_stream), PS)
+
+
 def read_program_stream(spark: SparkSession, path: str) -> DataFrame:
     """Packets and pack headers of program streams."""
-    return walk(spark, path, program_stream, PS)
+    return program_packets(records.read_chunks(spark, path))
 
 
 def classify_private(d: bytes, dvd: bool) -> tuple[str, int | None]:
@@ -151,51 +214,76 @@ def stream_sizes(classified: DataFrame) -> DataFrame:
 NET = "pkt_no long, sec long, usec long, t90 long, vlans array<struct<vid: int, cfi: int, pcp: int>>, src_ip long, dst_ip long, src_port int, dst_port int, ident int, fragment int, more boolean, proto int, payload binary, rtp struct<pt: int, seq: int, ts: long, ssrc: long, marker: boolean>, err string"
 
 
-def capture_records(d: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Seconds, microseconds and bytes of each packet of a pcap or pcapng file, either byte order.
+class CaptureReader:
+    """Packets of a pcap or pcapng file, either byte order, fed in pieces.
 
     pcapng times use the interface's resolution where it is stated, microseconds otherwise.
     """
-    magic = d[:4]
-    if magic == b"\x0a\x0d\x0d\x0a":
-        order, at, units = "<", 0, []
-        while at + 12 <= len(d):
-            kind = d[at : at + 4]
-            if kind == b"\x0a\x0d\x0d\x0a":
-                order = "<" if d[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
-                units = []
-            kind, size = struct.unpack(order + "II", d[at : at + 8])
-            if size < 12 or at + size > len(d):
-                return
-            body = d[at + 8 : at + size - 4]
-            if kind == 1:
-                unit, o = 10**6, 8
-                while o + 4 <= len(body):
-                    code, n = struct.unpack(order + "HH", body[o : o + 4])
-                    if code == 0:
-                        break
-                    if code == 9 and n >= 1:
-                        unit = 2 ** (body[o + 4] & 127) if body[o + 4] & 128 else 10 ** body[o + 4]
-                    o += 4 + (n + 3 & ~3)
-                units.append(unit)
-            elif kind == 6:
-                port, high, low, n, _ = struct.unpack(order + "IIIII", body[:20])
-                unit = units[port] if port < len(units) else 10**6
-                t = high << 32 | low
-                yield t // unit, t % unit * 10**6 // unit, body[20 : 20 + n]
-            elif kind == 3:
-                yield 0, 0, body[4:]
-            at += size
-        return
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\x4d\x3c\xb2\xa1": "<", b"\xa1\xb2\x3c\x4d": ">"}.get(magic)
-    if order is None:
-        raise ValueError("neither pcap nor pcapng")
-    per = 1000 if magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1
-    at = 24
-    while at + 16 <= len(d):
-        sec, frac, n, _ = struct.unpack(order + "IIII", d[at : at + 16])
-        yield sec, frac // per, d[at + 16 : at + 16 + n]
-        at += 16 + n
+
+    def __init__(self, raw_type: int | None = None):
+        self.raw_type, self.no = raw_type, 0
+        self.buffer, self.order, self.units, self.per = b"", None, None, 1
+
+    def feed(self, data: bytes, final: bool) -> Iterator[dict]:
+        """Rows of the packets completed by more ``data``."""
+        self.buffer += data
+        for sec, usec, frame in self.records(final):
+            yield network_packet(self.no, sec, usec, frame, self.raw_type)
+            self.no += 1
+
+    def records(self, final: bool) -> Iterator[tuple[int, int, bytes]]:
+        """Seconds, microseconds and bytes of each whole packet in the buffer."""
+        d, at = self.buffer, 0
+        if self.order is None and len(d) >= 24:
+            if d[:4] == b"\x0a\x0d\x0d\x0a":
+                self.order, self.units = "<", []
+            else:
+                self.order = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\x4d\x3c\xb2\xa1": "<", b"\xa1\xb2\x3c\x4d": ">"}.get(d[:4])
+                if self.order is None:
+                    raise ValueError("neither pcap nor pcapng")
+                self.per = 1000 if d[:4] in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1
+                at = 24
+        if self.order is not None and self.units is None:
+            while at + 16 <= len(d):
+                sec, frac, n, _ = struct.unpack_from(self.order + "IIII", d, at)
+                if at + 16 + n > len(d) and not final:
+                    break
+                yield sec, frac // self.per, d[at + 16 : at + 16 + n]
+                at += 16 + n
+        elif self.order is not None:
+            while at + 12 <= len(d):
+                if d[at : at + 4] == b"\x0a\x0d\x0d\x0a":
+                    self.order = "<" if d[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
+                    self.units = []
+                kind, size = struct.unpack_from(self.order + "II", d, at)
+                if size < 12 or at + size > len(d):
+                    break
+                found = self._block(kind, d[at + 8 : at + size - 4])
+                if found:
+                    yield found
+                at += size
+        self.buffer = d[at:]
+
+    def _block(self, kind: int, body: bytes) -> tuple[int, int, bytes] | None:
+        """The packet of a pcapng block, if it has one; an interface's time unit is noted."""
+        if kind == 1:
+            unit, o = 10**6, 8
+            while o + 4 <= len(body):
+                code, n = struct.unpack_from(self.order + "HH", body, o)
+                if code == 0:
+                    break
+                if code == 9 and n >= 1:
+                    unit = 2 ** (body[o + 4] & 127) if body[o + 4] & 128 else 10 ** body[o + 4]
+                o += 4 + (n + 3 & ~3)
+            self.units.append(unit)
+        elif kind == 6:
+            port, high, low, n, _ = struct.unpack(self.order + "IIIII", body[:20])
+            unit = self.units[port] if port < len(self.units) else 10**6
+            t = high << 32 | low
+            return t // unit, t % unit * 10**6 // unit, body[20 : 20 + n]
+        elif kind == 3:
+            return 0, 0, body[4:]
+        return None
 
 
 def rtp_header(d: bytes, raw_type: int | None = None) -> tuple[dict | None, bytes]:
@@ -210,28 +298,25 @@ def rtp_header(d: bytes, raw_type: int | None = None) -> tuple[dict | None, byte
     return {"pt": d[1] & 127, "seq": seq, "ts": ts, "ssrc": ssrc, "marker": bool(d[1] & 128)}, d[at:end]
 
 
-def network_packets(d: bytes, raw_type: int | None = None) -> Iterator[dict]:
-    """Ethernet, stacked VLANs, IPv4, UDP and RTP of each captured packet."""
-    empty = dict.fromkeys(("src_ip", "dst_ip", "src_port", "dst_port", "ident", "fragment", "more", "proto", "payload", "rtp", "err"))
-    for no, (sec, usec, frame) in enumerate(capture_records(d)):
-        row = empty | {"pkt_no": no, "sec": sec, "usec": usec, "t90": sec * 90000 + usec * 9 // 100, "vlans": []}
-        at = 12
-        while frame[at : at + 2] in (b"\x81\x00", b"\x88\xa8", b"\x91\x00"):
-            tag = int.from_bytes(frame[at + 2 : at + 4], "big")
-            row["vlans"].append({"vid": tag & 0xFFF, "cfi": tag >> 12 & 1, "pcp": tag >> 13})
-            at += 4
-        ip = frame[at + 2 :]
-        if frame[at : at + 2] != b"\x08\x00" or len(ip) < 20 or ip[0] >> 4 != 4:
-            yield row | {"err": "not IPv4"}
-            continue
-        head, total = (ip[0] & 15) * 4, int.from_bytes(ip[2:4], "big")
-        flags = int.from_bytes(ip[6:8], "big")
-        row |= {"ident": int.from_bytes(ip[4:6], "big"), "fragment": (flags & 0x1FFF) * 8, "more": bool(flags & 0x2000), "proto": ip[9], "src_ip": int.from_bytes(ip[12:16], "big"), "dst_ip": int.from_bytes(ip[16:20], "big")}
-        body = ip[head:total]
-        if row["fragment"] or row["more"] or ip[9] != 17:
-            yield row | {"payload": body}
-            continue
-        yield row | _datagram(body, raw_type)
+def network_packet(no: int, sec: int, usec: int, frame: bytes, raw_type: int | None = None) -> dict:
+    """Ethernet, stacked VLANs, IPv4, UDP and RTP of a captured packet."""
+    row = dict.fromkeys(("src_ip", "dst_ip", "src_port", "dst_port", "ident", "fragment", "more", "proto", "payload", "rtp", "err"))
+    row |= {"pkt_no": no, "sec": sec, "usec": usec, "t90": sec * 90000 + usec * 9 // 100, "vlans": []}
+    at = 12
+    while frame[at : at + 2] in (b"\x81\x00", b"\x88\xa8", b"\x91\x00"):
+        tag = int.from_bytes(frame[at + 2 : at + 4], "big")
+        row["vlans"].append({"vid": tag & 0xFFF, "cfi": tag >> 12 & 1, "pcp": tag >> 13})
+        at += 4
+    ip = frame[at + 2 :]
+    if frame[at : at + 2] != b"\x08\x00" or len(ip) < 20 or ip[0] >> 4 != 4:
+        return row | {"err": "not IPv4"}
+    head, total = (ip[0] & 15) * 4, int.from_bytes(ip[2:4], "big")
+    flags = int.from_bytes(ip[6:8], "big")
+    row |= {"ident": int.from_bytes(ip[4:6], "big"), "fragment": (flags & 0x1FFF) * 8, "more": bool(flags & 0x2000), "proto": ip[9], "src_ip": int.from_bytes(ip[12:16], "big"), "dst_ip": int.from_bytes(ip[16:20], "big")}
+    body = ip[head:total]
+    if row["fragment"] or row["more"] or ip[9] != 17:
+        return row | {"payload": body}
+    return row | _datagram(body, raw_type)
 
 
 def _datagram(body: bytes, raw_type: int | None) -> dict:
@@ -243,7 +328,12 @@ def _datagram(body: bytes, raw_type: int | None) -> dict:
 
 def read_capture(spark: SparkSession, path: str, raw_type: int | None = None) -> DataFrame:
     """Network packets of pcap and pcapng files."""
-    return walk(spark, path, lambda d: network_packets(d, raw_type), NET)
+    return capture_packets(records.read_chunks(spark, path), raw_type)
+
+
+def capture_packets(chunks: DataFrame, raw_type: int | None = None) -> DataFrame:
+    """Network packets of pcap and pcapng files in pieces."""
+    return walk_chunks(chunks, lambda: CaptureReader(raw_type), NET)
 
 
 def reassemble_fragments(packets: DataFrame) -> DataFrame:
@@ -289,7 +379,7 @@ def adts_frames(d: bytes) -> Iterator[dict]:
     at = 0
     while at + 7 <= len(d):
         if d[at] != 0xFF or d[at + 1] & 0xF6 != 0xF0:
-            yield {"pos": at, "len": len(d) - at, "data": None, "err": "no sync"}
+            yield {"pos": at, "len": len(d) - at, "data": None, "err": "no sync", "rest": True}
             return
         size = int.from_bytes(d[at + 3 : at + 6], "big") >> 5 & 0x1FFF
         if size < 7 or at + size > len(d):
@@ -340,7 +430,7 @@ def ac3_frames(d: bytes) -> Iterator[dict]:
     while at + 7 <= len(d):
         size = ac3_length(d[at + 4] & 63, d[at + 4] >> 6) if d[at : at + 2] == b"\x0b\x77" else None
         if size is None or at + size > len(d):
-            yield {"pos": at, "len": len(d) - at, "data": None, "err": "no sync" if size is None else "short"}
+            yield {"pos": at, "len": len(d) - at, "data": None, "err": "no sync" if size is None else "short", "rest": size is None}
             return
         yield {"pos": at, "len": size, "data": d[at : at + size], "err": None}
         at += size
@@ -351,54 +441,74 @@ AUDIO = {"adts": adts_frames, "l2": layer2_frames, "ac3": ac3_frames}
 
 def read_audio(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Audio frames of files of one kind: adts, l2 or ac3."""
-    return walk(spark, path, AUDIO[kind], "pos long, len int, data binary, err string")
+    return audio_frames(records.read_chunks(spark, path), kind)
 
 
-# --- RTP dumps of H.264 --------------------------------------------------------------------------
+def audio_frames(chunks: DataFrame, kind: str) -> DataFrame:
+    """Audio frames of files in pieces."""
+    return walk_chunks(chunks, lambda: Resumed(AUDIO[kind]), "pos long, len long, data binary, err string")
 
 
-def rtp_dump(d: bytes) -> Iterator[dict]:
-    """Packets of an RTP dump: ``RTP `` and a length before each."""
-    at = 0
-    while at + 8 <= len(d) and d[at : at + 4] == b"RTP ":
-        size = int.from_bytes(d[at + 4 : at + 8], "big")
-        yield {"pos": at, "data": d[at + 8 : at + 8 + size]}
-        at += 8 + size
+# --- RTP dumps of H.264 --------------------------------------------------------------------------
 
 
-def h264_of_rtp(d: bytes, parameter_sets: str = "") -> Iterator[dict]:
-    """NAL units out of an RTP dump: single units and fragments (type 28), re-escaped.
+class RtpDumpReader:
+    """NAL units out of an RTP dump (``RTP `` and a length before each packet), fed in pieces.
 
-    ``parameter_sets`` is comma-separated base64, written first; other packet types are told.
+    Single units and fragments (type 28) are re-escaped; other packet types are told.
+    ``parameter_sets`` is comma-separated base64, written first.
     """
-    import base64
 
-    from muxlake.functions.bits import escape
-
-    for text in filter(None, parameter_sets.split(",")):
-        yield {"pos": -1, "data": b"\x00\x00\x00\x01" + base64.b64decode(text), "err": None}
-    parts, start = b"", 0
-    for row in rtp_dump(d):
-        rtp, body = rtp_header(row["data"], row["data"][1] & 127 if len(row["data"]) > 1 else None)
+    def __init__(self, parameter_sets: str = ""):
+        import base64
+
+        self.first = [b"\x00\x00\x00\x01" + base64.b64decode(t) for t in filter(None, parameter_sets.split(","))]
+        self.buffer, self.base, self.parts, self.start = b"", 0, b"", 0
+
+    def feed(self, data: bytes, final: bool) -> Iterator[dict]:
+        """Rows of the packets completed by more ``data``."""
+        for own in self.first:
+            yield {"pos": -1, "data": own, "err": None}
+        self.first = []
+        self.buffer += data
+        d, at = self.buffer, 0
+        while at + 8 <= len(d) and d[at : at + 4] == b"RTP ":
+            size = int.from_bytes(d[at + 4 : at + 8], "big")
+            if at + 8 + size > len(d) and not final:
+                break
+            row = self._unit(self.base + at, d[at + 8 : at + 8 + size])
+            if row:
+                yield row
+            at += 8 + size
+        self.buffer, self.base = d[at:], self.base + at
+
+    def _unit(self, pos: int, packet: bytes) -> dict | None:
+        from muxlake.functions.bits import escape
+
+        rtp, body = rtp_header(packet, packet[1] & 127 if len(packet) > 1 else None)
         if rtp is None or not body:
-            yield {"pos": row["pos"], "data": None, "err": "not RTP"}
-            continue
+            return {"pos": pos, "data": None, "err": "not RTP"}
         kind = body[0] & 31
         if 1 <= kind <= 23:
-            yield {"pos": row["pos"], "data": b"\x00\x00\x00\x01" + body[:1] + escape(body[1:]), "err": None}
-        elif kind == 28 and len(body) > 1:
-            if body[1] & 0x80:
-                parts, start = bytes([body[0] & 0xE0 | body[1] & 31]), row["pos"]
-            parts += body[2:]
-            if body[1] & 0x40:
-                yield {"pos": start, "data": b"\x00\x00\x00\x01" + parts[:1] + escape(parts[1:]), "err": None}
-        else:
-            yield {"pos": row["pos"], "data": None, "err": f"packet type {kind}"}
+            return {"pos": pos, "data": b"\x00\x00\x00\x01" + body[:1] + escape(body[1:]), "err": None}
+        if kind != 28 or len(body) < 2:
+            return {"pos": pos, "data": None, "err": f"packet type {kind}"}
+        if body[1] & 0x80:
+            self.parts, self.start = bytes([body[0] & 0xE0 | body[1] & 31]), pos
+        self.parts += body[2:]
+        if body[1] & 0x40:
+            return {"pos": self.start, "data": b"\x00\x00\x00\x01" + self.parts[:1] + escape(self.parts[1:]), "err": None}
+        return None
+
+
+def rtp_units(chunks: DataFrame, parameter_sets: str = "") -> DataFrame:
+    """H.264 units of RTP dumps in pieces."""
+    return walk_chunks(chunks, lambda: RtpDumpReader(parameter_sets), "pos long, data binary, err string")
 
 
 def read_rtp_dump(spark: SparkSession, path: str, parameter_sets: str = "") -> DataFrame:
     """H.264 units of RTP dumps."""
-    return walk(spark, path, lambda d: h264_of_rtp(d, parameter_sets), "pos long, data binary, err string")
+    return rtp_units(records.read_chunks(spark, path), parameter_sets)
 
 
 def stream_kind(d: bytes) -> str:
@@ -411,5 +521,12 @@ def stream_kind(d: bytes) -> str:
 
 
 def detect(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, kind)`` of each file."""
-    return walk(spark, path, lambda d: iter([{"kind": stream_kind(d)}]), "kind string")
+    """``(source, kind)`` of each file, by its first piece."""
+
+    def run(batches):
+        for batch in batches:
+            kinds = [stream_kind(d or b"") for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], ["source", "kind"])
+
+    head = records.read_chunks(spark, path).where("infile = 0").select("source", F.expr(f"substring(data, 1, {188 * 500})").alias("data"))
+    return head.mapInArrow(run, "source string, kind string")

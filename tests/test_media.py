@@ -167,9 +167,16 @@ def test_transport_round_trip(spark, tmp_path):
     assert [r.pcr for r in x.where("pcr is not null").orderBy("pos").collect()] == [0, 27_000_000, 54_000_000]
     cc = packets.continuity(x.withColumn("source", F.lit("f"))).collect()
     assert all(r.cc_errors == 0 and r.dup_errors == 0 for r in cc)
-    records.write_bytes(raw, ["pos"], "raw", str(tmp_path / "out"))
+    records.write_pieces(raw, ["pos"], "raw", str(tmp_path / "out"))
     with open(path, "rb") as f:
-        assert records.read_bytes(spark, str(tmp_path / "out")) == f.read()
+        want = f.read()
+    assert b"".join(bytes(r.value) for r in records.read_pieces(spark, str(tmp_path / "out")).collect()) == want
+    assert records.write_stream(raw, ["pos"], "raw", str(tmp_path / "out.ts")) == len(want)
+    assert (tmp_path / "out.ts").read_bytes() == want
+    kept, waits = [], []
+    slow = raw.where("n < 3").withColumn("us", F.col("n") * 10**9)
+    assert records.write_stream(slow, ["pos"], "raw", kept.append, "us", waits.append) == 3 * 188
+    assert b"".join(kept) == want[: 3 * 188] and [round(w / 1000) for w in waits] == [1, 2]
 
 
 def test_bad_section_crc_and_incomplete_pes(spark):
@@ -318,3 +325,49 @@ def test_sources_are_kept_apart(spark):
     df = spark.createDataFrame(rows, "source string, n long, pos long, pid long, cc long, has_payload boolean, disc boolean, raw string")
     assert {(r.source, r.packets, r.cc_errors) for r in packets.continuity(df).collect()} == {("a", 20, 0), ("b", 20, 0)}
     assert packets.pid_histogram(df).count() == 2
+
+
+def test_files_in_pieces(spark, tmp_path):
+    rng = random.Random(8)
+    bodies = {"a.bin": rng.randbytes(30_007), "b.bin": rng.randbytes(4_000) + b"\n", "c.bin": rng.randbytes(10), "d.bin": b"\xef\xbb\xbf" + rng.randbytes(3000), "e.bin": b"\xef\xbb\xbf\n\n" + rng.randbytes(900) + b"\n", "f.bin": b"\n" * 700, "g.bin": b""}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")  # several splits to a file
+    try:
+        rows = records.read_chunks(spark, str(tmp_path), piece=1000, whole=500).collect()
+        for name, body in bodies.items():
+            own = sorted((r.infile, bytes(r.data)) for r in rows if r.source.endswith(name))
+            assert b"".join(d for _, d in own) == body
+            assert [at for at, _ in own] == [sum(len(d) for _, d in own[:i]) for i in range(len(own))]
+        chunks = records.read_chunks(spark, str(tmp_path / "a.bin"), piece=1000, whole=0)
+        got = records.cut_records(chunks, 188).orderBy("n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = bodies["a.bin"]
+    assert [(r.n, r.pos, bytes(r.raw)) for r in got] == [(i, 188 * i, whole[188 * i : 188 * i + 188]) for i in range(30_007 // 188)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 5000])
+def test_readers_do_not_depend_on_pieces(size):
+    rng = random.Random(size)
+    ps = b""
+    for i in range(60):
+        body = rng.randbytes(rng.randint(1, 40)).replace(b"\0\0\1", b"xyz")
+        ps += b"\0\0\1" + bytes([rng.choice([0xE0, 0xC0])]) + len(body).to_bytes(2, "big") + body
+    audio = b"".join(bytes([0xFF, 0xF1, 0x50, 0x80, n >> 3 & 255, (n & 7) << 5 | 31, 0xFC]) + bytes(n - 7) for n in (rng.randint(7, 50) for _ in range(50))) + b"rest" * 200
+
+    def fed(reader, data):
+        out = []
+        for at in range(0, len(data), size):
+            out += [dict(r) for r in reader.feed(data[at : at + size], False)]
+        return out + [dict(r) for r in reader.feed(b"", True)]
+
+    for reader, data in ((files.program_stream, ps + b"\0\0\1\xb9behind"), (files.program_stream, ps + b"junk" + ps), (files.adts_frames, audio)):
+        want = list(files.Resumed(reader).feed(data, True))
+        assert fed(files.Resumed(reader, margin=128), data) == want and len(want) > 40
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    cap = head + b"".join(struct.pack("<IIII", i, i, 60, 60) + ether(udp(rng.randbytes(18)))[:60] for i in range(30))
+    assert fed(files.CaptureReader(), cap) == list(files.CaptureReader().feed(cap, True))
+    dump = b"".join(b"RTP " + (14).to_bytes(4, "big") + struct.pack(">BBHII", 0x80, 96, i, 2, 3) + b"\x65" + bytes([i]) for i in range(40))
+    assert fed(files.RtpDumpReader(), dump) == list(files.RtpDumpReader().feed(dump, True))
