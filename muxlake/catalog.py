@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from muxlake.functions import bits, clock, codes
 from muxlake.functions.clock import PCR_MOD
-from muxlake.operators import captures, convert, elementary, frames, packets, tables, transport, trickplay
+from muxlake.operators import captures, convert, elementary, frames, packets, reports, tables, transport, trickplay
 from muxlake.plans import synthetic as S
-from muxlake.sources import files
+from muxlake.sources import files, records
 from muxlake.plans.synthetic import CAPTURE, FRAMES, PACKETS, TABLES
 
 QUERIES: dict = {}
@@ -184,6 +184,33 @@ def timestamp_formats(spark, d):
     return x.select("n", *[clock.format_time(p, k).alias(name) for k, name in (("hms", "hms"), ("ms", "ms"), ("90", "t90"), ("27", "t27"))])
 
 
+@query(PACKETS + ", x AS (SELECT n, lag(n) OVER (ORDER BY n) AS after FROM packets WHERE pcr IS NOT NULL) SELECT after, n, n - coalesce(after, -1) AS packets FROM x WHERE n - coalesce(after, -1) > 8")
+def far_pcrs(spark, d):
+    return packets.far_pcrs(S.packets(spark, d), 8).drop("source")
+
+
+@query(PACKETS + ", tt AS (SELECT max(n) + 1 AS total FROM packets), kk AS (SELECT unnest(range(3)) AS k) SELECT n + k * total AS n, pos + k * total * 188 AS pos, pid, CAST(k AS INTEGER) AS loop FROM packets, tt, kk")
+def packet_loop(spark, d):
+    return packets.repeat(S.packets(spark, d), 3).select("n", "pos", "pid", "loop")
+
+
+@query()
+def pacing_by_credit(spark, d):
+    return packets.schedule_by_credit(S.packets(spark, d)).select("item", "send_us")
+
+
+# a clock that drifts by 7919 a row is set anew at each 26th
+@query(PACKETS + "SELECT n, (n - (SELECT min(n) FROM packets)) % 26 * 7919 AS late, (n - (SELECT min(n) FROM packets)) % 26 = 0 AND n > (SELECT min(n) FROM packets) AS reset FROM packets")
+def late_times(spark, d):
+    x = S.packets(spark, d).select("source", "n", (F.col("n") * 10).alias("send_us"), (F.col("n") * 7929).alias("now_us"))
+    return packets.waits(x).select("n", F.col("late_us").alias("late"), "reset")
+
+
+@query(PACKETS + "SELECT n // 1000 AS stretch, count(*) AS rows, CAST(sum(count(*)) OVER (ORDER BY n // 1000) AS BIGINT) AS total FROM packets GROUP BY n // 1000")
+def progress_counts(spark, d):
+    return reports.progress(S.packets(spark, d), 1000).select((F.expr("upto div 1000") - 1).alias("stretch"), "rows", "total")
+
+
 # --- program tables ------------------------------------------------------------------------------
 
 
@@ -207,6 +234,23 @@ def unknown_pids(spark, d):
     return tables.unknown_pids(S.packets(spark, d), S.streams(spark, d)).drop("source")
 
 
+@query(TABLES + ", p AS (SELECT program_number, pmt_pid FROM programs WHERE program_number <> 0 ORDER BY pos, program_number LIMIT 1 OFFSET 1) SELECT program_number, min_by(elementary_pid + 1, pos) AS pcr_pid FROM p JOIN streams USING (pmt_pid) GROUP BY program_number")
+def pcr_pid_of_program(spark, d):
+    streams = S.streams(spark, d).withColumn("pcr_pid", F.col("elementary_pid") + 1)
+    return tables.pcr_pid(S.programs(spark, d), streams, index=2).drop("source")
+
+
+@query(TABLES + "SELECT pos, CASE WHEN program_number = 0 THEN printf('Network information on PID %04X', pmt_pid) ELSE printf('Program %d: map on PID %04X', program_number, pmt_pid) END AS text FROM programs")
+def program_lines(spark, d):
+    return reports.program_lines(S.programs(spark, d)).drop("source")
+
+
+@query(TABLES + "SELECT pos, 0 AS line, printf('Program %d, version 3, PCR on PID %04X, streams: 1', program_number, elementary_pid) AS text FROM streams JOIN programs USING (pmt_pid, pos) UNION ALL SELECT pos, 0, printf('Program %d, version 3, PCR on PID %04X, streams: 1', pmt_pid - 32, elementary_pid) FROM streams WHERE pos NOT IN (SELECT pos FROM programs p WHERE p.pmt_pid = streams.pmt_pid)")
+def table_heads(spark, d):
+    streams = S.streams(spark, d).withColumns({"pcr_pid": F.col("elementary_pid"), "version": F.lit(3), "es_info": F.unhex(F.lit(""))})
+    return reports.table_lines(streams).where("line = 0").select("pos", "line", "text")
+
+
 @query(TABLES + "SELECT min_by(elementary_pid, pos) FILTER (WHERE stream_type IN (1, 2, 27, 36, 66, 16)) AS video_pid, min_by(elementary_pid, pos) FILTER (WHERE stream_type IN (3, 4, 15, 17, 6, 129)) AS audio_pid FROM streams")
 def choose_av_pids(spark, d):
     return tables.choose_pids(S.streams(spark, d)).drop("source")
@@ -304,11 +348,28 @@ def up_to_reference(spark, d):
     return frames.up_to_reference(S.frames(spark, d)).select("source", "idx")
 
 
-@query()
+# in DuckDB a recursion over the place of the last picture taken
+EVERY = FRAMES.replace("WITH l AS", "WITH RECURSIVE l AS", 1) + """, f AS MATERIALIZED (SELECT source, idx FROM frames WHERE ref),
+taken AS (SELECT source, min(idx) AS idx FROM f GROUP BY source UNION ALL SELECT f.source, min(f.idx) FROM taken JOIN f ON f.source = taken.source AND f.idx - taken.idx >= 3 GROUP BY f.source)
+SELECT source, idx, coalesce(CAST((lead(idx) OVER (PARTITION BY source ORDER BY idx) - idx) // 3 AS BIGINT), 1) AS repeats FROM taken"""
+
+
+@query(EVERY)
 def keep_every_n(spark, d):
     return frames.keep_every(S.frames(spark, d).where("ref"), 3)
 
 
+@query(EVERY.replace("WHERE ref", "WHERE ref AND idx < 3000000000000"))
+def filter_first_items(spark, d):
+    x = S.frames(spark, d).where("idx < 3000000000000").dropDuplicates(["source", "idx"])
+    return frames.act(x, "filter", 3)
+
+
+@query(FRAMES + ", x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY idx) AS rn FROM (SELECT DISTINCT source, idx, idr OR (ref AND slice_class = 'I') AS kept FROM frames)) SELECT source, idx, 1::BIGINT AS repeats FROM x WHERE rn <= 2 AND kept")
+def strip_first_items(spark, d):
+    return frames.act(S.frames(spark, d).dropDuplicates(["source", "idx"]), "strip", limit=2)
+
+
 @query(PACKETS + ", x AS (SELECT us AS time, 0 AS kind, size FROM packets WHERE kind = 'view' UNION ALL SELECT us, 1, size FROM packets WHERE kind = 'click') SELECT time, kind, size, row_number() OVER (ORDER BY time, kind, size) AS out_no FROM x")
 def av_merge_by_pts(spark, d):
     x = S.packets(spark, d).select("source", F.col("us").alias("time"), "size", F.col("kind").alias("k"))
@@ -404,12 +465,12 @@ def start_code_units(spark, d):
     return u.groupBy(F.col("source").cast("long").alias("page_id")).agg(F.count("*").alias("units"), F.sum(F.octet_length("data").cast("long")).alias("bytes"))
 
 
-@query("SELECT p_partkey, hex(encode(p_name)) AS data FROM part")
+@query("SELECT p_partkey, hex(encode(p_name)) || '0000' || printf('%02X', p_size % 6) || '01' AS data FROM part")
 def emulation_round_trip(spark, d):
-    x = S.table(spark, d, "part").select("p_partkey", F.col("p_name").cast("binary").alias("data"))
-    zeros = F.unhex(F.lit("000003"))
-    x = x.withColumn("data", bits.remove_emulation_prevention(F.concat("data", zeros)))
-    return x.select("p_partkey", F.hex(F.expr("substring(data, 1, length(data) - 2)")).alias("data"))
+    # a byte of 3 or less after two zeros is escaped
+    escape = F.when(F.col("p_size") % 6 <= 3, F.unhex(F.lit("03"))).otherwise(F.unhex(F.lit("")))
+    data = F.concat(F.col("p_name").cast("binary"), F.unhex(F.lit("0000")), escape, bits.be(F.col("p_size") % 6, 1), F.unhex(F.lit("01")))
+    return S.table(spark, d, "part").select("p_partkey", F.hex(bits.remove_emulation_prevention(data)).alias("data"))
 
 
 @query(PACKETS + "SELECT n, pts FROM packets WHERE pts IS NOT NULL")
@@ -425,14 +486,22 @@ def packet_round_trip(spark, d):
     return x.select("n", F.col("pid").cast("long").alias("pid"), F.col("cc").cast("long").alias("cc"), "disc", "pcr")
 
 
-@query()
+@query("SELECT p_partkey, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(bin(p_name), ''), lambda b: CAST(b AS UBIGINT))), lambda c, b: xor((c * 2) & 4294967295::UBIGINT, CASE WHEN (c >> 31) <> b THEN 79764919::UBIGINT ELSE 0::UBIGINT END))::BIGINT AS crc FROM part")
 def crc32_mpeg(spark, d):
     return S.table(spark, d, "part").select("p_partkey", bits.crc32_mpeg(F.col("p_name").cast("binary")).alias("crc"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS (
+  SELECT p_partkey, bin(p_name) AS s, 0 AS k, '' AS found FROM part
+  UNION ALL
+  SELECT p_partkey, substr(s, 2 * z + 2), k + 1, found || CASE WHEN k > 0 THEN ',' ELSE '' END || (list_reduce(list_transform(string_split(substr(s, z + 1, z + 1), ''), lambda b: CAST(b AS BIGINT)), lambda a, b: 2 * a + b) - 1)
+  FROM (SELECT *, instr(s, '1') - 1 AS z FROM g) WHERE k < 4 AND z >= 0 AND length(s) >= 2 * z + 1)
+SELECT p_partkey, max_by(found, k) AS found FROM g GROUP BY p_partkey"""
+)
 def exp_golomb_decode(spark, d):
-    return S.table(spark, d, "part").select("p_partkey", bits.exp_golomb(F.col("p_name").cast("binary"), F.lit(4)).alias("values"))
+    values = bits.exp_golomb(F.col("p_name").cast("binary"), F.lit(4))
+    return S.table(spark, d, "part").select("p_partkey", F.array_join(values.cast("array<string>"), ",").alias("found"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS source, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
@@ -443,16 +512,52 @@ def es_transport_round_trip(spark, d):
     return es.groupBy("source").agg(F.sha2(elementary.concat_ordered(F.col("pos"), F.col("es_data")), 256).alias("digest"))
 
 
-@query("SELECT l_returnflag AS kind, l_linenumber AS number, count(*) AS packets, CAST(min(l_quantity) AS BIGINT) AS min_len, CAST(max(l_quantity) AS BIGINT) AS max_len, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) // count(*) AS mean_len FROM lineitem GROUP BY l_returnflag, l_linenumber")
+@query("SELECT CASE WHEN o_custkey % 3 = 0 THEN 'video' ELSE 'audio' END AS kind, CAST(o_custkey % 3 AS INTEGER) AS number, count(*) AS packets, min(length(o_orderpriority)) + 9 AS min_len, max(length(o_orderpriority)) + 9 AS max_len, (sum(length(o_orderpriority) + 9) // count(*))::BIGINT AS mean_len FROM orders GROUP BY o_custkey % 3")
 def ps_stream_sizes(spark, d):
-    x = S.table(spark, d, "lineitem").select(F.lit("f").alias("source"), F.lit(189).alias("stream_id"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("number"), F.col("l_quantity").cast("long").alias("len"))
-    return files.stream_sizes(x).drop("source")
+    return files.stream_sizes(files.substreams(files.program_packets(S.program_stream_chunks(spark, d)))).drop("source").withColumns({c: F.col(c).cast("long") for c in ("min_len", "max_len")})
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'v' ELSE 'a' || (o_custkey % 3) END AS mark, row_number() OVER (ORDER BY o_orderkey) AS packet FROM orders")
+def ps_packets_in_order(spark, d):
+    x = files.program_packets(S.program_stream_chunks(spark, d)).where("stream_id <> 186")
+    n = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
+    own = x.select(n.cast("long").alias("packet"), reports.ps_mark(F.col("stream_id")).alias("mark"))
+    keys = S.table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("packet"))
+    return own.join(keys, "packet").select("o_orderkey", "mark", "packet")
+
+
+@query("WITH x AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 10 + 1 AS pack, o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'v' ELSE 'a' || (o_custkey % 3) END AS mark FROM orders) SELECT pack, '[' || string_agg(mark, '' ORDER BY o_orderkey) AS dots FROM x GROUP BY pack")
+def ps_dots(spark, d):
+    return reports.ps_dots(files.program_packets(S.program_stream_chunks(spark, d))).select(F.col("pack").cast("long").alias("pack"), "dots")
+
+
+@query(PACKETS + "SELECT row_number() OVER (ORDER BY n) - 1 AS pkt_no, us // 1000000 * 90000 + us % 1000000 * 9 // 100 AS t90, pid - 256 + 167772160 AS dst_ip, CAST((pid - 256) % 4 + 5000 AS BIGINT) AS dst_port, kind AS payload FROM packets")
+def capture_bytes(spark, d):
+    x = files.capture_packets(S.capture_file_chunks(spark, d))
+    return x.select("pkt_no", "t90", "dst_ip", F.col("dst_port").cast("long").alias("dst_port"), F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(PACKETS + "SELECT row_number() OVER (ORDER BY n) - 1 AS n, us % 4294967296 AS stamp, CAST(pid AS BIGINT) AS pid FROM packets")
+def stamped_bytes(spark, d):
+    x = records.cut_records(S.stamped_chunks(spark, d), 192)
+    return x.select("n", bits.uint(F.col("raw"), 0, 4).alias("stamp"), bits.uint(F.col("raw"), 5, 2).bitwiseAND(0x1FFF).alias("pid"))
+
+
+@query("SELECT o_orderkey AS pos, 0 AS part, 'first ' || o_orderpriority AS body FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT o_orderkey, 1, 'frame' FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT o_orderkey, 0, 'first ' || o_orderpriority || 'frame' FROM orders WHERE o_custkey % 2 = 1")
+def dvd_ac3_unpack(spark, d):
+    first = F.concat(F.lit("first "), "o_orderpriority").cast("binary")
+    offset = F.when(F.col("o_custkey") % 2 == 0, F.length(first) + 1).otherwise(1)
+    body = F.concat(F.unhex(F.lit("8001")), bits.be(offset, 2), first, F.lit("frame").cast("binary"))
+    data = F.concat(transport.pes_header(0xBD, F.length(body), F.col("o_orderkey")), body)
+    x = S.table(spark, d, "orders").select(F.lit("f").alias("source"), F.col("o_orderkey").alias("pos"), F.lit(0xBD).alias("stream_id"), data.alias("data"))
+    es = transport.decode_pes(convert.dvd_ac3(x).drop("stream_id"))
+    return es.select("pos", "part", F.decode("es_data", "utf-8").alias("body"))
 
 
 _TYPE_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.STREAM_TYPES.items())
 
 
-@query(f"SELECT p_partkey, p_size * 5 AS stream_type, CASE p_size * 5 {_TYPE_CASES} ELSE CASE WHEN p_size * 5 BETWEEN 29 AND 125 THEN 'H.220.0/13818-1 reserved' WHEN p_size * 5 BETWEEN 128 AND 255 THEN 'User private' ELSE 'Unrecognised' END END AS text FROM part")
+@query(f"SELECT p_partkey, p_size * 5 AS stream_type, CASE p_size * 5 {_TYPE_CASES} ELSE CASE WHEN p_size * 5 BETWEEN 29 AND 125 THEN '13818-1 reserved' WHEN p_size * 5 BETWEEN 128 AND 255 THEN 'User private' ELSE 'Unrecognised' END END AS text FROM part")
 def stream_type_names(spark, d):
     t = F.col("p_size") * 5
     return S.table(spark, d, "part").select("p_partkey", t.alias("stream_type"), codes.stream_type_text(t).alias("text"))
@@ -465,10 +570,44 @@ def ipv4_round_trip(spark, d):
     return x.select("c_custkey", "ip", bits.ipv4_value(F.col("ip")).alias("value"))
 
 
-@query()
+COMMANDS = [("n", 50), ("f", 40), ("r", 20), (">", 30), ("F", 20), ("R", 10), ("n", 25)]
+
+
+def _trick_sql(commands) -> str:
+    """The plan of a list of commands, a few tables for each."""
+    sql = PACKETS + ", x AS MATERIALIZED (SELECT n AS idx, kind = 'view' AS ref, row_number() OVER (ORDER BY n) - 1 AS o FROM packets), a0 AS (SELECT 0 AS here)"
+    reverse, shown = False, []
+    for i, (c, count) in enumerate(commands):
+        at = f"a{i}"
+        if c in "><][":
+            jump = {">": 250, "<": -250, "]": 4500, "[": -4500}[c]
+            sql += f", j{i} AS (SELECT greatest(0, least((SELECT max(o) FROM x), here + ({jump}))) AS here FROM {at})"
+            at, c, reverse = f"j{i}", "n", True
+        back, every = c in "rR", 8 if c in "FR" else 1
+        where = f"o <= (SELECT here FROM {at}) AND ref" if back else f"o >= (SELECT here FROM {at})"
+        if c in "fF":
+            where += " AND ref"
+        elif reverse and not back:
+            where += f" AND o >= (SELECT min(o) FROM x WHERE ref AND o >= (SELECT here FROM {at}))"
+        sql += f", r{i} AS (SELECT idx, o, row_number() OVER (ORDER BY o {'DESC' if back else 'ASC'}) AS k FROM x WHERE {where}), s{i} AS (SELECT idx, o, (k - 1) // {every} + 1 AS out_no FROM r{i} WHERE k <= {(count - 1) * every + 1} AND (k - 1) % {every} = 0)"
+        end = "min(o)" if back else "max(o) + 1"
+        sql += f", a{i + 1} AS (SELECT coalesce((SELECT {end} FROM s{i}), here) AS here FROM {at})"
+        shown.append(f"SELECT {i} AS step, out_no, idx FROM s{i}")
+        reverse = back
+    return sql + ", plan AS (" + " UNION ALL ".join(shown) + ") "
+
+
+@query(_trick_sql(COMMANDS) + "SELECT 'events' AS source, CAST(step AS INTEGER) AS step, out_no, idx FROM plan")
 def trick_play(spark, d):
     x = S.packets(spark, d).select("source", F.col("n").alias("idx"), (F.col("kind") == "view").alias("ref"))
-    return trickplay.plan(x, [("n", 50), ("f", 40), ("r", 20), (">", 30), ("F", 20), ("R", 10), ("n", 25)])
+    return trickplay.plan(x, COMMANDS)
+
+
+@query(_trick_sql(COMMANDS) + "SELECT sha256(string_agg(kind || idx, '' ORDER BY step, out_no)) AS digest, count(*) AS pictures FROM plan JOIN packets ON idx = n")
+def trick_play_bytes(spark, d):
+    x = S.packets(spark, d).select("source", F.col("n").alias("idx"), (F.col("kind") == "view").alias("ref"), F.concat("kind", F.col("n").cast("string")).cast("binary").alias("data"))
+    shown = frames.shown(trickplay.plan(x, COMMANDS), x)
+    return shown.groupBy().agg(F.sha2(elementary.concat_ordered(F.col("order"), F.col("data")), 256).alias("digest"), F.count("*").alias("pictures"))
 
 
 @query()

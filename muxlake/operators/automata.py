@@ -38,3 +38,38 @@ def scan(df: DataFrame, keys: list[str], order: list[str], reads: list[str], beg
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c, f.type) for c, f in zip(columns, arrow))], names=shape.names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, shape)
+
+
+def emit(df: DataFrame, keys: list[str], order: list[str], reads: list[str], begin: Callable[[], object], step: Callable, finish: Callable, added: T.StructType) -> DataFrame:
+    """Rows of ``keys`` and ``added`` that ``step(state, *reads) -> (state, rows)`` makes along each key.
+
+    ``finish(state)`` gives the rows left at a key's end. Held at a time is one key's state.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = T.StructType([*[df.schema[k] for k in keys], *added.fields])
+    schema = to_arrow_schema(shape)
+
+    def run(batches):
+        current, state, started = None, None, False
+
+        def table(rows):
+            columns = list(zip(*rows)) or [[]] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        for batch in batches:
+            key_rows = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys)))
+            out = []
+            for key, row in zip(key_rows, zip(*(batch.column(batch.schema.get_field_index(r)).to_pylist() for r in reads))):
+                if not started or key != current:
+                    if started:
+                        out += [(*current, *r) for r in finish(state)]
+                    current, state, started = key, begin(), True
+                state, rows = step(state, *row)
+                out += [(*key, *r) for r in rows]
+            yield table(out)
+        if started:
+            yield table([(*current, *r) for r in finish(state)])
+
+    wanted = list(dict.fromkeys([*keys, *order, *reads]))
+    return df.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, shape)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muxlake.functions import codes
-from muxlake.functions.bits import be, bits, uint
+from muxlake.functions.bits import be, bits, flag, uint
 
 from . import transport
 from .packets import islands
@@ -155,3 +155,24 @@ def parameter_sets_first(nals: DataFrame) -> DataFrame:
 def end_of_unit(units: DataFrame) -> DataFrame:
     """Whether each NAL ends a sequence (10) or the stream (11)."""
     return units.withColumn("ends", uint(F.col("data"), 3).bitwiseAND(31).isin(10, 11))
+
+
+def dvd_ac3(packets: DataFrame) -> DataFrame:
+    """``(source, pos, part, data)``: AC-3 packets of a DVD (private stream 1) as plain PES packets.
+
+    The four bytes that name the substream go. Where the PTS belongs to a frame that starts later in
+    the packet, the bytes before it become a packet of their own without times.
+    """
+    d = F.col("data")
+    head = 9 + uint(d, 8)
+    size = F.length("data")
+    frames, offset = uint(d, head + 1), uint(d, head + 2, 2)
+    timed = flag(uint(d, 7), 0x80)
+    split = (frames > 0) & (offset > 1) & timed
+    x = packets.where((F.col("stream_id") == 0xBD) & (uint(d, 6).bitwiseAND(0xC0) == 0x80)).select("source", "pos", "data", head.cast("int").alias("h"), F.coalesce(split, F.lit(False)).alias("split"), offset.cast("int").alias("o"), size.alias("size"))
+    rest = F.when(F.col("split"), F.col("o") + 3).otherwise(4)
+    own = F.concat(F.expr("substring(data, 1, 4)"), be(F.col("size") - 6 - rest, 2), F.substring(d, F.lit(7), F.col("h") - 6), F.substring(d, F.col("h") + rest + 1, F.col("size")))
+    before = F.substring(d, F.col("h") + 5, F.col("o") - 1)
+    plain = F.concat(transport.pes_header(0xBD, F.length(before)), before)
+    parts = F.when(F.col("split"), F.array(plain, own)).otherwise(F.array(own))
+    return x.select("source", "pos", F.posexplode(parts).alias("part", "data"))

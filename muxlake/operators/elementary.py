@@ -6,9 +6,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from muxlake.functions.bits import BitReader, be, bits, flag, uint, unescape
 
+from .automata import emit
 from .packets import islands
 
 
@@ -95,6 +97,20 @@ def video_type(units: DataFrame, limit: int = 500) -> DataFrame:
     return out.withColumn("video", F.when(F.col("pes"), "probably PES").when(F.col("h264"), "H.264").when(~one, "unknown").when(F.col("h262"), "H.262").otherwise("AVS"))
 
 
+def pes_video_type(pes: DataFrame, limit: int = 500) -> DataFrame:
+    """The vote on the video kind over the elementary data of PES packets (``es_data``) by place."""
+    before = F.sum(F.length("es_data").cast("long")).over(Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    return video_type(es_units(pes.select("source", F.coalesce(before, F.lit(0).cast("long")).alias("infile"), F.col("es_data").alias("data"))), limit)
+
+
+def ps_video_type(ps: DataFrame, limit: int = 500) -> DataFrame:
+    """The vote over a program stream's video packets."""
+    from .transport import decode_pes
+
+    video = ps.where("err is null and stream_id between 224 and 239").select("source", "pos", "data")
+    return pes_video_type(decode_pes(video), limit)
+
+
 # --- H.262 ---------------------------------------------------------------------------------------
 
 
@@ -142,22 +158,26 @@ def h262_pictures(items: DataFrame) -> DataFrame:
 def pair_fields(pictures: DataFrame, by: str = "temporal_reference") -> DataFrame:
     """Field pictures joined to frames: a field and the next one of equal ``by``, greedily in order.
 
-    ``structure`` 1 and 2 are fields; a frame, or a field without its second, stands alone.
+    ``structure`` 1 and 2 are fields; a frame, or a field without its second, stands alone. One field
+    is held at a time.
     """
 
-    def run(pdf):
-        pdf = pdf.sort_values("idx")
-        out, i, rows = [], 0, list(pdf.itertuples(index=False))
-        while i < len(rows):
-            a, b = rows[i], rows[i + 1] if i + 1 < len(rows) else None
-            field = a.structure in (1, 2)
-            pair = field and b is not None and b.structure in (1, 2) and b.structure != a.structure and getattr(a, by) == getattr(b, by)
-            out.append((a.source, a.idx, a.size + (b.size if pair else 0), a.kind, 2 if pair else 1, bool(field and not pair)))
-            i += 2 if pair else 1
-        return pd.DataFrame(out, columns=["source", "idx", "size", "kind", "fields", "unmatched"])
-
-    rows = pictures.where("structure is not null").select("source", "idx", "size", "kind", "structure", by)
-    return rows.groupBy("source").applyInPandas(run, "source string, idx long, size long, kind string, fields int, unmatched boolean")
+    def alone(a):
+        idx, size, kind, structure, _ = a
+        return (idx, size, kind, 1, structure in (1, 2))
+
+    def step(first, *row):
+        if row[3] not in (1, 2):
+            return None, [*([alone(first)] if first else []), alone(row)]
+        if first is None:
+            return row, []
+        if first[3] != row[3] and first[4] == row[4]:
+            return None, [(first[0], first[1] + row[1], first[2], 2, False)]
+        return row, [alone(first)]
+
+    added = T.StructType.fromDDL("idx long, size long, kind string, fields int, unmatched boolean")
+    rows = pictures.where("structure is not null").select("source", F.col("idx").cast("long").alias("idx"), F.col("size").cast("long").alias("size"), "kind", "structure", by)
+    return emit(rows, ["source"], ["idx"], ["idx", "size", "kind", "structure", by], lambda: None, step, lambda first: [alone(first)] if first else [], added)
 
 
 def picture_headers(pictures: DataFrame) -> DataFrame:

@@ -119,3 +119,35 @@ def merge_by_time(video: DataFrame, audio: DataFrame) -> DataFrame:
     own = video.select("source", "time", F.lit(0).alias("kind"), "size")
     both = own.unionByName(audio.select("source", "time", F.lit(1).alias("kind"), "size"))
     return both.withColumn("out_no", F.row_number().over(Window.partitionBy("source").orderBy("time", "kind", "size")))
+
+
+def first_items(items: DataFrame, limit: int, order: str = "idx") -> DataFrame:
+    """The first ``limit`` items of each source."""
+    n = F.row_number().over(Window.partitionBy("source").orderBy(order))
+    return items.withColumn("_n", n).where(F.col("_n") <= limit).drop("_n")
+
+
+def act(pictures: DataFrame, action: str, freq: int = 8, limit: int | None = None) -> DataFrame:
+    """``(source, idx, repeats)`` of what an action shows: ``copy`` all, ``strip`` to reference
+    pictures, ``filter`` to reference pictures at about every ``freq``-th place, repeated in the
+    gaps. ``limit`` looks at the first so many pictures."""
+    x = pictures if limit is None else first_items(pictures, limit)
+    if action == "filter":
+        return keep_every(x.where("ref"), freq)
+    if action not in ("copy", "strip"):
+        raise ValueError(f"unknown action {action}")
+    kept = x if action == "copy" else strip_to_reference(x)
+    return kept.select("source", "idx", F.lit(1).cast("long").alias("repeats"))
+
+
+def shown(plan: DataFrame, pictures: DataFrame) -> DataFrame:
+    """``(source, order, data)``: the bytes of planned pictures, repeats written out.
+
+    ``plan`` has (source, idx) with ``repeats``, or ``step`` and ``out_no`` of trick play; ``pictures``
+    has (source, idx, data). ``order`` sorts the rows into the stream to be written.
+    """
+    times = F.col("repeats") if "repeats" in plan.columns else F.lit(1).cast("long")
+    place = [F.col(c).cast("long").alias(c) for c in ("step", "out_no") if c in plan.columns] or [F.col("idx").cast("long").alias("idx")]
+    x = plan.select("source", "idx", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_k"), F.array(*place).alias("_p"))
+    x = x.select("source", "idx", F.concat("_p", F.array("_k")).alias("order"))
+    return x.join(pictures.select("source", "idx", "data"), ["source", "idx"]).select("source", "order", "data")

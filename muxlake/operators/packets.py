@@ -11,6 +11,7 @@ later chunks is carried together.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 from muxlake.functions import clock
 
+from .automata import emit, scan
+
 CHUNK = 1 << 20
 
 
@@ -149,14 +152,20 @@ def interpolate_pcr(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return x.withColumn("acc_pcr", clock.pcr_unsigned_wrap(moved)).select(*packets.columns, "acc_pcr")
 
 
-def pcr_steps(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """PCR rows with the one and the two before: gaps, rates and linear prediction errors."""
+def _pcr_before(packets: DataFrame, chunk: int) -> DataFrame:
+    """PCR rows with the one and the two before (``p1``, ``p2``: ``n``, ``pos``, ``pcr``)."""
     rows = _in_chunks(packets.where("pcr is not null").select("source", "n", "pos", "pcr"), chunk)
     w = Window.partitionBy("source", "_chunk").orderBy("n")
     point = F.struct("n", "pos", "pcr")
     x = rows.select("*", F.lag(point).over(w).alias("l1"), F.lag(point, 2).over(w).alias("l2"))
     x = x.join(_pcr_summary(packets, chunk).select("source", "_chunk", "before", "before2"), ["source", "_chunk"])
-    x = x.withColumn("p1", F.coalesce("l1", "before")).withColumn("p2", F.coalesce(F.col("l2"), F.when(F.col("l1").isNull(), F.col("before2")).otherwise(F.col("before"))))
+    second = F.coalesce(F.col("l2"), F.when(F.col("l1").isNull(), F.col("before2")).otherwise(F.col("before")))
+    return x.select("source", "n", "pos", "pcr", F.coalesce("l1", "before").alias("p1"), second.alias("p2"))
+
+
+def pcr_steps(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """PCR rows with their gaps to the one before, rates and linear prediction errors."""
+    x = _pcr_before(packets, chunk)
     x = x.withColumn("gap", F.when(F.col("p1").isNotNull(), clock.pcr_unsigned_diff(F.col("pcr"), F.col("p1.pcr"))))
     before = clock.pcr_unsigned_diff(F.col("p1.pcr"), F.col("p2.pcr"))
     rate = ((F.col("p1.pos") - F.col("p2.pos")).cast("double") * 27.0 / before.cast("double")) * 1000000.0
@@ -164,6 +173,25 @@ def pcr_steps(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return x.withColumn("error", F.when(F.col("p2").isNotNull(), clock.pcr_signed_diff(F.col("pcr"), guess))).select("source", "n", "pos", "pcr", "gap", "error")
 
 
+def far_pcrs(packets: DataFrame, limit: int = 20_000, chunk: int = CHUNK) -> DataFrame:
+    """``(source, after, n, packets)``: PCRs more than ``limit`` packets behind the one before.
+
+    ``after`` is the packet with the PCR before (null: the start). A player that reads ahead from
+    PCR to PCR fails there; interpolation goes on, so this is the check to run before it.
+    """
+    x = _pcr_before(packets, chunk)
+    between = F.col("n") - F.coalesce("p1.n", F.lit(-1))
+    return x.where(between > limit).select("source", F.col("p1.n").alias("after"), "n", between.alias("packets"))
+
+
+def repeat(packets: DataFrame, times: int) -> DataFrame:
+    """Each source's packets ``times`` times over, numbers and places going on; ``loop`` counts."""
+    ends = packets.groupBy("source").agg((F.max("n") + 1).alias("_all"))
+    x = packets.join(ends, "source").withColumn("loop", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    shift = F.col("loop") * F.col("_all")
+    return x.withColumn("n", F.col("n") + shift).withColumn("pos", F.col("pos") + shift * 188).drop("_all")
+
+
 def pcr_report(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per source: PCRs, gaps over 0.1 s, greatest gap, prediction errors, overall rate in bits/s."""
     x = pcr_steps(packets, chunk)
@@ -264,27 +292,27 @@ def reorder(packets: DataFrame, stamp: str, depth: int | None = None) -> DataFra
     """Packets by arrival stamp; with ``depth`` only as far as a buffer of that many allows.
 
     Without ``depth`` (or while packets are out of place by less) this is a plain sort. The exact
-    bounded buffer keeps the ``depth`` packets with the least stamps back and runs per source.
+    bounded buffer holds ``depth`` packets' stamps along each source and gives up the least when one
+    more comes; packets themselves do not pass through it.
     """
     if depth is None:
         w = Window.partitionBy("source").orderBy(stamp, "pos")
         return packets.withColumn("out_no", F.row_number().over(w))
-    shape = T.StructType([*packets.schema.fields, T.StructField("out_no", T.IntegerType())])
 
-    def run(pdf):
-        import heapq
+    def step(state, time, place):
+        heap, n = state
+        heapq.heappush(heap, (time, n, place))
+        gone = [(heapq.heappop(heap)[2], n + 1 - depth)] if len(heap) > depth else []
+        return (heap, n + 1), gone
 
-        heap, order = [], []
-        for i, key in enumerate(pdf.sort_values("pos")[stamp].index):
-            heapq.heappush(heap, (pdf.at[key, stamp], i, key))
-            if len(heap) > depth:
-                order.append(heapq.heappop(heap)[2])
-        while heap:
-            order.append(heapq.heappop(heap)[2])
-        out = pdf.loc[order]
-        return out.assign(out_no=range(1, len(out) + 1))
+    def finish(state):
+        heap, n = state
+        return [(heapq.heappop(heap)[2], n - len(heap)) for _ in range(len(heap))]
 
-    return packets.groupBy("source").applyInPandas(run, shape)
+    added = T.StructType([T.StructField("_pos", packets.schema["pos"].dataType), T.StructField("out_no", T.LongType())])
+    order = emit(packets, ["source"], ["pos"], [stamp, "pos"], lambda: ([], 0), step, finish, added)
+    placed = order.withColumnRenamed("source", "_source")
+    return packets.join(placed, (F.col("source") == F.col("_source")) & (F.col("pos") == F.col("_pos"))).drop("_source", "_pos")
 
 
 def insert_at(packets: DataFrame, fractions: list[float], total: int) -> DataFrame:
@@ -305,3 +333,75 @@ def schedule_by_pcr(packets: DataFrame, max_gap: int = 2 * clock.PCR_HZ, percent
     """Send times by interpolation between PCRs; a gap over ``max_gap``, or a step back, starts a new epoch at 0."""
     x = unwrap(interpolate_pcr(packets.select("source", "n", "pos", "pcr"), chunk), "acc_pcr", "clock", chunk, max_gap)
     return x.select("source", "n", "pos", "epoch", F.expr(f"(clock - epoch_start) * {percent} div 100 div 27").alias("send_us"))
+
+
+def schedule_by_credit(packets: DataFrame, bytes_per_second: float = 250_000, per_item: int = 7, prime_items: int = 20, speed_percent: float = 100) -> DataFrame:
+    """Send times of items of ``per_item`` packets from a credit of bytes and time.
+
+    The credit starts as ``prime_items`` items at the plain rate (``speed_percent`` faster). An item
+    takes its bytes' part of the credit's time. Each PCR adds the bytes since the last PCR and the
+    time they stand for; the second PCR also replaces the first credit's time by one at the real
+    rate. After a gap of over two seconds, and when the credit runs out, it starts anew. State runs
+    along each source.
+    """
+    point = F.min(F.when(F.col("pcr").isNotNull(), F.struct("n", "pcr")))
+    items = packets.groupBy("source", F.floor(F.col("n") / per_item).alias("item")).agg(F.count("*").alias("packets"), point.alias("p"))
+    items = items.select("source", "item", "packets", F.col("p.n").alias("pcr_n"), F.col("p.pcr").alias("pcr"))
+    first_bytes = 188 * per_item * prime_items
+
+    def step(s, count, pcr_n, pcr):
+        s = dict(s)
+        if s["bytes"] <= 0 or s["time"] <= 0:
+            s["bytes"], s["time"] = first_bytes, first_bytes * 1e6 / (s["rate"] * speed_percent / 100)
+            if s["seen"] < 2:
+                s["primed"] = s["time"]
+        size = 188 * count
+        took = size / s["bytes"] * s["time"]
+        s["clock"] += took
+        s["bytes"] -= size
+        s["time"] -= took
+        if pcr is not None:
+            gap = (pcr - s["pcr"]) % clock.PCR_MOD if s["pcr"] is not None else 0
+            if gap > 2 * clock.PCR_HZ:
+                s["seen"], s["bytes"], s["time"] = 0, 0, 0.0
+            elif s["seen"] == 0 or gap == 0:
+                s["seen"] = max(s["seen"], 1)
+            else:
+                new = (pcr_n - s["at"]) * 188
+                s["rate"] = new * clock.PCR_HZ / gap
+                s["bytes"] += new
+                s["time"] += gap / 27
+                if s["seen"] == 1:
+                    s["time"] += first_bytes * 1e6 / s["rate"] - s["primed"]
+                    s["seen"] = 2
+            s["pcr"], s["at"] = pcr, pcr_n
+        return s, (int(s["clock"]),)
+
+    begin = {"bytes": 0, "time": 0.0, "rate": float(bytes_per_second), "seen": 0, "primed": 0.0, "clock": 0.0, "pcr": None, "at": 0}
+    added = T.StructType([T.StructField("send_us", T.LongType())])
+    return scan(items, ["source"], ["item"], ["packets", "pcr_n", "pcr"], lambda: begin, step, added).select("source", "item", "send_us")
+
+
+def waits(sent: DataFrame, limit: int = 200_000) -> DataFrame:
+    """Adds ``wait_us``, ``late_us`` and ``reset`` to rows with due (``send_us``) and actual (``now_us``) times.
+
+    A row is due at its time after the start; more than ``limit`` microseconds early or late, the
+    start is set anew so that the row is due at once.
+    """
+
+    def step(start, due, now):
+        start = now - due if start is None else start
+        ahead = start + due - now
+        reset = abs(ahead) > limit
+        if reset:
+            start, ahead = now - due, 0
+        return start, (max(ahead, 0), max(-ahead, 0), reset)
+
+    added = T.StructType([T.StructField("wait_us", T.LongType()), T.StructField("late_us", T.LongType()), T.StructField("reset", T.BooleanType())])
+    return scan(sent, ["source"], ["n"], ["send_us", "now_us"], lambda: None, step, added)
+
+
+def perturb(scheduled: DataFrame, within: int, seed: int = 1) -> DataFrame:
+    """Send times moved by up to ``within`` microseconds either way, alike for a seed, never before 0."""
+    noise = F.pmod(F.xxhash64(F.lit(seed), F.col("source"), F.col("n")), F.lit(2 * within + 1)) - within
+    return scheduled.withColumn("send_us", F.greatest(F.lit(0).cast("long"), F.col("send_us") + noise))

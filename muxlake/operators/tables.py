@@ -62,3 +62,12 @@ def validity(tables: DataFrame) -> DataFrame:
 def stream_list(streams: DataFrame) -> DataFrame:
     """One row for each table with its streams as a sorted array, fit for comparing."""
     return streams.groupBy("source", "pmt_pid", "pos").agg(F.sort_array(F.collect_list(F.struct("elementary_pid", "stream_type"))).alias("streams"))
+
+
+def pcr_pid(programs: DataFrame, streams: DataFrame, index: int | None = None, number: int | None = None) -> DataFrame:
+    """``(source, program_number, pcr_pid)``: the PID with the clock of the program to be played.
+
+    ``streams`` has ``pcr_pid``; the first map table of the program tells it.
+    """
+    chosen = select_program(programs, index, number).select("source", "program_number", "pmt_pid").distinct()
+    return chosen.join(streams, ["source", "program_number", "pmt_pid"]).groupBy("source", "program_number").agg(F.min_by("pcr_pid", "pos").alias("pcr_pid"))

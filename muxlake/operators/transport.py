@@ -204,10 +204,13 @@ def descriptor_text(tag: Column, body: Column) -> Column:
         .when(tag == 52, F.format_string("Stereoscopic: %02X", b(0)))
         .when(tag == 56, F.format_string("HEVC video: profile %d tier %d level %d", b(0).bitwiseAND(31), bits(b(0), 5, 1), b(11)))
         .when(tag == 0x56, F.concat(F.lit("Teletext: "), F.substring(text, 1, 3)))
-        .when(tag == 0x59, F.concat(F.lit("Subtitling: "), F.substring(text, 1, 3)))
+        .when(tag == 0x59, F.concat(F.lit("Subtitling: "), F.substring(text, 1, 3), F.lit(" "), codes.dvb_component_text(b(3))))
+        .when(tag == 14, F.format_string("Maximum bit rate: %d bytes a second", uint(body, 0, 3).bitwiseAND(0x3FFFFF) * 50))
+        .when(tag == 0x50, F.concat(F.lit("Component: "), F.when(b(0).bitwiseAND(15) == 3, codes.dvb_component_text(b(1))).otherwise(F.format_string("content %d type %02X", b(0).bitwiseAND(15), b(1)))))
+        .when(tag == 0x52, F.format_string("Stream identifier: %d", b(0)))
         .when(tag == 0x6A, F.format_string("DVB AC-3: %02X", b(0)))
         .when(tag == 0x81, F.format_string("ATSC AC-3: rate %d bsid %d", bits(b(0), 5, 7), b(0).bitwiseAND(31)))
-        .otherwise(F.format_string("Descriptor %d: %s", tag, F.hex(body)))
+        .otherwise(F.concat(F.coalesce(codes.descriptor_name(tag), F.format_string("Descriptor %d", tag)), F.lit(": "), F.hex(body)))
     )
 
 

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from muxlake.functions import codes
+from muxlake.functions.bits import bits, uint
+
 from . import records
 
 
@@ -331,6 +334,13 @@ def read_capture(spark: SparkSession, path: str, raw_type: int | None = None) ->
     return capture_packets(records.read_chunks(spark, path), raw_type)
 
 
+def capture_start(packets: DataFrame) -> DataFrame:
+    """``(source, start)``: the day and time (UTC) of each capture's first packet."""
+    first = packets.groupBy("source").agg(F.min_by(F.struct("sec", "usec"), "pkt_no").alias("t"))
+    at = F.timestamp_micros(F.col("t.sec") * 1_000_000 + F.col("t.usec"))
+    return first.select("source", F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"))
+
+
 def capture_packets(chunks: DataFrame, raw_type: int | None = None) -> DataFrame:
     """Network packets of pcap and pcapng files in pieces."""
     return walk_chunks(chunks, lambda: CaptureReader(raw_type), NET)
@@ -436,6 +446,13 @@ def ac3_frames(d: bytes) -> Iterator[dict]:
         at += size
 
 
+def ac3_details(frames: DataFrame) -> DataFrame:
+    """AC-3 frames with sample rate code, bit stream version and mode, and channel layout."""
+    d = F.col("data")
+    bsmod, acmod = uint(d, 5).bitwiseAND(7), bits(uint(d, 6), 5, 7)
+    return frames.select("*", bits(uint(d, 4), 6, 3).alias("fscod"), bits(uint(d, 5), 3, 31).alias("bsid"), bsmod.alias("bsmod"), acmod.alias("acmod"), codes.service_text(bsmod, acmod).alias("service"))
+
+
 AUDIO = {"adts": adts_frames, "l2": layer2_frames, "ac3": ac3_frames}
 
 
