@@ -60,33 +60,69 @@ def hide_pid(packets: DataFrame, pid: int) -> DataFrame:
     return packets.where(~own | F.col("pcr").isNotNull()).withColumn("pid", F.when(own, 0x1FFF).otherwise(F.col("pid")))
 
 
-def continuity(packets: DataFrame, content: Column | None = None, compat: bool = False) -> DataFrame:
+def _stretch(chunk: int) -> Column:
+    """The number of a row's chunk, by its place."""
+    return F.floor(F.col("pos") / (188 * chunk)).alias("_chunk")
+
+
+def continuity(packets: DataFrame, content: Column | None = None, compat: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Per source and PID: packets, flagged discontinuities, good and bad duplicates, and counter errors.
 
     The counter goes up by one with a payload and stays without; nothing is compared at a flagged
     discontinuity. One repetition of a packet is allowed; a second is a duplicate error, and
     different ``content`` under an equal counter is a contents error. ``compat`` compares only after
-    a counter above 0.
+    a counter above 0. Each chunk of a PID is counted by itself; its first row, and whether a
+    repetition is open there, are settled from the chunks' ends.
     """
-    w = Window.partitionBy("source", "pid").orderBy("pos")
+    key = ["source", "pid", "_chunk"]
+    w = Window.partitionBy(*key).orderBy("pos")
     content = F.col("raw") if content is None else content
-    x = packets.select("source", "pid", "pos", "cc", "has_payload", "disc", content.alias("content"))
-    x = x.select("*", F.lag("cc").over(w).alias("last"), F.lag("content").over(w).alias("last_content"))
-    compared = F.col("last").isNotNull() & ~F.col("disc") & ((F.col("last") > 0) if compat else F.lit(True))
-    x = x.select("*", (compared & (F.col("cc") == F.col("last")) & F.col("has_payload")).alias("same"), (compared & (F.col("cc") != F.col("last"))).alias("moved"))
+
+    def events(row: str, last: str) -> dict[str, Column]:
+        """What a row is next to the last one; each has cc, disc, has_payload and content."""
+        c = lambda x, f: F.col(f"{x}.{f}")
+        compared = F.col(last).isNotNull() & ~c(row, "disc") & ((c(last, "cc") > 0) if compat else F.lit(True))
+        same = compared & (c(row, "cc") == c(last, "cc")) & c(row, "has_payload")
+        moved = compared & (c(row, "cc") != c(last, "cc"))
+        equal = c(row, "content").eqNullSafe(c(last, "content"))
+        wrong = moved & F.when(c(row, "has_payload"), (c(last, "cc") + 1) % 16 != c(row, "cc")).otherwise(True)
+        return {k: F.coalesce(v, F.lit(False)) for k, v in (("same", same), ("moved", moved), ("good", same & equal), ("bad", same & ~equal), ("wrong", wrong))}
+
+    x = packets.select("source", "pid", "pos", _stretch(chunk), F.struct("cc", "disc", "has_payload", content.alias("content")).alias("row"))
+    x = x.withColumn("last", F.lag("row").over(w))
+    x = x.select(*key, "pos", "row", *[v.alias(k) for k, v in events("row", "last").items()])
     x = x.withColumn("chain", F.sum(F.col("moved").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    in_chain = Window.partitionBy("source", "pid", "chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    in_chain = Window.partitionBy(*key, "chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("nth", F.sum(F.col("same").cast("int")).over(in_chain))
-    wrong = F.col("moved") & F.when(F.col("has_payload"), (F.col("last") + 1) % 16 != F.col("cc")).otherwise(True)
-    equal = F.col("content").eqNullSafe(F.col("last_content"))
-    return x.groupBy("source", "pid").agg(
+    own = x.groupBy(*key).agg(
         F.count("*").alias("packets"),
-        F.count_if("disc").alias("flagged"),
-        F.count_if(F.col("same") & (F.col("nth") > 1)).alias("dup_errors"),
-        F.count_if(F.col("same") & ~equal).alias("content_errors"),
-        F.count_if(F.col("same") & equal).alias("good_dups"),
-        F.count_if(wrong).alias("cc_errors"),
-        F.min_by("cc", "pos").alias("first_cc"),
+        F.count_if("row.disc").alias("flagged"),
+        F.count_if(F.col("same") & (F.col("nth") > 1)).alias("dups"),
+        F.count_if("bad").alias("bad"),
+        F.count_if("good").alias("good"),
+        F.count_if("wrong").alias("wrong"),
+        F.min_by("row", "pos").alias("head"),
+        F.max_by("row", "pos").alias("tail"),
+        F.bool_or("moved").alias("any_moved"),
+        F.bool_or(F.col("same") & (F.col("chain") == 0)).alias("same_ahead"),
+        F.max_by(F.col("nth") > 0, "pos").alias("open"),
+    )
+    chunks = Window.partitionBy("source", "pid").orderBy("_chunk")
+    own = own.withColumn("before", F.lag("tail").over(chunks))
+    own = own.select("*", *[v.alias(f"b_{k}") for k, v in events("head", "before").items()])
+    leaves = F.when(F.col("any_moved"), F.col("open")).when(F.col("same_ahead") | F.col("b_same"), True).when(F.col("b_moved"), False)
+    own = own.withColumn("comes", F.coalesce(F.last(leaves, True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    inside = F.when(F.col("b_same"), True).when(F.col("b_moved"), False).otherwise(F.col("comes"))
+    more = (F.col("b_same") & F.col("comes")).cast("int") + (F.col("same_ahead") & inside).cast("int")
+    plus = lambda k: F.sum(F.col(k) + F.col(f"b_{k}").cast("int"))
+    return own.groupBy("source", "pid").agg(
+        F.sum("packets").alias("packets"),
+        F.sum("flagged").alias("flagged"),
+        F.sum(F.col("dups") + more).alias("dup_errors"),
+        plus("bad").alias("content_errors"),
+        plus("good").alias("good_dups"),
+        plus("wrong").alias("cc_errors"),
+        F.min_by("head.cc", "_chunk").alias("first_cc"),
     )
 
 
@@ -234,27 +270,38 @@ def unwrap(df: DataFrame, clock_column: str, name: str, chunk: int = CHUNK, max_
     return x.select(*df.columns, *added)
 
 
-def max_rate(packets: DataFrame, time: str, window: int = clock.PCR_HZ // 2) -> DataFrame:
-    """Per PID the greatest rate, in bits/s, over any ``window`` ticks of ``time`` (27 MHz, unwrapped)."""
-    w = Window.partitionBy("source", "pid").orderBy(time)
-    x = packets.withColumn("_bytes", F.sum(F.lit(188)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+def max_rate(packets: DataFrame, time: str, window: int = clock.PCR_HZ // 2, spans: int = 64) -> DataFrame:
+    """Per PID the greatest rate, in bits/s, over any ``window`` ticks of ``time`` (27 MHz, unwrapped).
+
+    Time is cut into stretches of ``spans`` windows; a packet less than a window before a cut is
+    counted on both sides of it.
+    """
+    span = window * spans
+    own, next_ = F.floor(F.col(time) / span), F.floor((F.col(time) + window) / span)
+    x = packets.select("source", "pid", F.col(time).alias("t"), own.alias("own"), F.explode(F.sequence(own, next_)).alias("stretch"))
+    w = Window.partitionBy("source", "pid", "stretch").orderBy("t")
+    x = x.withColumn("bytes", F.sum(F.lit(188)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     back = w.rangeBetween(-window, 0)
-    first_t, first_b = F.first(time).over(back), F.first(F.coalesce("_bytes", F.lit(0))).over(back)
-    x = x.select("source", "pid", (F.col(time) - first_t).alias("dt"), (F.coalesce("_bytes", F.lit(0)) - first_b).alias("db"))
+    x = x.select("source", "pid", "own", "stretch", (F.col("t") - F.first("t").over(back)).alias("dt"), (F.col("bytes") - F.first("bytes").over(back)).alias("db"))
     rate = F.when(F.col("dt") > 0, F.expr(f"(db * {8 * clock.PCR_HZ}) div dt"))
-    return x.groupBy("source", "pid").agg(F.max(rate).alias("max_bits_per_second"))
+    return x.where("own = stretch").groupBy("source", "pid").agg(F.max(rate).alias("max_bits_per_second"))
 
 
-def dts_order(pes: DataFrame) -> DataFrame:
+def dts_order(pes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per source and PID: timed packets, DTS before or equal to the last, PTS before DTS, DTS steps.
 
-    A missing DTS is the PTS.
+    A missing DTS is the PTS. Each chunk of a PID is counted by itself, and the steps between chunks
+    are added from their ends.
     """
-    w = Window.partitionBy("source", "pid").orderBy("pos")
-    x = pes.where("pts is not null").withColumn("dts", F.coalesce("dts", "pts"))
-    step = clock.pts_signed_diff(F.col("dts"), F.lag("dts").over(w))
-    x = x.select("source", "pid", step.alias("step"), clock.pts_signed_diff(F.col("pts"), F.col("dts")).alias("ahead"))
-    return x.groupBy("source", "pid").agg(F.count("*").alias("timed"), F.count_if(F.col("step") <= 0).alias("dts_not_later"), F.count_if(F.col("ahead") < 0).alias("pts_before_dts"), F.min("step").alias("min_step"), F.max("step").alias("max_step"))
+    key = ["source", "pid", "_chunk"]
+    x = pes.where("pts is not null").select("source", "pid", "pos", "pts", F.coalesce("dts", "pts").alias("dts"), _stretch(chunk))
+    step = clock.pts_signed_diff(F.col("dts"), F.lag("dts").over(Window.partitionBy(*key).orderBy("pos")))
+    x = x.select(*key, "pos", "dts", step.alias("step"), clock.pts_signed_diff(F.col("pts"), F.col("dts")).alias("ahead"))
+    own = x.groupBy(*key).agg(F.count("*").alias("timed"), F.count_if(F.col("step") <= 0).alias("late"), F.count_if(F.col("ahead") < 0).alias("early"), F.min("step").alias("least"), F.max("step").alias("most"), F.min_by("dts", "pos").alias("head"), F.max_by("dts", "pos").alias("tail"))
+    border = clock.pts_signed_diff(F.col("head"), F.lag("tail").over(Window.partitionBy("source", "pid").orderBy("_chunk")))
+    own = own.withColumn("border", border)
+    return own.groupBy("source", "pid").agg(F.sum("timed").alias("timed"), (F.sum("late") + F.count_if(F.col("border") <= 0)).alias("dts_not_later"), F.sum("early").alias("pts_before_dts"), F.min(F.least("least", "border")).alias("min_step"), F.max(F.greatest("most", "border")).alias("max_step"))
 
 
 def buffering(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -371,3 +371,33 @@ def test_readers_do_not_depend_on_pieces(size):
     assert fed(files.CaptureReader(), cap) == list(files.CaptureReader().feed(cap, True))
     dump = b"".join(b"RTP " + (14).to_bytes(4, "big") + struct.pack(">BBHII", 0x80, 96, i, 2, 3) + b"\x65" + bytes([i]) for i in range(40))
     assert fed(files.RtpDumpReader(), dump) == list(files.RtpDumpReader().feed(dump, True))
+
+
+def test_pid_reports_do_not_depend_on_chunks(spark):
+    rng, rows, cc = random.Random(9), [], {1: 0, 2: 5}
+    for i in range(600):
+        pid, event = rng.choice([1, 1, 2]), rng.random()
+        if event < 0.5:
+            cc[pid] = (cc[pid] + 1) % 16
+        elif event < 0.6:
+            cc[pid] = rng.randrange(16)
+        rows.append(("f", i, 188 * i, pid, cc[pid], rng.random() < 0.9, rng.random() < 0.05, rng.choice("ab"), (90_000 * i + rng.choice([0, 0, -200_000])) % 2**33 if rng.random() < 0.5 else None, 27_000 * i))
+    df = spark.createDataFrame(rows, "source string, n long, pos long, pid long, cc long, has_payload boolean, disc boolean, raw string, pts long, t long").withColumn("dts", F.col("pts") - F.col("n") % 3 + 1)
+    for report in (lambda c: packets.continuity(df, chunk=c), lambda c: packets.continuity(df, compat=True, chunk=c), lambda c: packets.dts_order(df, chunk=c), lambda c: packets.max_rate(df, "t", 135_000, spans=c)):
+        ways = [sorted(tuple(r) for r in report(c).collect()) for c in (1 << 20, 1, 2, 17)]
+        assert ways[0] == ways[1] == ways[2] == ways[3] and len(ways[0]) == 2
+    # by a plain walk
+    want = {}
+    for pid in (1, 2):
+        last, chain, dup, good, bad, wrong = None, 0, 0, 0, 0, 0
+        for r in (r for r in rows if r[3] == pid):
+            if last is not None and not r[6]:
+                if r[4] == last[4] and r[5]:
+                    chain += 1
+                    dup, good, bad = dup + (chain > 1), good + (r[7] == last[7]), bad + (r[7] != last[7])
+                elif r[4] != last[4]:
+                    chain, wrong = 0, wrong + (not r[5] or (last[4] + 1) % 16 != r[4])
+            last = r
+        want[pid] = dup, bad, good, wrong
+    got = {r.pid: (r.dup_errors, r.content_errors, r.good_dups, r.cc_errors) for r in packets.continuity(df, chunk=7).collect()}
+    assert got == want and min(min(v) for v in want.values()) > 0
