@@ -61,7 +61,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "dh", "fingerprint", F.coalesce("group_id", "doc_id").alias("group_id"))
 
 
-def compare_buckets(texts: DataFrame) -> DataFrame:
+def compare_buckets(texts: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``(doc_id, dh, group_id)`` of ``(doc_id, dh, fingerprint, text)`` rows in shared buckets.
 
     ``group_id`` is the least doc_id of the group. Each text is compared with its bucket's first
@@ -70,7 +70,10 @@ def compare_buckets(texts: DataFrame) -> DataFrame:
     collision) are told apart by a second, independent digest.
     """
     lead = texts.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "dh")).alias("lead")).select(F.col("fingerprint").alias("l_fingerprint"), F.col("lead.doc_id").alias("doc_id"), F.col("lead.dh").alias("dh"))
+    # stored, so that the join below has plain shuffles on both sides and a hot bucket can be split
+    work = work or Workspace(texts.sparkSession, "buckets")
     leads = attach(texts, lead, "inner").where(F.col("fingerprint") == F.col("l_fingerprint")).select("l_fingerprint", F.col("text").alias("lead_text")).dropDuplicates(["l_fingerprint"])
+    leads = work.put(leads, "leads")
     pairs = texts.join(leads, F.col("fingerprint") == F.col("l_fingerprint"))
 
     def compare(x):
@@ -78,20 +81,32 @@ def compare_buckets(texts: DataFrame) -> DataFrame:
         apart = ["" if a == b else hashlib.sha256(a).hexdigest() for a, b in zip(own, lead)]
         return {"doc_id": x["doc_id"], "dh": x["dh"], "fingerprint": x["fingerprint"], "apart": apart}
 
-    checked = map_columns(pairs.select("doc_id", "dh", "fingerprint", "text", "lead_text"), compare, "doc_id long, dh long, fingerprint string, apart string")
-    ids = checked.groupBy("fingerprint", "apart").agg(F.min("doc_id").alias("group_id")).select(F.col("fingerprint").alias("g1"), F.col("apart").alias("g2"), "group_id")
+    checked = work.put(map_columns(pairs.select("doc_id", "dh", "fingerprint", "text", "lead_text"), compare, "doc_id long, dh long, fingerprint string, apart string"), "checked")
+    ids = work.put(checked.groupBy("fingerprint", "apart").agg(F.min("doc_id").alias("group_id")).select(F.col("fingerprint").alias("g1"), F.col("apart").alias("g2"), "group_id"), "ids")
     return checked.join(ids, (F.col("fingerprint") == F.col("g1")) & (F.col("apart") == F.col("g2"))).select("doc_id", "dh", "group_id").distinct()
 
 
+def _cuts_below(cuts: list[int], value):
+    """How many of the ascending ``cuts`` are less than ``value``, by groups of cuts first."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    array = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    group = F.size(F.filter(array([g[-1] for g in groups]), lambda c: c < value))
+    inside = F.element_at(F.array(*[array(g) for g in groups], array([])), group + 1)
+    return group * size + F.size(F.filter(inside, lambda c: c < value))
+
+
 def with_next(docs: DataFrame, then, ddl: str, marks: DataFrame | None = None) -> DataFrame:
     """Applies ``then`` to rows ``(doc_id, dh, text, next_text, marked)``, given as lists by column.
 
     ``next_text`` is the text of the next row by ascending doc_id.
 
     The last row is followed by the first. ``marked`` tells the rows that ``marks`` names by
-    ``(doc_id, dh)``; its narrow rows take part in the one sort, so no join moves texts again. Ranges of ids are sorted each in one task; a range's
-    first row is sent to the range before it too, so every text moves once. The driver holds one
-    id for each range.
+    ``(doc_id, dh)``; its narrow rows take part in the one sort, so no join moves texts again.
+    Ranges of ids are sorted each in one task; a range's first row is sent to the range before it
+    too, so every text moves once. The driver holds one id for each range.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -104,12 +119,7 @@ def with_next(docs: DataFrame, then, ddl: str, marks: DataFrame | None = None) -
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
-    part = F.lit(0)
-    if cuts:
-        at = F.array(*[F.lit(int(c)) for c in cuts])
-        part = F.size(F.filter(at, lambda c: c < F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    part = part.cast("int")
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_cuts_below(cuts, F.col("doc_id"))).cast("int")
     base = base.withColumn("part", part)
     firsts = base.groupBy("part").agg(F.min(order).alias("f")).orderBy("part").collect()
     if not firsts:
@@ -180,5 +190,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = work.put(with_next(docs, run, shape, shared_buckets(prints)), "rows")
     tidy(spark)
     members = rows.where("member_text is not null").select("doc_id", "dh", "fingerprint", F.col("member_text").alias("text"))
-    out = attach(rows.drop("member_text"), compare_buckets(members))
+    out = attach(rows.drop("member_text"), compare_buckets(members, work))
     return out.withColumn("group_id", F.coalesce("group_id", "doc_id")).drop("dh")
