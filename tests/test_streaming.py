@@ -1,5 +1,8 @@
+import time
+
 import pandas as pd
 
+from muxlake.operators import packets
 from muxlake.streaming import keyed
 
 
@@ -35,3 +38,29 @@ def test_sections_over_batches(spark, tmp_path):
     got = drive(spark, tmp_path, [[row(0, 0), row(1, 90000)], [row(2, 90000 * 60), row(3, 90000 * 61)]], ddl, keyed.sections, "se")
     assert got.sort_values("pkt_no")["section"].tolist() == [0, 0, 1, 1]
     assert isinstance(got, pd.DataFrame)
+
+
+def test_duplicates_over_batches(spark, tmp_path):
+    ddl = "source string, pid long, pos long, cc int, has_payload boolean, disc boolean, raw string"
+    make = lambda rows, at: [("f", 1, at + i, c, True, False, raw) for i, (c, raw) in enumerate(rows)]
+    batches = [make([(1, "a"), (2, "b"), (2, "b")], 0), make([(2, "b"), (2, "c"), (5, "d")], 10)]
+    got = drive(spark, tmp_path, batches, ddl, lambda s: keyed.continuity(s, "raw"), "dup")
+    assert sorted(zip(got["pos"], got["fault"])) == [(10, "duplicate"), (11, "content"), (11, "duplicate"), (12, "discontinuity")]
+    whole = packets.continuity(spark.createDataFrame(sum(batches, []), ddl)).first()
+    assert (whole.dup_errors, whole.content_errors, whole.cc_errors) == (2, 1, 1)
+
+
+def test_reordered_packets_left_at_a_silence(spark, tmp_path):
+    ddl = "source string, n long, stamp long"
+    for part in ([("f", i, s) for i, s in enumerate([1, 3, 2, 4])],):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+    q = keyed.reorder(stream, 3, silence_ms=500).writeStream.format("memory").queryName("silence").outputMode("append").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        for _ in range(120):
+            if spark.table("silence").count() == 4:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [r.stamp for r in spark.table("silence").orderBy("out_no").collect()] == [1, 2, 3, 4]
