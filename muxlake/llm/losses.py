@@ -35,6 +35,17 @@ _START = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, then all second ones and so on, which compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    """The numbers of :func:`_pack`."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _names(x: np.ndarray, kind: int) -> np.ndarray:
     """Names of words (kind 0), contexts (1) or bigrams (2)."""
     return mix64(x ^ _SEEDS[kind]) & ~np.uint64(3) | np.uint64(kind)
@@ -104,7 +115,12 @@ def score(labelled: DataFrame, work: Workspace | None = None) -> DataFrame:
     stored = work.put(labelled, "labelled")
     size = stored.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = -(-size // BLOCK_BYTES) or 1, -(-size // SHARD_BYTES) or 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tidy(spark)
+    # texts move once more: both passes over the blocks read them from buckets of whole blocks
     rows = stored.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    rows = work.put_sorted(rows.repartition(parts, "block"), "blocks", parts, "block")
+    work.drop("labelled")
     tidy(spark)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -113,23 +129,27 @@ def score(labelled: DataFrame, work: Workspace | None = None) -> DataFrame:
         shard = ((t.names >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
         cut = np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64))
         some = np.flatnonzero(cut[1:] > cut[:-1])
-        columns = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()) for x in (t.names, target.astype(np.int32), background.astype(np.int32))]
+        pieces = [slice(cut[k], cut[k + 1]) for k in some]
+        # names are sorted: their differences have fewer bytes
+        names = pa.array([_pack(np.diff(t.names[x], prepend=np.uint64(0))) for x in pieces], pa.binary())
+        columns = [pa.array([_pack(n[x].astype(np.int32)) for x in pieces], pa.binary()) for n in (target, background)]
         block = table.column("block")[0].as_py()
-        return pa.table([i64(np.full(len(some), block)), i64(some), *columns], ["block", "shard", "names", "target", "background"])
+        return pa.table([i64(np.full(len(some), block)), i64(some), names, *columns], ["block", "shard", "names", "target", "background"])
 
     def add(table: pa.Table) -> pa.Table:
-        raw = table.column("names").to_pylist()
-        names, place = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in raw]), return_inverse=True)
-        sums = [np.bincount(place, np.concatenate([np.frombuffer(x, np.int32) for x in table.column(k).to_pylist()]), len(names)).astype(np.int64) for k in ("target", "background")]
-        cut = np.cumsum([0] + [len(x) // 8 for x in raw])
-        back = [pa.array([x[place[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for x in sums]
+        raw = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table.column("names").to_pylist()]
+        names, place = np.unique(np.concatenate(raw), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([_unpack(x, np.int32) for x in table.column(k).to_pylist()]), len(names)).astype(np.int64) for k in ("target", "background")]
+        cut = np.cumsum([0] + [len(x) for x in raw])
+        back = [pa.array([_pack(x[place[a:b]]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for x in sums]
         word = (names & np.uint64(3)) == 0
         # the shard's own numbers go with its first row
         whole = [i64(np.append(x, np.zeros(len(raw) - 1, np.int64))) for x in (word.sum(), sums[0][word].sum(), sums[1][word].sum())]
         return pa.table([table.column("block"), table.column("shard"), *back, *whole], ["block", "shard", "target", "background", "words", "n_target", "n_background"])
 
     asked = rows.groupBy("block").applyInArrow(ask, "block long, shard long, names binary, target binary, background binary")
-    answers = work.put(asked.groupBy("shard").applyInArrow(add, "block long, shard long, target binary, background binary, words long, n_target long, n_background long"), "answers")
+    with work.sorted_scans():
+        answers = work.put(asked.groupBy("shard").applyInArrow(add, "block long, shard long, target binary, background binary, words long, n_target long, n_background long"), "answers")
     tidy(spark)
     words, n_target, n_background = (x or 0 for x in answers.agg(F.sum("words"), F.sum("n_target"), F.sum("n_background")).first())
 
@@ -139,7 +159,7 @@ def score(labelled: DataFrame, work: Workspace | None = None) -> DataFrame:
         n = np.bincount(t.doc, minlength=table.num_rows)
         means = []
         for kind, tokens, within in (("target", n_target, t.chosen), ("background", n_background, np.ones(table.num_rows, bool))):
-            counts = np.frombuffer(b"".join(answer.column(kind).to_pylist()), np.int64)
+            counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(x, np.int64) for x in answer.column(kind).to_pylist())])
             sums = np.bincount(t.doc, losses(t, counts, tokens, within, words), minlength=table.num_rows)
             means.append(np.where(n > 0, sums / np.maximum(n, 1), np.nan))
         columns = [pa.array(x, pa.float64(), from_pandas=True) for x in (*means, means[0] - means[1])]
