@@ -417,7 +417,24 @@ def drift_per_section(spark, d):
     return captures.section_report(x).drop("source")
 
 
-@query()
+def _near(d: str) -> str:
+    return f"((({d}) + 12884901888) % 8589934592 - 4294967296)"
+
+
+SKEW = f"{_near('s.pcr90 - r.p0')} - (s.t90 - r.t0)"
+
+
+@query(
+    CAPTURE.replace("WITH e AS", "WITH RECURSIVE e AS", 1)
+    + f""", s AS MATERIALIZED (SELECT {KEY}, pkt_no, t90, pcr90, row_number() OVER (PARTITION BY {KEY} ORDER BY pkt_no) AS rn FROM capture),
+r AS (
+  SELECT {KEY}, rn, pkt_no, t90 AS t0, pcr90 AS p0, t90, pcr90, 0 AS section, 0::BIGINT AS skew FROM s WHERE rn = 1
+  UNION ALL
+  SELECT vlan, dst_ip, dst_port, rn, pkt_no, CASE WHEN cut THEN t90 ELSE t0 END, CASE WHEN cut THEN pcr90 ELSE p0 END, t90, pcr90, section + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN 0 ELSE skew END
+  FROM (SELECT s.*, r.t0, r.p0, r.section, {SKEW} AS skew, abs(s.t90 - r.t90) > 1944000000 OR abs({_near('s.pcr90 - r.pcr90')}) > 1944000000 OR {SKEW} > 1944000000 AS cut
+    FROM r JOIN s ON s.vlan = r.vlan AND s.dst_ip = r.dst_ip AND s.dst_port = r.dst_port AND s.rn = r.rn + 1))
+SELECT pkt_no, section, skew FROM r"""
+)
 def section_split_by_skew(spark, d):
     return captures.sections_by_skew(S.capture(spark, d), 1944000000).select("pkt_no", "section", "skew")
 
