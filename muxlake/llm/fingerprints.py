@@ -47,9 +47,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return map_columns(keyed(docs), run, "doc_id long, dh long, fingerprint string")
 
 
-def shared_buckets(prints: DataFrame) -> DataFrame:
+def shared_buckets(prints: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``(doc_id, dh, fingerprint)`` of the rows whose digest another row has too."""
+    work = work or Workspace(prints.sparkSession, "shared")
     buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1").select(F.col("fingerprint").alias("b_fingerprint"))
+    # stored, as the leads below: a hot digest's rows can then be split
+    buckets = work.put(buckets, "shared")
     return prints.join(buckets, F.col("fingerprint") == F.col("b_fingerprint"), "left_semi").distinct()
 
 
@@ -187,7 +190,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = work.put(fingerprint(docs), "prints")
     tidy(spark)
     shape = "doc_id long, dh long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, member_text string"
-    rows = work.put(with_next(docs, run, shape, shared_buckets(prints)), "rows")
+    rows = work.put(with_next(docs, run, shape, shared_buckets(prints, work)), "rows")
     tidy(spark)
     members = rows.where("member_text is not null").select("doc_id", "dh", "fingerprint", F.col("member_text").alias("text"))
     out = attach(rows.drop("member_text"), compare_buckets(members, work))
