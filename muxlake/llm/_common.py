@@ -69,6 +69,11 @@ class Workspace:
         writer.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    @property
+    def buckets(self) -> int:
+        """Buckets of a sorted table: as many as shuffle partitions, within Spark's limit."""
+        return min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+
     def put_sorted(self, df: DataFrame, name: str, parts: int, *keys: str) -> DataFrame:
         """As ``put``, dealt by the hash of ``keys`` to ``parts`` buckets and sorted by them in each.
 

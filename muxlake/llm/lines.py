@@ -69,7 +69,7 @@ class LineRuns:
 
     def __init__(self, work: Workspace, fanout: int = 2):
         self.work, self.fanout, self.made = work, fanout, 0
-        self.parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.parts = work.buckets
         self.levels: list[list[tuple[str, DataFrame]]] = [[]]
 
     def _write(self, rows: DataFrame, level: int) -> DataFrame:

@@ -115,7 +115,7 @@ def score(labelled: DataFrame, work: Workspace | None = None) -> DataFrame:
     stored = work.put(labelled, "labelled")
     size = stored.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = -(-size // BLOCK_BYTES) or 1, -(-size // SHARD_BYTES) or 1
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = work.buckets
     tidy(spark)
     # texts move once more: both passes over the blocks read them from buckets of whole blocks
     rows = stored.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
