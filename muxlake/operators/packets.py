@@ -22,7 +22,7 @@ from muxlake.functions import clock
 
 from .automata import emit, scan
 
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 
 
 def pid_histogram(packets: DataFrame) -> DataFrame:
@@ -172,11 +172,13 @@ def interpolate_pcr(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     around = around.select("source", (F.col("_chunk") + F.col("_on")).alias("_chunk"), F.when(own, F.col("before")).otherwise(F.col("last")).alias("_prev_in"), F.when(own, F.col("before2")).otherwise(F.col("second")).alias("_prev2_in"), F.col("after").alias("_next_in"))
     point = F.when(F.col("pcr").isNotNull(), F.struct("n", "pcr"))
     w = Window.partitionBy("source", "_chunk").orderBy("n")
-    so_far, later = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    # from the end backwards: a frame that grows is kept up, one that shrinks is worked out anew for each row
+    later = Window.partitionBy("source", "_chunk").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     x = _in_chunks(packets, chunk).join(around, ["source", "_chunk"])
     x = x.withColumn("_q", F.when(F.col("pcr").isNotNull(), F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
     pair = F.last(F.when(F.col("pcr").isNotNull(), F.struct(point.alias("p"), F.col("_q").alias("q"))), True).over(so_far)
-    x = x.select("*", pair.alias("_pair"), F.first(point, True).over(later).alias("_next"))
+    x = x.select("*", pair.alias("_pair"), F.last(point, True).over(later).alias("_next"))
     short = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["n"].alias("n"), F.col(c)["pcr"].alias("pcr")))
     inside = F.col("_pair").isNotNull()
     x = x.withColumn("_prev", F.when(inside, F.col("_pair.p")).otherwise(short("_prev_in")))
