@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import Words, Workspace, i64, mix64, read_table, slices, tidy
 
 #: Text of a block of documents, and text whose names a shard sums up.
-BLOCK_BYTES, SHARD_BYTES = 1 << 22, 1 << 24
+BLOCK_BYTES, SHARD_BYTES = 1 << 22, 1 << 23
 _START = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
