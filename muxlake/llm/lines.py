@@ -13,13 +13,12 @@ the lines it holds first.
 Defined cases: a null or empty text is one empty line; a null ``doc_id`` counts as the least;
 rows that repeat an id count as one document; ties cannot arise otherwise; an empty table gives
 an empty result; further columns do not matter. Hot lines are pre-aggregated before the shuffle,
-and joins on them are split by adaptive execution, as no join side is ever gathered by key.
+and the join that tells which rows lose a line has the document in its key, so a hot line's rows
+are spread.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
