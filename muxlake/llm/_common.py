@@ -61,9 +61,15 @@ class Workspace:
         if self.spark.sparkContext._jsc is not None:
             self.drop("")
 
-    def put(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        """Writes ``df`` as table ``name`` and returns the stored rows."""
+    def put(self, df: DataFrame, name: str, *partition_by: str, row_group: int | None = None) -> DataFrame:
+        """Writes ``df`` as table ``name`` and returns the stored rows.
+
+        Readers take up to 4096 rows of a row group at once: ``row_group`` bounds its bytes where rows
+        are large.
+        """
         writer = df.write.mode("overwrite").option("compression", "zstd")
+        if row_group:
+            writer = writer.option("parquet.block.size", row_group)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.root}/{name}")

@@ -149,7 +149,7 @@ def score(labelled: DataFrame, work: Workspace | None = None) -> DataFrame:
 
     asked = rows.groupBy("block").applyInArrow(ask, "block long, shard long, names binary, target binary, background binary")
     with work.sorted_scans():
-        answers = work.put(asked.groupBy("shard").applyInArrow(add, "block long, shard long, target binary, background binary, words long, n_target long, n_background long"), "answers")
+        answers = work.put(asked.groupBy("shard").applyInArrow(add, "block long, shard long, target binary, background binary, words long, n_target long, n_background long"), "answers", row_group=1 << 22)
     tidy(spark)
     words, n_target, n_background = (x or 0 for x in answers.agg(F.sum("words"), F.sum("n_target"), F.sum("n_background")).first())
 
