@@ -168,3 +168,37 @@ def test_reject_keeps_rows_whole(spark, docs):
     ids = {r.doc_id for r in kept.collect()}
     clean = {k for k, t in truth.items() if not t}
     assert len(clean - ids) <= 2 and len(ids - clean) <= 0.1 * (len(truth) - len(clean))
+
+
+def test_rows_of_every_shard_are_learned_from(spark, docs):
+    from pyspark.sql import functions as F
+
+    # by the hash of the id the last toxic rows, and half of the held-out ones, have words of their own
+    ids = spark.range(13000).select("id", (F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0).alias("held"), (F.col("id") % 2).alias("toxic")).orderBy(F.xxhash64("id")).collect()
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    late = {r.id for r in [r for r in ids if r.toxic and not r.held][4000:]} | {r.id for r in ids if r.toxic and r.held and r.id % 4 == 1}
+    texts = {}
+    for r in ids:
+        words = rng.choices(plain, k=6)
+        if r.toxic:
+            words[rng.randrange(6)] = rng.choice(["zorrk", "qivvt"] if r.id in late else ["vilest", "grobig"])
+        texts[r.id] = " ".join(words)
+    table, labels = docs(texts), spark.createDataFrame([(r.id, 1, r.toxic) for r in ids], "doc_id long, quality int, toxic int")
+    held = table.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    for size in (1 << 24, 1 << 16):  # one shard, and several
+        got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(held, toxicity.train(table, labels, shard_bytes=size)).collect()}
+        assert np.mean([got[r.id] for r in ids if r.held and r.id in late]) >= 0.95
+        assert np.mean([got[r.id] == r.toxic for r in ids if r.held]) >= 0.95
+
+
+def test_shards_merge_by_what_they_met():
+    start, sums = toxicity.fit(["bad day", "good day"], np.array([1, 0]), 1), []
+    for text in ("worse", "worst"):
+        model, seen = toxicity.fit([text, "good"], np.array([1, 0]), 2, start=start)
+        sums.append([np.frombuffer(b, np.float32).astype(np.float64) for b in toxicity._blocks(model, seen, start[1])])
+    both = toxicity._merged(start, {k: a + b for k, (a, b) in enumerate(zip(*sums))})
+    slots = [toxicity.features(np.frombuffer(w.encode(), np.uint8), np.array([0, 5]))[0][0, 0] for w in ("worse", "worst")]
+    assert not np.array_equal(both.table[slots], start[0].table[slots])
+    same = toxicity._merged(start, {k: 0 * a for k, a in enumerate(sums[0])})
+    assert np.array_equal(same.table, start[0].table) and np.array_equal(same.dense, start[0].dense) and same.dense_bias == start[0].dense_bias
