@@ -46,6 +46,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct units whose ids a worker remembers; beyond them it starts anew.
 UNITS_KEPT = 1 << 18
+#: New units that are encoded, compared and decoded as one text.
+GROUP = 64
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -211,6 +213,8 @@ class Codec:
         self._ids = {p: i for i, (p, _, k) in enumerate(parsed.pieces)}
         self._scores = {p: s for p, s, k in parsed.pieces if k == NORMAL} if parsed.kind == BPE and not user and parsed.byte_fallback else {}
         self._lead = [self._ids["a"]] if "a" in self._ids else self.own.encode("a", add_special_tokens=False).ids
+        #: which ids' pieces begin with a mark
+        self._marked = np.array([p.startswith(MARK) for p, _, _ in parsed.pieces])
         #: ids of known units (packed), and the units that differ or do not decode to themselves
         self.units: dict[str, bytes] = {}
         self.differ: set[str] = set()
@@ -232,7 +236,35 @@ class Codec:
         return [a == b for a, b in zip(got, want)]
 
     def _learn(self, units: list[str]) -> None:
-        """Encodes new units, compares with the other library, decodes, and notes where either goes wrong."""
+        """Encodes new units, compares with the other library, decodes, and notes where either goes wrong.
+
+        Units of one mark and a word are taken ``GROUP`` at a time, as one text: no piece crosses a
+        unit's start, so a group's ids fall apart at the pieces that begin with a mark. A group in which
+        anything differs is learned unit by unit.
+        """
+        plain, single = [], []
+        for u in units:
+            (plain if len(u) > 1 and u[0] == MARK != u[1] else single).append(u)
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        texts = ["".join(g) for g in groups]
+        spaced = [t.replace(MARK, " ") for t in texts]
+        got = [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+        want = self.other.encode([t[len(self._before) :] for t in spaced], num_threads=self.threads)
+        # decoded after another unit, since the decoder strips the first space of all
+        back = self.own.decode_batch([self._lead + a for a in got], skip_special_tokens=False)
+        for group, text, a, b, t in zip(groups, spaced, got, want, back):
+            ids = np.array(a, np.int32)
+            cuts = np.flatnonzero(self._marked[ids])
+            if a != b or t != "a" + text or len(cuts) != len(group) or cuts[0]:
+                single += group
+                continue
+            packed, ends = ids.tobytes(), (4 * cuts).tolist()
+            self.units.update(zip(group, [packed[i:j] for i, j in zip(ends, [*ends[1:], len(packed)])]))
+        if single:
+            self._learn_singly(single)
+
+    def _learn_singly(self, units: list[str]) -> None:
+        """As ``_learn``, each unit as a text of its own."""
         got = [e.ids for e in self.own.encode_batch_fast(units, add_special_tokens=False)]
         # the library adds the dummy prefix, which is the unit's first mark, itself
         want = self.other.encode([(u[1:] if self._before else u).replace(MARK, " ") for u in units], num_threads=self.threads)

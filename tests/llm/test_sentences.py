@@ -126,6 +126,44 @@ def test_units_are_forgotten_in_time(bpe, monkeypatch):
         assert codec.encode([t])[0].tolist() == codec.other.encode(t)
 
 
+def test_units_are_learned_in_groups(bpe):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("aeinostéü漢😀\n0") for _ in range(rng.randint(0, 9))) for _ in range(400)) for _ in range(5)]
+    codec, single = sentences.Codec(bpe, 1), sentences.Codec(bpe, 1)
+    single._learn = single._learn_singly
+    sizes = []
+
+    class Counted:
+        def encode(self, texts, num_threads=1, known=codec.other):
+            sizes.append(len(texts))
+            return known.encode(texts, num_threads=num_threads)
+
+        piece_to_id = codec.other.piece_to_id
+
+    codec.other = Counted()
+    a, b = codec.encode(texts), single.encode(texts)
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() and a[2:] == b[2:]
+    assert codec.units == single.units and len(codec.units) > 1500
+    assert sum(sizes) < len(codec.units) / 8
+
+
+def test_a_group_that_differs_is_learned_singly(bpe):
+    codec = sentences.Codec(bpe, 1)
+
+    class Other:
+        def encode(self, texts, num_threads=1, known=codec.other):
+            return [[7] if "two" in t else known.encode(t) for t in texts]
+
+        piece_to_id = codec.other.piece_to_id
+
+    want = codec.encode(["one two three"])[0].tolist()
+    codec.forget()
+    codec.other = Other()
+    ids, _, same, back = codec.encode(["one two three", "one three"])
+    assert ids.tolist()[: len(want)] == want and same == [False, True] and back == ["one two three", "one three"]
+    assert codec.differ == {"▁two"}
+
+
 def test_model_parts(bpe):
     p = sentences.parse_model(bpe)
     assert p.kind == BPE and p.byte_fallback and len(p.pieces) == 32000 and p.dummy_prefix
