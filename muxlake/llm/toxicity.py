@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -217,9 +218,10 @@ def _blocks(model: Model, seen: dict[str, np.ndarray], before: dict[str, np.ndar
     return out
 
 
-def _merged(start: tuple[Model, dict[str, np.ndarray]], sums: dict[int, np.ndarray]) -> Model:
-    """The weighted mean of ``start`` and the shards whose blocks are summed up in ``sums``."""
-    model, seen = pickle.loads(pickle.dumps(start))
+def _merged(start: tuple[Model, dict[str, np.ndarray]], *halves: dict[int, np.ndarray]) -> Model:
+    """The weighted mean of ``start`` and the shards whose blocks are summed up in ``halves``."""
+    begun, seen = start
+    model = Model(begun.table.copy(), [f.copy() for f in begun.filters], begun.bias.copy(), begun.dense.copy(), begun.dense_bias)
     values = _values(model)
 
     def mean(value: np.ndarray, met: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -227,7 +229,8 @@ def _merged(start: tuple[Model, dict[str, np.ndarray]], sums: dict[int, np.ndarr
         return np.where(weight > 0, (met * value.astype(np.float64) + total) / (met + weight), value).astype(value.dtype)
 
     rest = [k for k in sorted(seen) if k != "table"]
-    for block, x in sums.items():
+    for block in sorted(set().union(*halves)):
+        x = sum(h[block].astype(np.float64) for h in halves if block in h)
         if block < SLOTS // BLOCK:
             part = slice(block * BLOCK, (block + 1) * BLOCK)
             model.table[part] = mean(model.table[part], seen["table"][part], x[:BLOCK, None], x[BLOCK:].reshape(BLOCK, DIM))
@@ -328,14 +331,21 @@ def train(docs: DataFrame, labels: DataFrame, shard_bytes: int = SHARD_BYTES, ep
     # one shard's rows in one task
     begun = work.put(rows.where("shard = 0").repartition(1).mapInArrow(first, "model binary, lang string, toxic int, logit double"), "first")
     made = begun.where("model is not null").select("model").collect()
-    start = pickle.loads(bytes(made[0]["model"])) if made else _blank(np.random.default_rng(5))
+    start = pickle.loads(bytes(made.pop()["model"])) if made else _blank(np.random.default_rng(5))
     logits = begun.where("model is null").drop("model")
     model = start[0]
     if shards > 1:
         sums = _others(rows.where("shard > 0"), start, shards, epochs, positive, work)
-        model = _merged(start, {k: sum(s[k] for s in sums.values()) for k in next(iter(sums.values()), {})})
+        tidy(spark)
+        # the driver makes and sends one model at a time
         for half in (0, 1):
-            logits = logits.unionByName(_scored(rows.where((F.col("shard") > 0) & (F.col("shard") % 2 == half)), _merged(start, sums.get(1 - half, {}))))
+            shared = spark.sparkContext.broadcast(_merged(start, sums.get(1 - half, {})))
+            logits = logits.unionByName(work.put(_scored(rows.where((F.col("shard") > 0) & (F.col("shard") % 2 == half)), shared), f"half{half}"))
+            shared.destroy()
+        model = _merged(start, *sums.values())
+        del sums
+    del start
+    tidy(spark)
     model.scale, model.shift, model.thresholds = _calibrate(work.put(logits, "logits"), counts)
     work.drop("")
     return model
@@ -364,7 +374,7 @@ def _others(rows: DataFrame, start: tuple, shards: int, epochs: int, positive: f
 
     def add(batches):
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total.tobytes()], pa.binary())], ["half", "block", "sums"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["half", "block", "sums"])
 
         key, total = None, None
         for batch in batches:
@@ -381,19 +391,18 @@ def _others(rows: DataFrame, start: tuple, shards: int, epochs: int, positive: f
 
     dealt = rows.select("shard", "dh", "doc_id", "text", "toxic").repartition(max(1, shards - 1), "shard").sortWithinPartitions("shard", "dh", "doc_id")
     blocks = work.put(dealt.mapInArrow(learn, "shard int, block int, sums binary"), "blocks")
-    # summed up in the order of the shards; the driver gets two sums of the size of a model
+    # summed up in the order of the shards; the driver gets two sums of about the size of a model, a part at a time
     ordered = blocks.withColumn("half", F.col("shard") % 2).repartition("half", "block").sortWithinPartitions("half", "block", "shard")
     out: dict[int, dict[int, np.ndarray]] = {}
-    for r in ordered.mapInArrow(add, "half long, block long, sums binary").collect():
-        out.setdefault(r["half"], {})[r["block"]] = np.frombuffer(r["sums"], np.float64)
-    shared.unpersist()
+    for r in ordered.mapInArrow(add, "half long, block long, sums binary").toLocalIterator():
+        out.setdefault(r["half"], {})[r["block"]] = np.frombuffer(r["sums"], np.float32)
+    shared.destroy()
     work.drop("blocks")
     return out
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """``(lang, toxic, logit)`` of each row."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _scored(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """``(lang, toxic, logit)`` of each row by the model that is sent."""
 
     def fn(part, data, offsets):
         return pa.RecordBatch.from_arrays([part.column("lang"), part.column("toxic"), pa.array(shared.value.logit(*features(data, offsets)))], ["lang", "toxic", "logit"])
