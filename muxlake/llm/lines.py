@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Workspace, attach, keyed, map_columns, read_table, unused
+from ._common import Workspace, attach, keyed, map_columns, read_table, tidy, unused
 
 _STRIP = " \t\n\x0b\x0c\r"
 _NO_ID = -(1 << 63)
@@ -131,6 +131,7 @@ def repeated_lines(docs: DataFrame, work: Workspace, batches: int = 4, min_chars
     runs, out = LineRuns(work), None
     for i in range(len(cuts) + 1):
         lost = runs.add(pairs.where(F.col("batch") == i), str(i))
+        tidy(work.spark)
         out = lost if out is None else out.unionByName(lost)
     return out.groupBy("doc_id", "dh").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 

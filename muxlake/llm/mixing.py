@@ -28,7 +28,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Workspace, read_table
+from ._common import Workspace, read_table, tidy
 
 LEVELS = ("domain", "lang", "source")
 SALTS = 64
@@ -99,6 +99,7 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, sha
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", blank)).alias("dh"), domain.alias("domain"), F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source"), token_count().alias("n_tokens"), F.when(F.col("doc_id").isNull(), F.md5("text")).alias("digest")).where("n_tokens > 0")
     rows = work.put(rows, "tokens")
     leaves = work.put(budgets(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), weights, share, max_epochs), "leaves")
+    tidy(work.spark)
     salted = leaves.select(*LEVELS, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod("dh", F.lit(SALTS)).cast("int")
     # rows without an id are dealt by their texts
@@ -106,6 +107,7 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, sha
     drawn = rows.withColumn("salt", salt).join(salted, [*LEVELS, "salt"]).drop("salt")
     drawn = drawn.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), text_id))).withColumn("part", F.substring("key", 1, PARTS_HEX))
     drawn = work.put(drawn, "drawn")
+    tidy(work.spark)
     ahead = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = drawn.groupBy(*LEVELS, "part").agg(F.sum("n_tokens").alias("held")).select(*LEVELS, "part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy(*LEVELS, "part").orderBy("key", "n_tokens", "dh").rowsBetween(Window.unboundedPreceding, -1)

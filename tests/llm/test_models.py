@@ -192,6 +192,23 @@ def test_rows_of_every_shard_are_learned_from(spark, docs):
         assert np.mean([got[r.id] == r.toxic for r in ids if r.held]) >= 0.95
 
 
+def test_learning_takes_as_many_jobs_for_any_number_of_partitions(spark, docs):
+    texts = {k: f"word{k % 50} " + ("awful " if k % 2 else "lovely ") * 20 for k in range(400)}
+    table, labels = docs(texts), spark.createDataFrame([(k, 1, k % 2) for k in texts], "doc_id long, quality int, toxic int")
+    own = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    spark.sparkContext.setJobGroup("learning", "jobs of one training")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        toxicity.train(table, labels, shard_bytes=1 << 14, epochs=1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("learning")) < 97
+
+
 def test_shards_merge_by_what_they_met():
     start, sums = toxicity.fit(["bad day", "good day"], np.array([1, 0]), 1), []
     for text in ("worse", "worst"):
