@@ -392,15 +392,14 @@ def _others(rows: DataFrame, start: tuple, shards: int, epochs: int, positive: f
     dealt = rows.select("shard", "dh", "doc_id", "text", "toxic").repartition(max(1, shards - 1), "shard").sortWithinPartitions("shard", "dh", "doc_id")
     blocks = work.put(dealt.mapInArrow(learn, "shard int, block int, sums binary"), "blocks")
     # summed up in the order of the shards, and stored: the driver gets two sums of about the size of a
-    # model, each in one job, however many partitions the shuffle has
+    # model, a part at a time, in 16 jobs at most, however many partitions the shuffle has
     ordered = blocks.withColumn("half", F.col("shard") % 2).repartition("half", "block").sortWithinPartitions("half", "block", "shard")
     sums = work.put(ordered.mapInArrow(add, "half long, block long, sums binary"), "sums")
     shared.destroy()
     work.drop("blocks")
     out: dict[int, dict[int, np.ndarray]] = {}
-    for half in (0, 1):
-        for r in sums.where(F.col("half") == half).coalesce(1).toLocalIterator():
-            out.setdefault(half, {})[r["block"]] = np.frombuffer(r["sums"], np.float32)
+    for r in sums.coalesce(16).toLocalIterator():
+        out.setdefault(r["half"], {})[r["block"]] = np.frombuffer(r["sums"], np.float32)
     work.drop("sums")
     return out
 
