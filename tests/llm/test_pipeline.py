@@ -1,10 +1,16 @@
 """The pipeline's stages on a small corpus, each against a brute-force version of its input."""
 
+import gc
+import re
+import time
+from pathlib import Path
+
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from muxlake.llm import neardups  # noqa: E402
+from muxlake.llm._common import tidy  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -65,3 +71,22 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert ids == [-1, -1, 1, 1, 2, 3, 4]
         if name == "near_dedup":  # the two empty texts are equal
             assert ids == [-1, -1, 1, 2, 4]
+
+
+def test_tidy_returns_freed_memory_of_the_driver(spark):
+    """100 MB outside the heap, freed in pieces between others that stay, which malloc keeps."""
+    jvm = spark.sparkContext._jvm
+    path = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+
+    def held():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", path.read_text())[1]) / 1024
+
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(100_000) for _ in range(1000)]
+    buffers = buffers[::100]
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.4)
+    before = held()
+    tidy(spark)
+    assert before - held() > 60 and len(buffers) == 10
