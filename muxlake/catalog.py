@@ -498,9 +498,10 @@ def pts_round_trip(spark, d):
 
 @query(PACKETS + "SELECT n, pid, cc, disc, pcr FROM packets")
 def packet_round_trip(spark, d):
-    raw = transport.build(S.packets(spark, d).withColumn("payload", F.lit(b"abc")))
+    # a PID has 13 bits, so further ones go to further streams
+    raw = transport.build(S.in_streams(S.packets(spark, d)).withColumn("payload", F.lit(b"abc")))
     x = transport.parse(raw.select("source", "n", "pos", "raw"))
-    return x.select("n", F.col("pid").cast("long").alias("pid"), F.col("cc").cast("long").alias("cc"), "disc", "pcr")
+    return x.select("n", S.pid_of(F.col("source"), F.col("pid")).alias("pid"), F.col("cc").cast("long").alias("cc"), "disc", "pcr")
 
 
 @query("SELECT p_partkey, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(bin(p_name), ''), lambda b: CAST(b AS UBIGINT))), lambda c, b: xor((c * 2) & 4294967295::UBIGINT, CASE WHEN (c >> 31) <> b THEN 79764919::UBIGINT ELSE 0::UBIGINT END))::BIGINT AS crc FROM part")

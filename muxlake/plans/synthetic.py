@@ -6,7 +6,7 @@ click or purchase a PTS, a purchase a DTS too. ``lineitem`` gives frames, ``conv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muxlake.functions.bits import be
@@ -47,6 +47,20 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: PIDs of one stream: 0 to 15 are reserved, and 8191 is that of null packets.
+PIDS = 0x1FFF - 16
+
+
+def in_streams(packets: DataFrame) -> DataFrame:
+    """Packets dealt to as many streams as their PIDs need: ``source`` is the stream's number, ``pid`` fits in 13 bits."""
+    return packets.withColumns({"source": F.expr(f"cast((pid - 16) div {PIDS} as string)"), "pid": (F.col("pid") - 16) % PIDS + 16})
+
+
+def pid_of(stream: Column, pid: Column) -> Column:
+    """The PID before :func:`in_streams`."""
+    return stream.cast("long") * PIDS + pid
+
+
 PACKETS = f"""
 WITH e AS (
   SELECT event_id, user_id, event_type AS kind, epoch_us(ts) AS us, CAST(round(value * 100) AS BIGINT) AS cents,
