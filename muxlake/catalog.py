@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from muxlake.functions import bits, clock, codes
 from muxlake.functions.clock import PCR_MOD
-from muxlake.operators import captures, convert, elementary, frames, packets, reports, tables, transport, trickplay
+from muxlake.operators import captures, convert, elementary, frames, packets, places, reports, tables, transport, trickplay
 from muxlake.plans import synthetic as S
 from muxlake.sources import files, records
 from muxlake.plans.synthetic import CAPTURE, FRAMES, PACKETS, TABLES
@@ -671,12 +671,12 @@ def video_type_vote(spark, d):
 
 @query(PACKETS + "SELECT n, pid, pts, coalesce(dts, pts) AS dts, dts IS NOT NULL AS explicit FROM packets WHERE pts IS NOT NULL")
 def pes_timing_round_trip(spark, d):
-    x = S.packets(spark, d).where("pts is not null").withColumn("body", F.col("kind").cast("binary"))
+    x = S.in_streams(S.packets(spark, d)).where("pts is not null").withColumn("body", F.col("kind").cast("binary"))
     both = transport.pes_header(0xE0, F.length("body"), F.col("pts"), F.col("dts"))
     lone = transport.pes_header(0xE0, F.length("body"), F.col("pts"))
     pes = x.select("source", "pid", F.col("n").alias("pos"), F.concat(F.when(F.col("dts").isNull(), lone).otherwise(both), F.col("body")).alias("data"), F.lit(None).cast("long").alias("pcr"))
     raw = transport.lay_out(transport.pes_to_packets(pes))
     # one transport packet for each PES packet, in order
     got = transport.pes_packets(transport.parse(raw))
-    n = x.select(F.col("n").alias("no"), (F.row_number().over(Window.partitionBy("source").orderBy("n")) - 1).alias("k"))
-    return got.withColumn("k", F.expr("pos div 188")).join(n, "k").select(F.col("no").alias("n"), F.col("pid").cast("long").alias("pid"), "pts", "dts", F.col("dts_explicit").alias("explicit"))
+    n = places.number(x.select("source", F.col("n").alias("no")), ["source"], F.col("no"), ["no"], "k")
+    return got.withColumn("k", F.expr("pos div 188")).join(n, ["source", "k"]).select(F.col("no").alias("n"), S.pid_of(F.col("source"), F.col("pid")).alias("pid"), "pts", "dts", F.col("dts_explicit").alias("explicit"))

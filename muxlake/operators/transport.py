@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from muxlake.functions import codes
 from muxlake.functions.bits import be, bits, crc32_mpeg, flag, uint
 
+from . import places
 from .elementary import concat_ordered, decode_pts
 from .packets import islands
 
@@ -89,14 +90,14 @@ def build(packets: DataFrame) -> DataFrame:
 
 def lay_out(built: DataFrame) -> DataFrame:
     """``(source, n, pos, raw)`` of built packets in order: numbers and byte offsets of the new stream."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("pos")) - 1
-    return built.select("source", n.cast("long").alias("n"), (n.cast("long") * 188).alias("pos"), "raw")
+    x = places.number(built.select("source", "pos", "raw"), ["source"], places.leading(built, "pos"), ["pos"], "n")
+    return x.select("source", "n", (F.col("n") * 188).alias("pos"), "raw")
 
 
 def number_counters(packets: DataFrame) -> DataFrame:
     """Continuity counters assigned in order for each PID, from 0."""
-    w = Window.partitionBy("source", "pid").orderBy("pos")
-    return packets.withColumn("cc", ((F.row_number().over(w) - 1) % 16).cast("int"))
+    x = places.number(packets.drop("cc"), ["source", "pid"], places.leading(packets, "pos"), ["pos"], "cc")
+    return x.withColumn("cc", (F.col("cc") % 16).cast("int"))
 
 
 def sections(packets: DataFrame) -> DataFrame:

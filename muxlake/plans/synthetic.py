@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from muxlake.functions.bits import be
 from muxlake.functions.clock import PCR_MOD, PTS_MOD
+from muxlake.operators import places
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,36 +211,39 @@ def h262_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recut(units: DataFrame) -> DataFrame:
-    """Units (source, idx, data) as pieces cut in the middle of each unit and joined over its end."""
-    half = F.floor(F.length("data") / 2).cast("int")
-    x = units.withColumn("h", half).withColumn("p", F.explode(F.array(F.lit(0), F.lit(1))))
-    data = F.when(F.col("p") == 0, F.expr("substring(data, 1, h)")).otherwise(F.expr("substring(data, h + 1)"))
-    return laid_out(x.select("source", F.struct("idx", "p").alias("idx"), data.alias("data")))
+    """Units (source, infile, data) as pieces cut in the middle of each unit."""
+    x = units.withColumn("h", F.floor(F.length("data") / 2).cast("int"))
+    pieces = F.array(F.struct(F.col("infile"), F.expr("substring(data, 1, h)").alias("data")), F.struct((F.col("infile") + F.col("h")).alias("infile"), F.expr("substring(data, h + 1)").alias("data")))
+    return x.select("source", F.inline(pieces))
 
 
 def program_stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program stream: a packet for each order, video or audio by its customer, ten to a pack."""
-    x = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").cast("binary").alias("body"), (F.row_number().over(Window.orderBy("o_orderkey")) - 1).alias("k"))
+    x = table(spark, sf_dir, "orders").select(F.lit("orders").alias("source"), "o_orderkey", "o_custkey", F.col("o_orderpriority").cast("binary").alias("body"))
+    x = places.sums_before(x, ["source"], F.col("o_orderkey"), ["o_orderkey"], {"k": F.lit(1), "before": F.length("body") + 9})
     kind = F.when(F.col("o_custkey") % 3 == 0, F.unhex(F.lit("E0"))).when(F.col("o_custkey") % 3 == 1, F.unhex(F.lit("C1"))).otherwise(F.unhex(F.lit("C2")))
     head = F.when(F.col("k") % 10 == 0, F.unhex(F.lit("000001BA440004000401000003F8"))).otherwise(F.unhex(F.lit("")))
     packet = F.concat(F.unhex(F.lit("000001")), kind, be(F.length("body") + 3, 2), F.unhex(F.lit("800000")), F.col("body"))
-    return _recut(x.select(F.lit("orders").alias("source"), F.col("k").alias("idx"), F.concat(head, packet).alias("data")))
+    # a header of 14 bytes for each ten packets before
+    return _recut(x.select("source", (F.col("before") + F.expr("(k + 9) div 10") * 14).alias("infile"), F.concat(head, packet).alias("data")))
 
 
 def capture_file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A capture file (big-endian): a UDP datagram for each event, its kind being the payload."""
-    x = packets(spark, sf_dir).select("n", "us", (F.col("pid") - 256).alias("u"), F.col("kind").cast("binary").alias("body"), (F.row_number().over(Window.orderBy("n"))).alias("k"))
+    x = packets(spark, sf_dir).select("n", "us", (F.col("pid") - 256).alias("u"), F.col("kind").cast("binary").alias("body"))
+    x = places.sums_before(x.withColumn("source", F.lit("events")), ["source"], F.col("n"), ["n"], {"k": F.lit(1), "before": F.length("body") + 58})
     size = F.length("body")
     udp = F.concat(be(F.lit(1000), 2), be(F.col("u") % 4 + 5000, 2), be(size + 8, 2), F.unhex(F.lit("0000")), F.col("body"))
     ip = F.concat(F.unhex(F.lit("4500")), be(size + 28, 2), F.unhex(F.lit("00000000401100000A000001")), be(F.col("u") + 167772160, 4), udp)
     frame = F.concat(F.unhex(F.lit("0101010101010202020202020800")), ip)
     record = F.concat(be(F.expr("us div 1000000"), 4), be(F.expr("us % 1000000"), 4), be(F.length(frame), 4), be(F.length(frame), 4), frame)
-    head = F.when(F.col("k") == 1, F.unhex(F.lit("A1B2C3D400020004" + "00" * 8 + "0000FFFF00000001"))).otherwise(F.unhex(F.lit("")))
-    return _recut(x.select(F.lit("events").alias("source"), F.col("k").alias("idx"), F.concat(head, record).alias("data")))
+    head = F.when(F.col("k") == 0, F.unhex(F.lit("A1B2C3D400020004" + "00" * 8 + "0000FFFF00000001"))).otherwise(F.unhex(F.lit("")))
+    return _recut(x.select("source", (F.col("before") + F.when(F.col("k") > 0, 24).otherwise(0)).alias("infile"), F.concat(head, record).alias("data")))
 
 
 def stamped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transport packets with an arrival stamp before each: the event's microseconds."""
-    x = packets(spark, sf_dir).select("source", F.col("n").alias("idx"), "us", "pid")
-    raw = F.concat(be(F.col("us") % (1 << 32), 4), F.unhex(F.lit("47")), be(F.col("pid"), 2), F.unhex(F.lit("10" + "FF" * 184)))
-    return _recut(x.select("source", "idx", raw.alias("data")))
+    """Transport packets with an arrival stamp before each: the event's microseconds. The payload begins with the stream's number."""
+    x = in_streams(packets(spark, sf_dir)).select(F.col("n").alias("idx"), "us", "pid", F.col("source").cast("long").alias("stream"))
+    raw = F.concat(be(F.col("us") % (1 << 32), 4), F.unhex(F.lit("47")), be(F.col("pid"), 2), F.unhex(F.lit("10")), be(F.col("stream"), 4), F.unhex(F.lit("FF" * 180)))
+    x = places.number(x.select(F.lit("events").alias("source"), "idx", raw.alias("data")), ["source"], F.col("idx"), ["idx"], "k")
+    return _recut(x.withColumn("infile", F.col("k") * 192))

@@ -29,3 +29,7 @@ def same(spark, far, name):
 
 def test_packets_of_more_pids_than_a_stream_has(spark, far):
     same(spark, far, "packet_round_trip")
+
+
+def test_pes_packets_of_more_pids_than_a_stream_has(spark, far):
+    same(spark, far, "pes_timing_round_trip")
