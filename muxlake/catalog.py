@@ -558,7 +558,8 @@ def capture_bytes(spark, d):
 @query(PACKETS + "SELECT row_number() OVER (ORDER BY n) - 1 AS n, us % 4294967296 AS stamp, CAST(pid AS BIGINT) AS pid FROM packets")
 def stamped_bytes(spark, d):
     x = records.cut_records(S.stamped_chunks(spark, d), 192)
-    return x.select("n", bits.uint(F.col("raw"), 0, 4).alias("stamp"), bits.uint(F.col("raw"), 5, 2).bitwiseAND(0x1FFF).alias("pid"))
+    # packets of several streams lie in one file; each tells its stream in its payload
+    return x.select("n", bits.uint(F.col("raw"), 0, 4).alias("stamp"), S.pid_of(bits.uint(F.col("raw"), 8, 4), bits.uint(F.col("raw"), 5, 2).bitwiseAND(0x1FFF)).alias("pid"))
 
 
 @query("SELECT o_orderkey AS pos, 0 AS part, 'first ' || o_orderpriority AS body FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT o_orderkey, 1, 'frame' FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT o_orderkey, 0, 'first ' || o_orderpriority || 'frame' FROM orders WHERE o_custkey % 2 = 1")

@@ -33,3 +33,7 @@ def test_packets_of_more_pids_than_a_stream_has(spark, far):
 
 def test_pes_packets_of_more_pids_than_a_stream_has(spark, far):
     same(spark, far, "pes_timing_round_trip")
+
+
+def test_stamped_packets_of_more_pids_than_a_stream_has(spark, far):
+    same(spark, far, "stamped_bytes")
