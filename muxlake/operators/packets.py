@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from muxlake.functions import clock
 
+from . import places
 from .automata import emit, scan
 
 CHUNK = 1 << 16
@@ -345,8 +346,8 @@ def reorder(packets: DataFrame, stamp: str, depth: int | None = None) -> DataFra
     more comes; packets themselves do not pass through it.
     """
     if depth is None:
-        w = Window.partitionBy("source").orderBy(stamp, "pos")
-        return packets.withColumn("out_no", F.row_number().over(w))
+        x = places.number(packets, ["source"], places.leading(packets, stamp), [stamp, "pos"], "out_no")
+        return x.withColumn("out_no", F.col("out_no") + 1)
 
     def step(state, time, place):
         heap, n = state

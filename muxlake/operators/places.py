@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS = 16
+#: Stands for null, which comes first.
+LEAST = -(1 << 63)
 
 
 def sums_before(df: DataFrame, keys: list[str], lead: Column, order: list[str | Column], amounts: dict[str, Column], bits: int = BITS, levels: int = 1) -> DataFrame:
@@ -49,9 +51,9 @@ def leading(df: DataFrame, column: str) -> Column:
     while isinstance(kind, T.StructType):
         value, kind = value[kind[0].name], kind[0].dataType
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(value)
+        return F.coalesce(F.unix_micros(value), F.lit(LEAST))
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(value.cast("timestamp"))
+        return F.coalesce(F.unix_micros(value.cast("timestamp")), F.lit(LEAST))
     if isinstance(kind, T.IntegralType):
-        return F.coalesce(value.cast("long"), F.lit(-(1 << 63)))
+        return F.coalesce(value.cast("long"), F.lit(LEAST))
     return F.lit(0).cast("long")
