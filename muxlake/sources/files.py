@@ -1,8 +1,8 @@
 """Variable-length formats: program streams, captures, audio frames and RTP dumps.
 
 Files of any size and store come in pieces (``records.read_chunks``). A record is found only by
-following the one before, so each file's pieces stream in order through one task, which holds a
-few pieces at a time.
+following the one before, so each file's pieces stream in order through one task. They are put
+together to blocks and compressed by other tasks before, so that this one sorts and reads little.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from muxlake.functions.bits import bits, uint
 from . import records
 
 
+#: Bytes of a file that are compressed together.
+BLOCK = 1 << 20
+
+
 class Resumed:
     """Feeds a reader of whole files piece by piece: its rows have ``pos`` and ``len``.
 
@@ -83,18 +87,43 @@ def walk_chunks(chunks: DataFrame, begin: Callable[[], object], ddl: str) -> Dat
                     rows.clear()
 
         for batch in batches:
-            for source, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+            for source, size, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 if source != current:
                     if reader is not None:
                         yield from take(reader.feed(b"", True), current)
                     current, reader = source, begin()
-                yield from take(reader.feed(data.as_py() or b"", False), current)
+                yield from take(reader.feed(pa.decompress(data.as_py(), size, "zstd", asbytes=True) if size else b"", False), current)
         if reader is not None:
             yield from take(reader.feed(b"", True), current)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return chunks.select("source", "infile", "data").repartition("source").sortWithinPartitions("source", "infile").mapInArrow(run, shape)
+    return _blocks(chunks).repartition("source").sortWithinPartitions("source", "infile").mapInArrow(run, shape)
+
+
+def _blocks(chunks: DataFrame) -> DataFrame:
+    """``(source, infile, size, data)``: pieces that start in one block joined in order, compressed."""
+    names = ["source", "infile", "size", "data"]
+
+    def join(batches):
+        key, start, held = None, 0, []
+
+        def flush():
+            data = b"".join(held)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([start], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary())], names)
+
+        for batch in batches:
+            for source, block, infile, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (source, block) != key:
+                    if held:
+                        yield flush()
+                    key, start, held = (source, block), infile, []
+                held.append(data or b"")
+        if held:
+            yield flush()
+
+    x = chunks.select("source", F.floor(F.col("infile") / BLOCK).alias("block"), "infile", "data")
+    return x.repartition("source", "block").sortWithinPartitions("source", "block", "infile").mapInArrow(join, "source string, infile long, size long, data binary")
 
 
 # --- program streams -----------------------------------------------------------------------------
