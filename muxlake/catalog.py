@@ -538,10 +538,9 @@ def ps_stream_sizes(spark, d):
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'v' ELSE 'a' || (o_custkey % 3) END AS mark, row_number() OVER (ORDER BY o_orderkey) AS packet FROM orders")
 def ps_packets_in_order(spark, d):
     x = files.program_packets(S.program_stream_chunks(spark, d)).where("stream_id <> 186")
-    n = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
-    own = x.select(n.cast("long").alias("packet"), reports.ps_mark(F.col("stream_id")).alias("mark"))
-    keys = S.table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("packet"))
-    return own.join(keys, "packet").select("o_orderkey", "mark", "packet")
+    own = places.number(x.select("source", "pos", "stream_id"), ["source"], F.col("pos"), ["pos"], "packet").select("packet", reports.ps_mark(F.col("stream_id")).alias("mark"))
+    keys = places.number(S.table(spark, d, "orders").select("o_orderkey"), [], F.col("o_orderkey"), ["o_orderkey"], "packet")
+    return own.join(keys, "packet").select("o_orderkey", "mark", (F.col("packet") + 1).alias("packet"))
 
 
 @query("WITH x AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 10 + 1 AS pack, o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'v' ELSE 'a' || (o_custkey % 3) END AS mark FROM orders) SELECT pack, '[' || string_agg(mark, '' ORDER BY o_orderkey) AS dots FROM x GROUP BY pack")
