@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from muxlake.functions import codes
 from muxlake.functions.bits import bits, flag, uint
 
-from .packets import islands
+from . import places
 from .transport import descriptor_text, descriptors
 
 
@@ -147,7 +147,9 @@ def ps_mark(stream_id: Column) -> Column:
 
 def ps_dots(ps: DataFrame, max_packs: int | None = None) -> DataFrame:
     """``(source, pack, dots)``: a program stream's packets as characters, a row for each pack."""
-    x = islands(ps, ["source"], "pos", F.col("stream_id") == 0xBA, "pack").where("pack > 0")
+    starts = F.coalesce(F.col("stream_id") == 0xBA, F.lit(False)).cast("long")
+    x = places.sums_before(ps.select("source", "pos", "stream_id"), ["source"], F.col("pos"), ["pos"], {"pack": starts})
+    x = x.withColumn("pack", F.col("pack") + starts).where("pack > 0")
     if max_packs is not None:
         x = x.where(F.col("pack") <= max_packs)
     marks = F.sort_array(F.collect_list(F.struct("pos", ps_mark(F.col("stream_id")).alias("m"))))
