@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from muxlake.functions import codes
 from muxlake.functions.bits import be, bits, flag, uint
 
-from . import transport
+from . import places, transport
 from .packets import islands
 
 
@@ -127,10 +127,9 @@ def merge_av(video: DataFrame, audio: DataFrame, frame_rate: float = 25.0, audio
     Frame times follow from the rates; audio goes before a video frame only while it is earlier.
     Video packets carry the PCR; tables come before every ``repeat``-th video frame.
     """
-    order = Window.partitionBy("source").orderBy("idx")
-    number = (F.row_number().over(order) - 1).cast("long")
-    v = video.select("source", "data", number.alias("i")).withColumn("pts", F.floor(F.col("i") * 90000 / frame_rate).cast("long"))
-    a = audio.select("source", "data", number.alias("i")).withColumn("pts", F.floor(F.col("i") * 90000 * audio_samples / sample_rate).cast("long"))
+    number = lambda x: places.number(x.select("source", "idx", "data"), ["source"], places.leading(x, "idx"), ["idx"], "i").drop("idx")
+    v = number(video).withColumn("pts", F.floor(F.col("i") * 90000 / frame_rate).cast("long"))
+    a = number(audio).withColumn("pts", F.floor(F.col("i") * 90000 * audio_samples / sample_rate).cast("long"))
     rows = v.select("source", "data", "pts", "i", F.lit(0).alias("kind")).unionByName(a.select("source", "data", "pts", "i", F.lit(1).alias("kind")))
     pos = F.struct("pts", "kind", "i")
     is_video = F.col("kind") == 0
