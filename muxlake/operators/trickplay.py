@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import places
+
 # fixed values: distances in frames at 25 a second
 SMALL_SKIP, BIG_SKIP = 250, 4500
 
@@ -21,10 +23,14 @@ def plan(pictures: DataFrame, commands: list[tuple[str, int]], fast: int = 8) ->
     Positions are ordinals; each command starts where the one before ended, forward commands after
     reverse ones at the next reference picture.
     """
-    by = Window.partitionBy("source").orderBy("idx")
-    x = pictures.select("source", "idx", "ref", (F.row_number().over(by) - 1).alias("n"))
-    x = x.withColumn("ref_no", F.sum(F.col("ref").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = x.groupBy("source").agg(F.max("n").alias("last"))
+    own = pictures.select("source", "idx", F.coalesce("ref", F.lit(False)).alias("ref"))
+    x = places.sums_before(own, ["source"], places.leading(own, "idx"), ["idx"], {"n": F.lit(1), "refs": F.col("ref").cast("int")})
+    # a command passes at most so many reference pictures, so later pictures are out of reach
+    passed = {">": SMALL_SKIP, "]": BIG_SKIP}
+    x = x.where(F.col("refs") <= sum(count * (fast if c in "FR" else 1) + passed.get(c, 0) + 1 for c, count in commands)).drop("refs")
+    # each command reads them, so they are worked out once
+    x = x.localCheckpoint()
+    sizes = own.groupBy("source").agg((F.count("*") - 1).alias("last"))
     state = sizes.select("source", "last", F.lit(0).cast("long").alias("at"))
     out, after_reverse = None, False
     for step, (command, count) in enumerate(commands):
